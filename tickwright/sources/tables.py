@@ -103,7 +103,7 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes from the event table: symbol = user, price = value."""
     return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("symbol"),
-        "ts",
+        F.col("ts").cast("timestamp").alias("ts"),
         F.col("value").alias("price"),
         F.col("event_type").alias("source"),
         F.col("event_id").alias("quote_id"),
