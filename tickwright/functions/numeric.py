@@ -55,3 +55,9 @@ def r6(c) -> Column:
     may hold as neighbouring doubles, land on the same side everywhere.
     """
     return F.floor(col(c) * F.lit(1e6) + F.lit(0.5003)) / F.lit(1e6)
+
+
+def round_to(c, digits: int) -> Column:
+    """Half-up rounding for stored money, score and accuracy columns."""
+    scale = 10.0**digits
+    return F.floor(col(c) * F.lit(scale) + F.lit(0.5000001)) / F.lit(scale)

@@ -5,23 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
+FAN = 32
+HASH_BUCKETS = 4096
 
 
-def with_global_rank(df: DataFrame, order: Column, tie: list[str], buckets: int = BUCKETS) -> tuple[DataFrame, Column]:
+def _numeric_bucket(df: DataFrame) -> DataFrame:
+    """Adds ``_bk``: bucket of ``_o`` by percentile cut points, in two steps of ``FAN`` comparisons."""
+    n = FAN * FAN
+    shares = [i / n for i in range(1, n)]
+    cuts = df.agg(F.percentile_approx("_o", shares, 10000).alias("c")).scalar()
+    steps = F.array(*[F.lit(i) for i in range(FAN, n, FAN)])
+    o = F.col("_o")
+    coarse = F.size(F.filter(F.transform(steps, lambda i: F.get("_cuts", i - 1)), lambda c: c < o))
+    fine = F.size(F.filter(F.slice("_cuts", F.col("_coarse") * FAN + 1, FAN), lambda c: c < o))
+    return (
+        df.withColumn("_cuts", cuts)
+        .withColumn("_coarse", coarse)
+        .withColumn("_bk", F.coalesce(F.col("_coarse") * FAN + fine, F.lit(0)))
+        .drop("_cuts", "_coarse")
+    )
+
+
+def with_global_rank(
+    df: DataFrame, order: Column, tie: list[str], hashed: bool = False
+) -> tuple[DataFrame, Column]:
     """Adds ``_rank`` (1-based position by ``order`` then ``tie``) and returns the row count.
 
-    Cut points from one approximate-percentile aggregate split the order into buckets; exact
-    bucket counts give each bucket its offset, and rows are ranked inside their bucket. The
-    cut points only balance the work: the ranks are exact whatever they are. ``order`` and
-    ``tie`` must identify rows, so no bucket can be filled by one value. The count table has
-    at most ``buckets`` rows.
+    The order is split into buckets: by leading bits when it is a hash, else by approximate
+    percentiles. Exact bucket counts give each bucket its offset, and rows are ranked inside
+    their bucket, so the ranks are exact however the buckets fall. ``order`` and ``tie`` must
+    identify rows; the count table has at most 4096 rows, hence the broadcast.
     """
     placed = df.withColumn("_o", order)
-    shares = [i / buckets for i in range(1, buckets)]
-    cuts = placed.agg(F.percentile_approx("_o", shares, 10000).alias("c")).scalar()
-    below = F.coalesce(F.size(F.filter(F.array_distinct(cuts), lambda c: c < F.col("_o"))), F.lit(0))
-    bucketed = placed.withColumn("_bk", below)
+    if hashed:
+        bucketed = placed.withColumn("_bk", (F.shiftright("_o", 52) + HASH_BUCKETS // 2).cast("int"))
+    else:
+        bucketed = _numeric_bucket(placed)
     counts = bucketed.groupBy("_bk").agg(F.count(F.lit(1)).alias("_c"))
     before = Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_bk", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))

@@ -259,14 +259,14 @@ def shuffle_order(key: str, seed: int) -> Column:
 
 def shuffled_split(df: DataFrame, key: str, test: float = 0.2, seed: int = 42) -> DataFrame:
     """Adds ``split``: an exact share of the rows in hash order."""
-    ranked, n = with_global_rank(df, shuffle_order(key, seed), [key])
+    ranked, n = with_global_rank(df, shuffle_order(key, seed), [key], hashed=True)
     cut = n - F.floor(n * F.lit(test))
     return ranked.withColumn("split", F.when(F.col("_rank") <= cut, "train").otherwise("test")).drop("_rank")
 
 
 def kfold(df: DataFrame, key: str, folds: int = 5, seed: int = 42) -> DataFrame:
     """Adds ``fold``: equal slices of the hash order, the last fold takes the remainder."""
-    ranked, n = with_global_rank(df, shuffle_order(key, seed), [key])
+    ranked, n = with_global_rank(df, shuffle_order(key, seed), [key], hashed=True)
     size = F.greatest(F.floor(n / F.lit(folds)), F.lit(1))
     fold = F.least(F.floor((F.col("_rank") - 1) / size), F.lit(folds - 1)).cast("int")
     return ranked.withColumn("fold", fold).drop("_rank")
