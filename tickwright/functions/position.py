@@ -1,4 +1,4 @@
-"""Exact row positions over a whole table without a single-task sort."""
+"""Exact row positions and running totals over a whole table without a single-task sort."""
 
 from __future__ import annotations
 
@@ -26,29 +26,45 @@ def _numeric_bucket(df: DataFrame) -> DataFrame:
     )
 
 
-def with_global_rank(
-    df: DataFrame, order: Column, tie: list[str], hashed: bool = False
-) -> tuple[DataFrame, Column]:
-    """Adds ``_rank`` (1-based position by ``order`` then ``tie``) and returns the row count.
+def with_running_totals(
+    df: DataFrame, order: Column, tie: list[str], sums: dict[str, Column], hashed: bool = False
+) -> DataFrame:
+    """Adds running sums (inclusive) by ``order`` then ``tie``, and ``_next``, the next order value.
 
     The order is split into buckets: by leading bits when it is a hash, else by approximate
-    percentiles. Exact bucket counts give each bucket its offset, and rows are ranked inside
-    their bucket, so the ranks are exact however the buckets fall. ``order`` and ``tie`` must
-    identify rows; the count table has at most 4096 rows, hence the broadcast.
+    percentiles. Exact bucket sums give each bucket its offset, and sums run inside their
+    bucket, so the result is exact however the buckets fall. ``order`` and ``tie`` must
+    identify rows; the bucket table has at most 4096 rows, hence the broadcast.
     """
-    placed = df.withColumn("_o", order)
+    placed = df.withColumns({"_o": order, **{f"_v_{k}": v for k, v in sums.items()}})
     if hashed:
         bucketed = placed.withColumn("_bk", (F.shiftright("_o", 52) + HASH_BUCKETS // 2).cast("int"))
     else:
         bucketed = _numeric_bucket(placed)
-    counts = bucketed.groupBy("_bk").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_bk", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    totals = bucketed.groupBy("_bk").agg(F.min("_o").alias("_lo"), *[F.sum(f"_v_{k}").alias(f"_c_{k}") for k in sums])
+    by_bucket = Window.orderBy("_bk")
+    before = by_bucket.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        "_bk",
+        F.lead("_lo").over(by_bucket).alias("_after"),
+        *[F.coalesce(F.sum(f"_c_{k}").over(before), F.lit(0)).alias(f"_off_{k}") for k in sums],
+    )
     inside = Window.partitionBy("_bk").orderBy("_o", *tie)
-    ranked = (
-        bucketed.withColumn("_rn", F.row_number().over(inside))
-        .join(F.broadcast(offsets), "_bk")
-        .withColumn("_rank", F.col("_rn") + F.col("_off"))
-        .drop("_o", "_bk", "_rn", "_off")
+    run = inside.rowsBetween(Window.unboundedPreceding, 0)
+    local = bucketed.withColumns(
+        {**{f"_r_{k}": F.sum(f"_v_{k}").over(run) for k in sums}, "_lead": F.lead("_o").over(inside)}
+    )
+    joined = local.join(F.broadcast(offsets), "_bk")
+    return joined.select(
+        *df.columns,
+        F.coalesce("_lead", "_after").alias("_next"),
+        *[(F.col(f"_r_{k}") + F.col(f"_off_{k}")).alias(k) for k in sums],
     )
+
+
+def with_global_rank(
+    df: DataFrame, order: Column, tie: list[str], hashed: bool = False
+) -> tuple[DataFrame, Column]:
+    """Adds ``_rank`` (1-based position by ``order`` then ``tie``) and returns the row count."""
+    ranked = with_running_totals(df, order, tie, {"_rank": F.lit(1)}, hashed).drop("_next")
     return ranked, df.agg(F.count(F.lit(1))).scalar()

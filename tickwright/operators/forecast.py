@@ -42,7 +42,9 @@ def extrapolate(next_day: DataFrame, targets: DataFrame) -> DataFrame:
     return rows.withColumn("pct", pct).drop("recent_mean", "recent_n")
 
 
-def prediction_rows(models: DataFrame, context: DataFrame, as_of: str, names_in_order: list[str]) -> DataFrame:
+def prediction_rows(
+    models: DataFrame, context: DataFrame, as_of: str, names_in_order: list[str], kinds=("ensemble", "model")
+) -> DataFrame:
     """Per symbol and horizon one ensemble row and one row per model, in the stored layout.
 
     ``models``: symbol, horizon, days, model, price, accuracy. ``context``: symbol, category,
@@ -83,7 +85,8 @@ def prediction_rows(models: DataFrame, context: DataFrame, as_of: str, names_in_
         F.col("accuracy").alias("model_accuracy"),
         *[c for c in context.columns if c != "symbol"],
     )
-    rows = ensemble_rows.unionByName(single_rows)
+    parts = [f for kind, f in (("ensemble", ensemble_rows), ("model", single_rows)) if kind in kinds]
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return rows.select(
         "symbol",
         "category",
@@ -127,7 +130,9 @@ def score_models(fitted: dict, rows: DataFrame) -> DataFrame:
     return out
 
 
-def batch_forecast(bars: DataFrame, fitted: dict, accuracy: dict[str, float], as_of: str) -> DataFrame:
+def batch_forecast(
+    bars: DataFrame, fitted: dict, accuracy: dict[str, float], as_of: str, kinds=("ensemble", "model")
+) -> DataFrame:
     """Quality gate, features, five horizons, ensemble and confidence for every symbol."""
     good = validate_quality(bars)
     features = features_b(good)
@@ -144,7 +149,7 @@ def batch_forecast(bars: DataFrame, fitted: dict, accuracy: dict[str, float], as
         .withColumn("accuracy", F.try_element_at(acc, F.col("model")))
         .select("symbol", "horizon", "days", "model", "price", "accuracy")
     )
-    return prediction_rows(models, context, as_of, list(fitted))
+    return prediction_rows(models, context, as_of, list(fitted), kinds)
 
 
 def on_demand_forecast(
@@ -159,11 +164,10 @@ def on_demand_forecast(
         raise ValueError(f"unknown model {model}")
     one = bars.where(F.col("symbol") == symbol)
     used = fitted if model is None else {model: fitted[model]}
-    rows = batch_forecast(one, used, accuracy, as_of).where(F.col("horizon") == h)
+    kinds = ("ensemble",) if model is None else ("model",)
+    out = batch_forecast(one, used, accuracy, as_of, kinds).where(F.col("horizon") == h)
     current = F.col("current_price") if price is None else F.lit(float(price))
     scale = ratio(current, "current_price", 1.0)
-    wanted = F.col("algorithm_used") == ("|".join(used) if model is None else model)
-    out = rows.where(wanted).dropDuplicates(["symbol", "horizon", "algorithm_used"])
     for c in ("predicted_price", "confidence_low", "confidence_high"):
         out = out.withColumn(c, round_to(F.col(c) * scale, 2))
     return out.withColumn("current_price", current).withColumns(

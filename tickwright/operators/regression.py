@@ -1,2 +1,404 @@
-def impute_median(df, cols):
-    return df
+"""Regression models on the stacked matrix."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tickwright.functions.numeric import null_if_not_finite
+from tickwright.operators.features import assemble
+from tickwright.schema import INTERVAL_Z
+
+
+# ---- Gram aggregates: everything least squares needs, in one pass -----------------------------
+
+
+@dataclass
+class Gram:
+    """Counts, sums and products of [1, x, y]; the size depends on the columns only."""
+
+    cols: list[str]
+    m: object  # (d + 2) x (d + 2) array
+
+    @property
+    def n(self) -> float:
+        return float(self.m[0, 0])
+
+    def __add__(self, other: "Gram") -> "Gram":
+        return Gram(self.cols, self.m + other.m)
+
+    def moments(self):
+        """Means and population deviations of x, and of y."""
+        import numpy as np
+
+        mean = self.m[0, 1:] / self.n
+        var = np.maximum(np.diag(self.m)[1:] / self.n - mean**2, 0.0)
+        return mean, np.sqrt(var)
+
+    def ols(self, ridge: float = 0.0):
+        """Intercept and coefficients."""
+        import numpy as np
+
+        mean, _ = self.moments()
+        cov = self.m[1:, 1:] - self.n * np.outer(mean, mean)
+        xx, xy = cov[:-1, :-1], cov[:-1, -1]
+        beta = np.linalg.lstsq(xx + ridge * np.eye(len(xy)), xy, rcond=None)[0]
+        return float(mean[-1] - mean[:-1] @ beta), beta
+
+    def gradient_descent(self, lr: float = 0.01, epochs: int = 1000):
+        """Batch gradient descent on z-scored columns, from the aggregates alone."""
+        import numpy as np
+
+        mean, std = self.moments()
+        std = np.where(std == 0, 1.0, std)
+        cov = self.m[1:, 1:] - self.n * np.outer(mean, mean)
+        zz, zy = cov[:-1, :-1] / np.outer(std[:-1], std[:-1]), cov[:-1, -1] / std[:-1]
+        theta, bias = np.zeros(len(zy)), 0.0
+        for _ in range(epochs):
+            theta = theta - lr * (zz @ theta - zy) / self.n
+            bias = bias - lr * (bias - mean[-1])
+        return bias, theta, mean[:-1], std[:-1]
+
+
+def gram(df: DataFrame, cols: list[str], label: str = "label") -> Gram:
+    """One pass: per-partition numpy products, summed position by position."""
+    import numpy as np
+
+    size = len(cols) + 2
+
+    def partial(batches):
+        import pyarrow as pa
+
+        acc = np.zeros((size, size))
+        for b in batches:
+            x = np.column_stack([np.ones(b.num_rows)] + [c.to_numpy(zero_copy_only=False) for c in b.columns])
+            acc += x.T @ x
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(size * size, dtype="int32")), pa.array(acc.ravel())], names=["pos", "v"]
+        )
+
+    rows = df.select(*[F.col(c).cast("double") for c in [*cols, label]]).mapInArrow(partial, "pos int, v double")
+    m = np.zeros(size * size)
+    for r in rows.groupBy("pos").agg(F.sum("v").alias("v")).collect():  # (d + 2)² rows
+        m[r["pos"]] = r["v"]
+    return Gram(list(cols), m.reshape(size, size))
+
+
+def linear_expr(cols, intercept: float, beta) -> Column:
+    """The fitted line as a column expression (stays in generated code)."""
+    out = F.lit(float(intercept))
+    for c, b in zip(cols, beta):
+        out = out + F.col(c) * F.lit(float(b))
+    return out
+
+
+def coefficient_rows(spark, cols, intercept, beta) -> DataFrame:
+    rows = [("intercept", float(intercept))] + [(c, float(b)) for c, b in zip(cols, beta)]
+    return spark.createDataFrame(rows, "feature string, coefficient double")
+
+
+def fit_linear(df: DataFrame, features: str = "features", label: str = "label"):
+    """Ordinary least squares (scaling does not change its predictions)."""
+    from pyspark.ml.regression import LinearRegression
+
+    return LinearRegression(featuresCol=features, labelCol=label, solver="normal", regParam=0.0).fit(df)
+
+
+def linear_metrics(df: DataFrame, prediction: str = "prediction", label: str = "label") -> DataFrame:
+    """mse, rmse and R² of predictions, as one row."""
+    e = F.col(label) - F.col(prediction)
+    return df.agg(
+        F.avg(e * e).alias("mse"),
+        F.sqrt(F.avg(e * e)).alias("rmse"),
+        (F.lit(1.0) - F.try_divide(F.sum(e * e), F.count(label) * F.var_pop(label))).alias("r2"),
+    )
+
+
+def predict_interval(df: DataFrame, prediction: Column, rmse: float | Column) -> DataFrame:
+    r = rmse if isinstance(rmse, Column) else F.lit(float(rmse))
+    return df.withColumns(
+        {"prediction": prediction, "low": prediction - r * INTERVAL_Z, "high": prediction + r * INTERVAL_Z}
+    )
+
+
+def fit_linear_incremental(batches, cols: list[str], label: str = "label") -> Gram:
+    """Adds the aggregates batch by batch (also from ``foreachBatch``); the fit is exact."""
+    total = None
+    for b in batches:
+        g = gram(b, cols, label)
+        total = g if total is None else total + g
+    return total
+
+
+# ---- trees ------------------------------------------------------------------------------------------
+
+
+def impute_median(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Infinities and NaN to NULL, then the exact column median; 0 for an all-NULL column."""
+    clean = df.withColumns({c: null_if_not_finite(c) for c in cols})
+    medians = clean.agg(F.struct(*[F.median(c).alias(c) for c in cols]).alias("m")).scalar()
+    return clean.withColumns({c: F.coalesce(c, medians.getField(c), F.lit(0.0)) for c in cols})
+
+
+def fit_tree(df: DataFrame, depth: int = 10, min_leaf: int = 5, subset: str = "sqrt", seed: int = 42):
+    """A single regression tree with a feature subset per split."""
+    from pyspark.ml.regression import RandomForestRegressor
+
+    return RandomForestRegressor(
+        numTrees=1, bootstrap=False, featureSubsetStrategy=subset, maxDepth=depth,
+        minInstancesPerNode=min_leaf, subsamplingRate=1.0, seed=seed,
+    ).fit(df)
+
+
+def fit_forest(df: DataFrame, trees: int = 100, depth: int = 15, min_leaf: int = 5, seed: int = 42):
+    from pyspark.ml.regression import RandomForestRegressor
+
+    return RandomForestRegressor(
+        numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, featureSubsetStrategy="sqrt",
+        seed=seed, maxMemoryInMB=1024,
+    ).fit(df)
+
+
+def tree_summary(spark, model) -> DataFrame:
+    """Depth, leaves and features of each tree of a model."""
+    trees = getattr(model, "trees", None) or [model]
+    rows = [(i, int(x.depth), int(x.numNodes), int((x.numNodes + 1) // 2), int(x.numFeatures)) for i, x in enumerate(trees)]
+    return spark.createDataFrame(rows, "tree int, depth int, nodes int, leaves int, features int")
+
+
+def forest_uncertainty(model, df: DataFrame) -> DataFrame:
+    """Mean and population deviation over the trees' predictions."""
+    names = []
+    out = df
+    for i, tree in enumerate(model.trees):
+        name = f"_tree_{i}"
+        names.append(name)
+        out = tree.setPredictionCol(name).transform(out)
+    n = float(len(names))
+    votes = F.array(*names)
+    out = out.withColumn("_votes", votes).drop(*names)
+    mean = F.aggregate("_votes", F.lit(0.0), lambda a, v: a + v) / n
+    out = out.withColumn("prediction", mean)
+    spread = F.aggregate(
+        F.transform("_votes", lambda v: (v - F.col("prediction")) * (v - F.col("prediction"))), F.lit(0.0), lambda a, v: a + v
+    )
+    return out.withColumn("uncertainty", F.sqrt(spread / n)).drop("_votes")
+
+
+def feature_importance(spark, model, names) -> DataFrame:
+    values = model.featureImportances.toArray()
+    return spark.createDataFrame([(c, float(v)) for c, v in zip(names, values)], "feature string, importance double")
+
+
+# ---- support vector regression ------------------------------------------------------------------------
+
+
+def _moments(df: DataFrame, cols):
+    row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+    return [row[f"m{i}"] for i in range(len(cols))], [row[f"s{i}"] or 1.0 for i in range(len(cols))]
+
+
+@dataclass
+class SvrModel:
+    """Weights over scaled columns, or over random cosine features when ``omega`` is set."""
+
+    cols: list[str]
+    mean: object
+    std: object
+    w: object
+    b: float
+    omega: object = None
+    phase: object = None
+
+    def design(self, x):
+        import numpy as np
+
+        z = (x - self.mean) / self.std
+        if self.omega is None:
+            return z
+        return np.sqrt(2.0 / len(self.phase)) * np.cos(z @ self.omega + self.phase)
+
+    def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
+        """Linear models stay a column expression; the kernel form scores Arrow batches."""
+        if self.omega is None:
+            scaled = [c / s for c, s in zip(self.w, self.std)]
+            shift = self.b - sum(c * m for c, m in zip(scaled, self.mean))
+            return df.withColumn(out, linear_expr(self.cols, shift, scaled))
+        model = self
+
+        @F.pandas_udf("double")
+        def score(row):
+            import pandas as pd
+
+            return pd.Series(model.design(row.to_numpy(float)) @ model.w + model.b)
+
+        return df.withColumn(out, score(F.struct(*[F.col(c).cast("double") for c in self.cols])))
+
+
+def fit_svr(
+    df: DataFrame, cols: list[str], label: str = "label", c: float = 1.0, epsilon: float = 0.1, epochs: int = 40,
+    lr: float = 0.5, kernel_below: int = 50000, components: int = 256, seed: int = 42,
+) -> SvrModel:
+    """Epsilon-insensitive regression by full-batch subgradient steps.
+
+    Each step is one pass that returns a vector of the model's size. Below ``kernel_below``
+    rows the columns are first mapped to random cosine features of the RBF kernel. The input
+    is read once per step, so pass a stored frame.
+    """
+    import numpy as np
+
+    mean, std = _moments(df, cols)
+    n = df.count()
+    model = SvrModel(list(cols), np.array(mean), np.array(std), None, 0.0)
+    width = len(cols)
+    if n <= kernel_below:
+        rng = np.random.default_rng(seed)
+        gamma = 1.0 / len(cols)
+        model.omega = rng.normal(0.0, np.sqrt(2.0 * gamma), (len(cols), components))
+        model.phase = rng.uniform(0.0, 2.0 * np.pi, components)
+        width = components
+    model.w = np.zeros(width)
+    model.b = float(df.agg(F.median(label)).first()[0] or 0.0)
+    sc = df.sparkSession.sparkContext
+    rows = df.select(*[F.col(x).cast("double") for x in [*cols, label]])
+    total = np.zeros(width + 1)
+    for step in range(epochs):
+        state = sc.broadcast(model)
+
+        def partial(batches):
+            import pyarrow as pa
+
+            acc = np.zeros(width + 1)
+            for batch in batches:
+                data = np.column_stack([col.to_numpy(zero_copy_only=False) for col in batch.columns])
+                z = state.value.design(data[:, :-1])
+                e = z @ state.value.w + state.value.b - data[:, -1]
+                g = np.where(e > epsilon, 1.0, np.where(e < -epsilon, -1.0, 0.0))
+                acc += np.r_[g @ z, g.sum()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(width + 1, dtype="int32")), pa.array(acc)], names=["pos", "v"])
+
+        grad = np.zeros(width + 1)
+        for r in rows.mapInArrow(partial, "pos int, v double").groupBy("pos").agg(F.sum("v").alias("v")).collect():
+            grad[r["pos"]] = r["v"]
+        grad = grad * (c / n)
+        grad[:-1] += model.w / n
+        rate = lr / np.sqrt(step + 1.0)
+        model = SvrModel(model.cols, model.mean, model.std, model.w - rate * grad[:-1], model.b - rate * grad[-1], model.omega, model.phase)
+        total += np.r_[model.w, model.b]
+        state.unpersist()
+    model.w, model.b = total[:-1] / epochs, float(total[-1] / epochs)
+    return model
+
+
+# ---- tuning, training runs, registry ----------------------------------------------------------------------
+
+
+def tune(estimator, grid, df: DataFrame, folds: int = 5, label: str = "label", parallelism: int = 4, seed: int = 42):
+    """Grid search by mean squared error; returns (fitted CrossValidatorModel, score table)."""
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.tuning import CrossValidator
+
+    cv = CrossValidator(
+        estimator=estimator, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=label, metricName="mse"),
+        numFolds=folds, parallelism=parallelism, seed=seed,
+    )
+    fitted = cv.fit(df)
+    rows = [
+        (i, ", ".join(sorted(f"{p.name}={v}" for p, v in params.items())), -float(score))
+        for i, (params, score) in enumerate(zip(grid, fitted.avgMetrics))
+    ]
+    table = df.sparkSession.createDataFrame(rows, "candidate int, params string, score double")
+    return fitted, table
+
+
+def train_run(matrix: DataFrame, features: list[str], name: str, fit, path: str, registry: str) -> DataFrame:
+    """Fit on the stacked matrix, save, validate on each symbol's last rows, register the run.
+
+    Returns the summary row that was appended to the registry table.
+    """
+    from tickwright.operators.features import chronological_split
+    from tickwright.operators.metrics import validation_summary
+
+    data = assemble(matrix, features)
+    split = chronological_split(data)
+    model = fit(split.where(F.col("split") == "train"))
+    model.write().overwrite().save(path)
+    scored = model.transform(data).select("symbol", "date", F.col("label").alias("y"), F.col("prediction").alias("p"))
+    row = validation_summary(scored).select(
+        F.lit(name).alias("model"),
+        "symbols", "avg_r2", "avg_rmse", "avg_mae",
+        F.lit(len(features)).alias("features"),
+        F.lit(path).alias("path"),
+        F.current_timestamp().alias("trained_at"),
+    )
+    row.write.mode("append").parquet(registry)
+    return matrix.sparkSession.read.parquet(registry).where(F.col("path") == path)
+
+
+def model_registry(spark, registry: str, name: str | None = None) -> DataFrame:
+    """Saved models with their metrics."""
+    rows = spark.read.parquet(registry)
+    return rows if name is None else rows.where(F.col("model") == name)
+
+
+# ---- latent regression ---------------------------------------------------------------------------------------
+
+
+@dataclass
+class LatentModel:
+    """Linear encoder: scaled columns times ``components`` (d x k); decoder is the transpose."""
+
+    cols: list[str]
+    mean: object
+    std: object
+    components: object
+    intercept: float = 0.0
+    beta: object = None
+
+    def _z(self) -> Column:
+        return F.array(*[(F.col(c) - float(m)) / float(s) for c, m, s in zip(self.cols, self.mean, self.std)])
+
+    def encode(self, df: DataFrame, out: str = "latent") -> DataFrame:
+        basis = [F.array(*[F.lit(float(v)) for v in col]) for col in self.components.T]
+        z = self._z()
+        code = [F.aggregate(F.zip_with(z, b, lambda x, y: x * y), F.lit(0.0), lambda a, v: a + v) for b in basis]
+        return df.withColumn(out, F.array(*code))
+
+    def reconstruct(self, df: DataFrame, latent: str = "latent", out: str = "reconstructed") -> DataFrame:
+        """Scaled columns rebuilt from the code."""
+        back = [F.array(*[F.lit(float(v)) for v in row]) for row in self.components]
+        vals = [F.aggregate(F.zip_with(F.col(latent), b, lambda x, y: x * y), F.lit(0.0), lambda a, v: a + v) for b in back]
+        return df.withColumn(out, F.array(*vals))
+
+    def reconstruction_error(self, df: DataFrame, out: str = "error") -> DataFrame:
+        """Mean squared difference between scaled columns and their reconstruction."""
+        full = self.reconstruct(self.encode(df))
+        sq = F.zip_with(self._z(), F.col("reconstructed"), lambda x, y: (x - y) * (x - y))
+        return full.withColumn(out, F.aggregate(sq, F.lit(0.0), lambda a, v: a + v) / float(len(self.cols)))
+
+    def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
+        coded = self.encode(df)
+        b = F.array(*[F.lit(float(v)) for v in self.beta])
+        dot = F.aggregate(F.zip_with(F.col("latent"), b, lambda x, y: x * y), F.lit(0.0), lambda a, v: a + v)
+        return coded.withColumn(out, dot + F.lit(float(self.intercept)))
+
+
+def fit_latent_regression(df: DataFrame, cols: list[str], label: str = "label", k: int = 24) -> LatentModel:
+    """The best linear autoencoder spans the leading principal axes; a line maps codes to labels.
+
+    Both come from one Gram pass: its size is the number of columns squared.
+    """
+    import numpy as np
+
+    g = gram(df, cols, label)
+    mean, std = g.moments()
+    std = np.where(std == 0, 1.0, std)
+    cov = (g.m[1:, 1:] - g.n * np.outer(mean, mean)) / np.outer(std, std)
+    values, vectors = np.linalg.eigh(cov[:-1, :-1])
+    order = np.argsort(values)[::-1][:k]
+    axes = vectors[:, order]
+    axes = axes * np.where(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])] < 0, -1.0, 1.0)
+    beta = np.linalg.lstsq(axes.T @ cov[:-1, :-1] @ axes, axes.T @ cov[:-1, -1], rcond=None)[0] * std[-1]
+    return LatentModel(list(cols), mean[:-1], std[:-1], axes, float(mean[-1]), beta)
