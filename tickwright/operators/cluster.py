@@ -93,12 +93,13 @@ def _dense_meetings(g: DataFrame, dims: int, reach: int, fn, schema: str) -> Dat
     )
     keys = ["lc", "li", "rc", "ri"]
     a = dense.select(F.col("cell").alias("lc"), F.col("block").alias("li"), "id", "v").join(meet, ["lc", "li"])
-    b = dense.select(F.col("cell").alias("rc"), F.col("block").alias("ri"), "id", "v").join(meet, ["rc", "ri"])
+    b = dense.select(
+        F.col("cell").alias("rc"), F.col("block").alias("ri"), F.col("id").alias("id"), F.col("v").alias("v")
+    ).join(meet, ["rc", "ri"])
     text = [F.to_json(F.struct(*keys)).alias("meeting")]
-    cols = ["id", "v", "lc", "rc"]
-    return (
-        a.select(*cols, *text).groupBy("meeting").cogroup(b.select(*cols, *text).groupBy("meeting")).applyInPandas(fn, schema)
-    )
+    left_rows = a.select("id", "v", *text)
+    right_rows = b.select("id", "v", *text).toDF("id", "v", "meeting")
+    return left_rows.groupBy("meeting").cogroup(right_rows.groupBy("meeting")).applyInPandas(fn, schema)
 
 
 def neighborhood_counts(points: DataFrame, eps: float, key: str = "id", vec: str = "features", dims: int = 2) -> DataFrame:

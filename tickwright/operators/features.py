@@ -274,51 +274,38 @@ def kfold(df: DataFrame, key: str, folds: int = 5, seed: int = 42) -> DataFrame:
 
 def subsample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows without replacement (or all): the first in hash order."""
-    h = shuffle_order(key, seed)
-    return df.orderBy(h, key).limit(n)
+    ranked, _ = with_global_rank(df, shuffle_order(key, seed), [key], hashed=True)
+    return ranked.where(F.col("_rank") <= n).drop("_rank")
 
 
 # ---- scaling and summaries ------------------------------------------------------------------------
 
 
-def _stats(df: DataFrame, aggs: dict) -> Column:
-    """Column statistics as one struct from a scalar subquery (a single global aggregate)."""
-    return df.agg(F.struct(*[v.alias(k) for k, v in aggs.items()]).alias("s")).scalar()
+def _stats(df: DataFrame, cols, *aggs) -> list[tuple]:
+    """Per column the given aggregates, fetched as one row of numbers."""
+    row = df.agg(*[agg(c) for c in cols for agg in aggs]).first()
+    n = len(aggs)
+    return [tuple(row[i * n : i * n + n]) for i in range(len(cols))]
 
 
 def standard_scaler(df: DataFrame, cols) -> DataFrame:
     """z-scores with the population deviation; constant columns become 0."""
-    aggs = {}
-    for c in cols:
-        aggs[f"m_{c}"], aggs[f"s_{c}"] = F.avg(c), F.stddev_pop(c)
-    s = _stats(df, aggs)
-    return df.withColumns(
-        {f"{c}_z": ratio(F.col(c) - s.getField(f"m_{c}"), s.getField(f"s_{c}"), 0.0) for c in cols}
-    )
+    stats = _stats(df, cols, F.avg, F.stddev_pop)
+    return df.withColumns({f"{c}_z": ratio(F.col(c) - F.lit(m), F.lit(s), 0.0) for c, (m, s) in zip(cols, stats)})
 
 
 def minmax_scaler(df: DataFrame, cols) -> DataFrame:
-    aggs = {}
-    for c in cols:
-        aggs[f"lo_{c}"], aggs[f"hi_{c}"] = F.min(c), F.max(c)
-    s = _stats(df, aggs)
+    stats = _stats(df, cols, F.min, F.max)
     return df.withColumns(
-        {
-            f"{c}_mm": ratio(F.col(c) - s.getField(f"lo_{c}"), s.getField(f"hi_{c}") - s.getField(f"lo_{c}"), 0.0)
-            for c in cols
-        }
+        {f"{c}_mm": ratio(F.col(c) - F.lit(lo), F.lit(hi) - F.lit(lo), 0.0) for c, (lo, hi) in zip(cols, stats)}
     )
 
 
 def outlier_filter(df: DataFrame, cols, sigmas: float = 10.0) -> DataFrame:
     """Rows whose every column is within ``sigmas`` population deviations of the mean."""
-    aggs = {}
-    for c in cols:
-        aggs[f"m_{c}"], aggs[f"s_{c}"] = F.avg(c), F.stddev_pop(c)
-    s = _stats(df, aggs)
     keep = F.lit(True)
-    for c in cols:
-        keep = keep & (F.abs(F.col(c) - s.getField(f"m_{c}")) <= s.getField(f"s_{c}") * F.lit(sigmas))
+    for c, (m, s) in zip(cols, _stats(df, cols, F.avg, F.stddev_pop)):
+        keep = keep & (F.abs(F.col(c) - F.lit(m)) <= F.lit(s) * F.lit(sigmas))
     return df.where(keep)
 
 

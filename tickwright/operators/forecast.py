@@ -10,8 +10,10 @@ from tickwright.functions.scalar import horizons
 from tickwright.operators import confidence as conf
 from tickwright.operators import ensemble as ens
 from tickwright.operators.features import features_b, latest_features, target_pct
+from tickwright.functions.windows import symbol_rows
 from tickwright.operators.quality import validate_quality
 from tickwright.schema import FEATURES_38, HORIZON_DAYS, MIN_SERVING_ROWS
+from tickwright.session import materialize
 
 
 def recent_targets(targets: DataFrame, n: int = 30) -> DataFrame:
@@ -134,10 +136,10 @@ def batch_forecast(
     bars: DataFrame, fitted: dict, accuracy: dict[str, float], as_of: str, kinds=("ensemble", "model")
 ) -> DataFrame:
     """Quality gate, features, five horizons, ensemble and confidence for every symbol."""
-    good = validate_quality(bars)
-    features = features_b(good)
-    enough = features.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= MIN_SERVING_ROWS)
-    features = features.join(enough.select("symbol"), "symbol", "left_semi")
+    good = materialize(validate_quality(bars), "bars")
+    long_enough = features_b(good).withColumn("_n", symbol_rows()).where(F.col("_n") >= MIN_SERVING_ROWS)
+    # Read three times below (serving rows, targets, counts): stored once.
+    features = materialize(long_enough.drop("_n"), "features")
     serving = latest_features(features)
     next_day = score_models(fitted, serving)
     context = symbol_context(good, features)
@@ -259,7 +261,8 @@ def per_symbol_train_and_forecast(features: DataFrame, horizon: str = "1D", look
             rows.append((pdf["symbol"].iloc[0], name, float(model(last)[0]), float(np.sqrt((e**2).mean())), n))
         return pd.DataFrame(rows, columns=["symbol", "model", "price", "rmse", "data_points_used"])
 
-    scored = features.select("symbol", "date", *cols).groupBy("symbol").applyInPandas(fit, schema)
+    # Two rows per symbol, read three times below: stored once.
+    scored = materialize(features.select("symbol", "date", *cols).groupBy("symbol").applyInPandas(fit, schema), "scored")
     weighted = ens.inverse_rmse_weights(scored, ["symbol"])
     points = scored.groupBy("symbol").agg(F.max("data_points_used").alias("data_points_used"))
     return (

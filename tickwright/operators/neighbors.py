@@ -274,3 +274,29 @@ def kernel_similarity(
     else:
         raise ValueError(f"unknown kernel {kind}")
     return with_vectors(pairs, points, key, vec).select("id_a", "id_b", value.alias("similarity"))
+
+
+# ---- the training set of the neighbour model ------------------------------------------------------
+
+
+def knn_training_set(df: DataFrame, cols: list[str], key: str, max_samples: int = 50000, sigmas: float = 10.0) -> DataFrame:
+    """Finite values, no row beyond ``sigmas`` deviations, at most ``max_samples`` rows.
+
+    Above the limit the rows are a repeatable uniform sample, as the model is defined.
+    """
+    from tickwright.functions.numeric import nan_to_num
+    from tickwright.operators.features import outlier_filter, subsample
+
+    clean = df.withColumns({c: nan_to_num(c) for c in cols})
+    kept = outlier_filter(clean, cols, sigmas)
+    return subsample(kept, key, max_samples)
+
+
+def scale_like(train: DataFrame, rows: DataFrame, cols: list[str], out: str = "features") -> DataFrame:
+    """``rows`` z-scored with the population statistics of ``train``, as one array column."""
+    from tickwright.functions.numeric import ratio
+
+    from tickwright.operators.features import _stats
+
+    stats = _stats(train, cols, F.avg, F.stddev_pop)
+    return rows.withColumn(out, F.array(*[ratio(F.col(c) - F.lit(m), F.lit(s), 0.0) for c, (m, s) in zip(cols, stats)]))

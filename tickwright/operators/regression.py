@@ -238,7 +238,7 @@ class SvrModel:
 
 
 def fit_svr(
-    df: DataFrame, cols: list[str], label: str = "label", c: float = 1.0, epsilon: float = 0.1, epochs: int = 40,
+    df: DataFrame, cols: list[str], label: str = "label", c: float = 1.0, epsilon: float = 0.1, epochs: int = 25,
     lr: float = 0.5, kernel_below: int = 50000, components: int = 256, seed: int = 42,
 ) -> SvrModel:
     """Epsilon-insensitive regression by full-batch subgradient steps.
