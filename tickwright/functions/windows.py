@@ -28,23 +28,87 @@ def rolling(agg, c, n: int, w=None) -> Column:
     return F.when(F.count(col(c)).over(frame) == n, agg(col(c)).over(frame))
 
 
-def symbol_rows(key: str = "symbol") -> Column:
-    """Whole-symbol row count for the length gates (S9)."""
-    return F.count(F.lit(1)).over(Window.partitionBy(key))
+def symbol_rows(key: str = "symbol", order: str = "date") -> Column:
+    """Whole-symbol row count for the length gates (S9).
+
+    The frame is ordered although the count does not need it: it then joins the window node
+    of the other per-symbol columns instead of forming one of its own.
+    """
+    every = by_symbol(key, order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return F.count(F.lit(1)).over(every)
 
 
 def pct_change(c, periods: int = 1, w=None) -> Column:
     return ratio(col(c), F.lag(col(c), periods).over(w or by_symbol())) - F.lit(1.0)
 
 
-def gain_loss(c, w=None) -> tuple[Column, Column]:
+def gain_loss(c, prev: Column) -> tuple[Column, Column]:
     """Up and down moves; the missing first move counts as zero (S7)."""
-    delta = F.coalesce(col(c) - F.lag(col(c)).over(w or by_symbol()), F.lit(0.0))
+    delta = F.coalesce(col(c) - prev, F.lit(0.0))
     return F.greatest(delta, F.lit(0.0)), F.greatest(-delta, F.lit(0.0))
 
 
+# ---- shared primitives ------------------------------------------------------------------------
+#
+# Indicator groups ask for lags, rolling figures and the row count through these accessors. A
+# caller that needs many groups first adds them all with ``with_primitives`` (two window nodes);
+# the groups then find the columns instead of adding window nodes of their own.
+
+AGGS = {"avg": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+
+
+def lag_of(df: DataFrame, c: str, k: int = 1) -> Column:
+    name = f"_lag_{c}_{k}"
+    return F.col(name) if name in df.columns else F.lag(c, k).over(by_symbol())
+
+
+def roll_of(df: DataFrame, stat: str, c: str, n: int) -> Column:
+    """Rolling figure with the minimum-period rule."""
+    name = f"_{stat}_{c}_{n}"
+    if name not in df.columns:
+        return rolling(AGGS[stat], c, n)
+    return F.when(F.col("_t") - F.coalesce(f"_gap_{c}", F.lit(-1)) >= n, F.col(name))
+
+
+def rows_of(df: DataFrame) -> Column:
+    return F.col("_rows") if "_rows" in df.columns else symbol_rows()
+
+
+def change_of(df: DataFrame, c: str, k: int = 1) -> Column:
+    return ratio(col(c), lag_of(df, c, k)) - F.lit(1.0)
+
+
+def with_primitives(df: DataFrame, lags=(), rolls=()) -> DataFrame:
+    """Adds ``lags`` [(column, k)] and ``rolls`` [(stat, column, n)] for the accessors above.
+
+    Everything after the row number is ordered by (block, row), the order of the exponential
+    means, so one more sort serves all later window nodes. A rolling figure is valid when no
+    NULL lies in its frame: the row of the last NULL is one running maximum per column,
+    instead of one count per frame.
+    """
+    if "_t" not in df.columns:
+        df = with_position(df).withColumn("_rows", symbol_rows())
+    w = ordered_blocks()
+    cols = {f"_lag_{c}_{k}": F.lag(c, k).over(w) for c, k in lags}
+    for c in {c for _, c, _ in rolls}:
+        cols[f"_gap_{c}"] = F.max(F.when(F.col(c).isNull(), F.col("_t"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    for stat, c, n in rolls:
+        cols[f"_{stat}_{c}_{n}"] = AGGS[stat](c).over(w.rowsBetween(-(n - 1), 0))
+    return df.withColumns(cols)
+
+
+def ordered_blocks(key: str = "symbol"):
+    return Window.partitionBy(key).orderBy("_b", "_t")
+
+
+def drop_primitives(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith("_")])
+
+
 def with_position(df: DataFrame, key: str = "symbol", order: str = "date") -> DataFrame:
     """Adds ``_t`` (0-based row), ``_b`` (block) and ``_j`` (row within the block)."""
+    if "_t" in df.columns:
+        return df
     t = F.row_number().over(by_symbol(key, order)) - F.lit(1)
     return (
         df.withColumn("_t", t)

@@ -9,13 +9,15 @@ from tickwright.functions.numeric import clip, nan_to_num, ratio
 from tickwright.functions.position import with_global_rank
 from tickwright.functions.windows import (
     by_symbol,
-    drop_position,
+    change_of,
+    drop_primitives,
     ema_over_blocks,
     gain_loss,
-    pct_change,
-    rolling,
+    lag_of,
+    roll_of,
+    rows_of,
     symbol_rows,
-    with_position,
+    with_primitives,
 )
 from tickwright.schema import (
     FEATURES_38,
@@ -33,30 +35,33 @@ from tickwright.schema import (
 
 
 def moving_averages(df: DataFrame, ns=MOVING_AVERAGES) -> DataFrame:
-    df = df.withColumns({f"ma_{n}": rolling(F.avg, "close", n) for n in ns})
+    df = df.withColumns({f"ma_{n}": roll_of(df, "avg", "close", n) for n in ns})
     return df.withColumns({f"ma_{n}_ratio": ratio("close", f"ma_{n}") for n in ns})
 
 
 def price_change_b(df: DataFrame) -> DataFrame:
-    change = pct_change("close")
+    change = change_of(df, "close")
     return df.withColumns({"price_change": change, "price_change_abs": F.abs(change)})
 
 
 def volatility_20(df: DataFrame, n: int = 20) -> DataFrame:
     """Rolling sample deviation of ``price_change``."""
-    return df.withColumn("volatility", rolling(F.stddev_samp, "price_change", n))
+    return df.withColumn("volatility", roll_of(df, "std", "price_change", n))
 
 
 def rsi_plain(df: DataFrame, period: int = RSI_PERIOD, out: str = "rsi") -> DataFrame:
     """RSI without guards: 100 in a window of gains only, NULL in a window without moves."""
-    gain, loss = gain_loss("close")
-    df = df.withColumns({"_gain": gain, "_loss": loss})
-    df = df.withColumns({"_g": rolling(F.avg, "_gain", period), "_l": rolling(F.avg, "_loss", period)})
+    base = df
+    if "_gain" not in df.columns:
+        gain, loss = gain_loss("close", lag_of(df, "close"))
+        df = df.withColumns({"_gain": gain, "_loss": loss})
+    df = df.withColumns({"_g": roll_of(df, "avg", "_gain", period), "_l": roll_of(df, "avg", "_loss", period)})
     rs = ratio("_g", "_l")
     value = F.when(F.col("_l") == 0, F.when(F.col("_g") > 0, F.lit(100.0))).otherwise(
         F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + rs)
     )
-    return df.withColumn(out, value).drop("_gain", "_loss", "_g", "_l")
+    df = df.withColumn(out, value).drop("_g", "_l")
+    return df if "_gain" in base.columns else df.drop("_gain", "_loss")
 
 
 def day_ratios_plain(df: DataFrame) -> DataFrame:
@@ -71,10 +76,8 @@ def day_ratios_plain(df: DataFrame) -> DataFrame:
 
 
 def lags_and_rolling(df: DataFrame) -> DataFrame:
-    cols = {f"close_lag_{k}": F.lag("close", k).over(by_symbol()) for k in LAGS}
-    for n in ROLLING:
-        for stat, agg in (("std", F.stddev_samp), ("min", F.min), ("max", F.max)):
-            cols[f"close_{stat}_{n}"] = rolling(agg, "close", n)
+    cols = {f"close_lag_{k}": lag_of(df, "close", k) for k in LAGS}
+    cols |= {f"close_{stat}_{n}": roll_of(df, stat, "close", n) for n in ROLLING for stat in ("std", "min", "max")}
     return df.withColumns(cols)
 
 
@@ -110,8 +113,21 @@ def fixed_feature_set(df: DataFrame) -> DataFrame:
 
 def library_b(bars: DataFrame) -> DataFrame:
     """All library-B columns, NULL where undefined; one exchange by symbol."""
-    df = bars
-    for step in (price_change_b, moving_averages, volatility_20, rsi_plain, day_ratios_plain, lags_and_rolling, calendar_features):
+    return drop_primitives(_library_b(bars))
+
+
+def _library_b(bars: DataFrame) -> DataFrame:
+    df = with_primitives(
+        bars,
+        lags=[("close", k) for k in LAGS],
+        rolls=[("avg", "close", n) for n in MOVING_AVERAGES] + [(s, "close", n) for n in ROLLING for s in ("std", "min", "max")],
+    )
+    gain, loss = gain_loss("close", F.col("_lag_close_1"))
+    df = price_change_b(df.withColumns({"_gain": gain, "_loss": loss}))
+    df = with_primitives(
+        df, rolls=[("avg", "_gain", RSI_PERIOD), ("avg", "_loss", RSI_PERIOD), ("std", "price_change", 20)]
+    )
+    for step in (moving_averages, volatility_20, rsi_plain, day_ratios_plain, lags_and_rolling, calendar_features):
         df = step(df)
     return market_type(df) if "category" in bars.columns else df
 
@@ -122,8 +138,8 @@ def features_b(bars: DataFrame) -> DataFrame:
     Rows with a missing feature or price are dropped, except that a moving average longer
     than the symbol's whole history takes its default instead of emptying the symbol.
     """
-    df = library_b(bars).withColumn("_rows", symbol_rows())
-    complete = F.lit(True)
+    df = _library_b(bars)
+    complete = F.col("close").isNotNull()
     for name in FEATURES_38:
         if name not in df.columns:
             continue
@@ -133,7 +149,7 @@ def features_b(bars: DataFrame) -> DataFrame:
         elif name.startswith(("close_std", "close_min", "close_max")):
             present = present | (F.col("_rows") < int(name.rsplit("_", 1)[1]))
         complete = complete & present
-    return fixed_feature_set(df.where(complete & F.col("close").isNotNull()))
+    return fixed_feature_set(df.where(complete))
 
 
 # ---- library C ------------------------------------------------------------------------------
@@ -147,14 +163,27 @@ FEATURES_C = [
 
 
 def library_c(bars: DataFrame) -> DataFrame:
-    df = bars.withColumns(
+    return drop_primitives(_library_c(bars))
+
+
+def _library_c(bars: DataFrame) -> DataFrame:
+    lags = (1, 2, 3, 5, 10, 30)
+    df = with_primitives(
+        bars,
+        lags=[("close", k) for k in lags],
+        rolls=[("avg", "close", n) for n in (20, 50, 200)] + [("std", "close", 20)],
+    )
+    gain, loss = gain_loss("close", F.col("_lag_close_1"))
+    df = df.withColumns(
         {
-            "price_change": pct_change("close"),
+            "_gain": gain,
+            "_loss": loss,
+            "price_change": change_of(df, "close"),
             "high_low_ratio": ratio("high", "low"),
             "close_open_ratio": ratio("close", "open"),
-            **{f"sma_{n}": rolling(F.avg, "close", n) for n in (20, 50, 200)},
-            **{f"close_lag_{k}": F.lag("close", k).over(by_symbol()) for k in (1, 2, 3, 5, 10, 30)},
-            "price_volatility": rolling(F.stddev_samp, "close", 20),
+            **{f"sma_{n}": roll_of(df, "avg", "close", n) for n in (20, 50, 200)},
+            **{f"close_lag_{k}": lag_of(df, "close", k) for k in lags},
+            "price_volatility": roll_of(df, "std", "close", 20),
         }
     )
     df = df.withColumns(
@@ -171,21 +200,22 @@ def library_c(bars: DataFrame) -> DataFrame:
             "bb_position": ratio(F.col("close") - F.col("bb_lower"), spread),
         }
     )
+    df = with_primitives(df, rolls=[("avg", "_gain", RSI_PERIOD), ("avg", "_loss", RSI_PERIOD)])
     df = rsi_plain(df, out="rsi_14")
-    df = ema_over_blocks(with_position(df), [("close", 12, "ema_12"), ("close", 26, "ema_26")])
+    df = ema_over_blocks(df, [("close", 12, "ema_12"), ("close", 26, "ema_26")])
     df = ema_over_blocks(df.withColumn("macd", F.col("ema_12") - F.col("ema_26")), [("macd", 9, "macd_signal")])
-    return drop_position(df.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal")))
+    return df.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
 
 
 def features_c(bars: DataFrame, lookback: int = LOOKBACK) -> DataFrame:
     """Complete library-C rows; symbols shorter than ``lookback`` keep their bars only."""
-    df = library_c(bars).withColumn("_rows", symbol_rows())
+    df = _library_c(bars)
     complete = F.lit(True)
     for c in FEATURES_C:
         complete = complete & F.col(c).isNotNull()
     short = F.col("_rows") < lookback
-    out = df.where(complete | short)
-    return out.withColumns({c: F.when(~short, F.col(c)) for c in FEATURES_C}).drop("_rows")
+    out = df.where(complete | short).withColumns({c: F.when(~short, F.col(c)) for c in FEATURES_C})
+    return drop_primitives(out)
 
 
 # ---- targets and matrices -----------------------------------------------------------------------

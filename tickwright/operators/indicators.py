@@ -14,13 +14,16 @@ from pyspark.sql import types as T
 from tickwright.functions.numeric import null_if_not_finite, ratio
 from tickwright.functions.windows import (
     by_symbol,
+    change_of,
     drop_position,
+    drop_primitives,
     ema_over_blocks,
     gain_loss,
-    pct_change,
-    rolling,
-    symbol_rows,
+    lag_of,
+    roll_of,
+    rows_of,
     with_position,
+    with_primitives,
 )
 from tickwright.schema import LAGS, MOVING_AVERAGES, ROLLING, RSI_PERIOD
 
@@ -28,19 +31,19 @@ EMA_SPANS = [12, 26]
 SIGNAL_SPAN = 9
 
 
-def _enough(n: int):
-    return symbol_rows() >= n
+def _enough(df: DataFrame, n: int):
+    return rows_of(df) >= n
 
 
 def sma(df: DataFrame, ns=MOVING_AVERAGES) -> DataFrame:
     """Simple moving averages of the close."""
-    return df.withColumns({f"sma_{n}": rolling(F.avg, "close", n) for n in ns})
+    return df.withColumns({f"sma_{n}": roll_of(df, "avg", "close", n) for n in ns})
 
 
 def sma_ratio(df: DataFrame, ns=MOVING_AVERAGES) -> DataFrame:
     """close / sma, 1.0 where the average is undefined or zero; needs the sma columns."""
     return df.withColumns(
-        {f"sma_{n}_ratio": F.when(_enough(n), ratio("close", f"sma_{n}", 1.0)) for n in ns}
+        {f"sma_{n}_ratio": F.when(_enough(df, n), ratio("close", f"sma_{n}", 1.0)) for n in ns}
     )
 
 
@@ -51,7 +54,7 @@ def ema(df: DataFrame, spans=EMA_SPANS) -> DataFrame:
 
 def ema_ratio(df: DataFrame, spans=EMA_SPANS) -> DataFrame:
     return df.withColumns(
-        {f"ema_{s}_ratio": F.when(_enough(s), ratio("close", f"ema_{s}", 1.0)) for s in spans}
+        {f"ema_{s}_ratio": F.when(_enough(df, s), ratio("close", f"ema_{s}", 1.0)) for s in spans}
     )
 
 
@@ -63,7 +66,11 @@ def macd(df: DataFrame) -> DataFrame:
 def _ema_family(df: DataFrame, spans, macd: bool) -> DataFrame:
     """EMA columns and the MACD group from one block layout (shared exchange and sorts)."""
     needed = sorted(set(spans) | (set(EMA_SPANS) if macd else set()))
-    placed = ema_over_blocks(with_position(df), [("close", s, f"_ema{s}") for s in needed])
+    rows = rows_of(df)
+    placed_before = "_t" in df.columns
+    placed = df if placed_before else with_position(df.withColumn("_rows", rows))
+    placed = ema_over_blocks(placed, [("close", s, f"_ema{s}") for s in needed])
+    enough = lambda n: F.col("_rows") >= n
     if macd:
         fast, slow = EMA_SPANS
         placed = placed.withColumn("macd", F.col(f"_ema{fast}") - F.col(f"_ema{slow}"))
@@ -72,29 +79,31 @@ def _ema_family(df: DataFrame, spans, macd: bool) -> DataFrame:
         zero = F.lit(0.0)
         placed = placed.withColumns(
             {
-                c: F.when(_enough(slow), F.col(c)).otherwise(zero)
+                c: F.when(enough(slow), F.col(c)).otherwise(zero)
                 for c in ("macd", "macd_signal", "macd_histogram")
             }
         )
-    placed = placed.withColumns({f"ema_{s}": F.when(_enough(s), F.col(f"_ema{s}")) for s in spans})
-    return drop_position(placed).drop(*[f"_ema{s}" for s in needed])
+    placed = placed.withColumns({f"ema_{s}": F.when(enough(s), F.col(f"_ema{s}")) for s in spans})
+    placed = placed.drop(*[f"_ema{s}" for s in needed])
+    return placed if placed_before else drop_position(placed).drop("_rows")
 
 
 def rsi_guarded(df: DataFrame, period: int = RSI_PERIOD, out: str = "rsi") -> DataFrame:
     """RSI that is 50 in the warm-up, for short symbols and in windows without losses."""
-    gain, loss = gain_loss("close")
-    df = df.withColumns({"_gain": gain, "_loss": loss})
-    rs = ratio(rolling(F.avg, "_gain", period), rolling(F.avg, "_loss", period), 1.0)
+    base = df
+    if "_gain" not in df.columns:
+        gain, loss = gain_loss("close", lag_of(df, "close"))
+        df = df.withColumns({"_gain": gain, "_loss": loss})
+    rs = ratio(roll_of(df, "avg", "_gain", period), roll_of(df, "avg", "_loss", period), 1.0)
     value = F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + rs)
-    return df.withColumn(out, F.when(_enough(period + 1), value).otherwise(F.lit(50.0))).drop(
-        "_gain", "_loss"
-    )
+    df = df.withColumn(out, F.when(_enough(df, period + 1), value).otherwise(F.lit(50.0)))
+    return df if "_gain" in base.columns else df.drop("_gain", "_loss")
 
 
 def bollinger(df: DataFrame, period: int = 20, width: float = 2.0) -> DataFrame:
     """Bands around the moving average; short symbols get the close for all three."""
-    mid, dev = rolling(F.avg, "close", period), rolling(F.stddev_samp, "close", period)
-    long_enough = _enough(period)
+    mid, dev = roll_of(df, "avg", "close", period), roll_of(df, "std", "close", period)
+    long_enough = _enough(df, period)
     close = F.col("close")
     return df.withColumns(
         {
@@ -117,31 +126,37 @@ def bb_shape(df: DataFrame) -> DataFrame:
 
 
 def price_change(df: DataFrame) -> DataFrame:
-    change = pct_change("close")
+    change = change_of(df, "close")
     return df.withColumns({"price_change": change, "price_change_abs": F.abs(change)})
 
 
 def returns(df: DataFrame, days=(1, 5, 10)) -> DataFrame:
-    return df.withColumns({f"return_{d}d": pct_change("close", d) for d in days})
+    return df.withColumns({f"return_{d}d": change_of(df, "close", d) for d in days})
 
 
 def momentum(df: DataFrame, days=(5, 10, 20)) -> DataFrame:
-    return df.withColumns({f"momentum_{d}d": pct_change("close", d) for d in days})
+    return df.withColumns({f"momentum_{d}d": change_of(df, "close", d) for d in days})
 
 
 def volatility(df: DataFrame, ns=ROLLING) -> DataFrame:
     """Rolling sample deviation of ``price_change``."""
-    return df.withColumns({f"volatility_{n}d": rolling(F.stddev_samp, "price_change", n) for n in ns})
+    return df.withColumns({f"volatility_{n}d": roll_of(df, "std", "price_change", n) for n in ns})
 
 
 def atr(df: DataFrame, period: int = 14) -> DataFrame:
     """Mean true range; the first row has no previous close, hence no range (S6)."""
-    prev = F.lag("close").over(by_symbol())
+    base = df
+    if "_tr" not in df.columns:
+        df = df.withColumn("_tr", true_range(lag_of(df, "close")))
+    df = df.withColumn("atr", roll_of(df, "avg", "_tr", period))
+    return df if "_tr" in base.columns else df.drop("_tr")
+
+
+def true_range(prev):
     spread = F.greatest(
         F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev)
     )
-    df = df.withColumn("_tr", F.when(prev.isNotNull(), spread))
-    return df.withColumn("atr", rolling(F.avg, "_tr", period)).drop("_tr")
+    return F.when(prev.isNotNull(), spread)
 
 
 def day_ratios(df: DataFrame) -> DataFrame:
@@ -162,27 +177,22 @@ def day_shape(df: DataFrame) -> DataFrame:
 
 
 def close_lags(df: DataFrame, ks=LAGS) -> DataFrame:
-    w = by_symbol()
     cols = {}
     for k in ks:
-        lagged = F.lag("close", k).over(w)
+        lagged = lag_of(df, "close", k)
         cols[f"close_lag_{k}"] = lagged
         cols[f"close_lag_{k}_ratio"] = ratio("close", lagged, 1.0)
     return df.withColumns(cols)
 
 
 def range_lags(df: DataFrame, ks=(1, 2, 5)) -> DataFrame:
-    w = by_symbol()
-    return df.withColumns({f"{c}_lag_{k}": F.lag(c, k).over(w) for k in ks for c in ("high", "low")})
+    return df.withColumns({f"{c}_lag_{k}": lag_of(df, c, k) for k in ks for c in ("high", "low")})
 
 
 def rolling_stats(df: DataFrame, ns=ROLLING) -> DataFrame:
-    cols = {}
-    for n in ns:
-        cols[f"close_min_{n}"] = rolling(F.min, "close", n)
-        cols[f"close_max_{n}"] = rolling(F.max, "close", n)
-        cols[f"close_std_{n}"] = rolling(F.stddev_samp, "close", n)
-    return df.withColumns(cols)
+    return df.withColumns(
+        {f"close_{stat}_{n}": roll_of(df, stat, "close", n) for n in ns for stat in ("min", "max", "std")}
+    )
 
 
 def close_position(df: DataFrame, ns=ROLLING) -> DataFrame:
@@ -203,13 +213,25 @@ def all_indicators(df: DataFrame) -> DataFrame:
     if missing:
         raise ValueError(f"missing columns: {missing}")
     keep = df.columns
-    out = df
+    out = with_primitives(
+        df,
+        lags=[("close", k) for k in (1, 2, 3, 5, 10, 20)] + [(c, k) for c in ("high", "low") for k in (1, 2, 5)],
+        rolls=[("avg", "close", n) for n in MOVING_AVERAGES] + [(s, "close", n) for n in ROLLING for s in ("std", "min", "max")],
+    )
+    prev = F.col("_lag_close_1")
+    gain, loss = gain_loss("close", prev)
+    out = price_change(out.withColumns({"_gain": gain, "_loss": loss, "_tr": true_range(prev)}))
+    out = with_primitives(
+        out,
+        rolls=[("avg", "_gain", RSI_PERIOD), ("avg", "_loss", RSI_PERIOD), ("avg", "_tr", 14)]
+        + [("std", "price_change", n) for n in ROLLING],
+    )
     for group in (
-        sma, sma_ratio, rsi_guarded, bollinger, bb_shape, price_change, returns, momentum,
-        volatility, atr, day_ratios, day_shape, close_lags, range_lags, rolling_stats, close_position,
+        sma, sma_ratio, rsi_guarded, bollinger, bb_shape, returns, momentum, volatility, atr,
+        day_ratios, day_shape, close_lags, range_lags, rolling_stats, close_position,
     ):
         out = group(out)
-    out = ema_ratio(_ema_family(out, EMA_SPANS, macd=True))
+    out = drop_primitives(ema_ratio(_ema_family(out, EMA_SPANS, macd=True)))
     added = [c for c in out.columns if c not in keep]
     return out.select(*keep, *[null_if_not_finite(c).alias(c) for c in added])
 

@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None):
 
 TICKS = """ticks AS (
   SELECT l_suppkey AS supplier, CAST(l_shipdate AS DATE) AS day,
-         p_retailprice * (1.0 - l_discount) AS px, l_quantity, l_orderkey, l_linenumber
+         floor(p_retailprice * (1.0 - l_discount) * 100.0 + 0.5003) / 100.0 AS px, l_quantity, l_orderkey, l_linenumber
   FROM lineitem JOIN part ON p_partkey = l_partkey)"""
 
 _AGG = """arg_min(px, row(l_orderkey, l_linenumber, px)) AS open, max(px) AS high, min(px) AS low,
