@@ -284,11 +284,14 @@ def fit_svr(
             grad[r["pos"]] = r["v"]
         grad = grad * (c / n)
         grad[:-1] += model.w / n
-        rate = lr / np.sqrt(step + 1.0)
+        # Cosine features have unit length, so their weights need longer steps.
+        rate = lr * (4.0 if model.omega is not None else 1.0) / np.sqrt(step + 1.0)
         model = SvrModel(model.cols, model.mean, model.std, model.w - rate * grad[:-1], model.b - rate * grad[-1], model.omega, model.phase)
-        total += np.r_[model.w, model.b]
+        if step >= epochs // 2:  # the average of the later half converges faster than any iterate
+            total += np.r_[model.w, model.b]
         state.unpersist()
-    model.w, model.b = total[:-1] / epochs, float(total[-1] / epochs)
+    kept = epochs - epochs // 2
+    model.w, model.b = total[:-1] / kept, float(total[-1] / kept)
     return model
 
 
