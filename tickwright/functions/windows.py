@@ -87,7 +87,7 @@ def with_primitives(df: DataFrame, lags=(), rolls=()) -> DataFrame:
     instead of one count per frame.
     """
     if "_t" not in df.columns:
-        df = with_position(df).withColumn("_rows", symbol_rows())
+        df = with_position(df.withColumn("_rows", symbol_rows()))
     w = ordered_blocks()
     cols = {f"_lag_{c}_{k}": F.lag(c, k).over(w) for c, k in lags}
     for c in {c for _, c, _ in rolls}:
@@ -110,10 +110,8 @@ def with_position(df: DataFrame, key: str = "symbol", order: str = "date") -> Da
     if "_t" in df.columns:
         return df
     t = F.row_number().over(by_symbol(key, order)) - F.lit(1)
-    return (
-        df.withColumn("_t", t)
-        .withColumn("_b", F.floor(F.col("_t") / F.lit(BLOCK)).cast("int"))
-        .withColumn("_j", F.col("_t") % F.lit(BLOCK))
+    return df.withColumn("_t", t).withColumns(
+        {"_b": F.floor(F.col("_t") / F.lit(BLOCK)).cast("int"), "_j": F.col("_t") % F.lit(BLOCK)}
     )
 
 
@@ -165,3 +163,28 @@ def ema(df: DataFrame, c: str, spans: dict[int, str], key: str = "symbol", order
     """``ewm(span)`` of one column for several spans at once."""
     placed = with_position(df, key, order)
     return drop_position(ema_over_blocks(placed, [(c, s, out) for s, out in spans.items()], key))
+
+
+class Staged:
+    """Stands in for a frame and collects the columns that several groups add.
+
+    Groups that only read columns of the frame itself are then added by one ``withColumns``,
+    which analyses the plan once instead of once per group.
+    """
+
+    def __init__(self, df: DataFrame):
+        self.df, self.columns, self.added = df, list(df.columns), {}
+
+    def withColumns(self, cols: dict[str, Column]) -> "Staged":
+        self.added |= cols
+        return self
+
+    def withColumn(self, name: str, c: Column) -> "Staged":
+        return self.withColumns({name: c})
+
+    @staticmethod
+    def apply(df: DataFrame, *groups) -> DataFrame:
+        stage = Staged(df)
+        for group in groups:
+            group(stage)
+        return df.withColumns(stage.added)

@@ -16,6 +16,7 @@ from tickwright.functions.windows import (
     lag_of,
     roll_of,
     rows_of,
+    Staged,
     symbol_rows,
     with_primitives,
 )
@@ -127,9 +128,9 @@ def _library_b(bars: DataFrame) -> DataFrame:
     df = with_primitives(
         df, rolls=[("avg", "_gain", RSI_PERIOD), ("avg", "_loss", RSI_PERIOD), ("std", "price_change", 20)]
     )
-    for step in (moving_averages, volatility_20, rsi_plain, day_ratios_plain, lags_and_rolling, calendar_features):
-        df = step(df)
-    return market_type(df) if "category" in bars.columns else df
+    groups = [volatility_20, day_ratios_plain, lags_and_rolling, calendar_features]
+    groups += [market_type] if "category" in bars.columns else []
+    return rsi_plain(moving_averages(Staged.apply(df, *groups)))
 
 
 def features_b(bars: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ from tickwright.functions.windows import (
     lag_of,
     roll_of,
     rows_of,
+    Staged,
     with_position,
     with_primitives,
 )
@@ -75,15 +76,15 @@ def _ema_family(df: DataFrame, spans, macd: bool) -> DataFrame:
         fast, slow = EMA_SPANS
         placed = placed.withColumn("macd", F.col(f"_ema{fast}") - F.col(f"_ema{slow}"))
         placed = ema_over_blocks(placed, [("macd", SIGNAL_SPAN, "macd_signal")])
-        placed = placed.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
-        zero = F.lit(0.0)
-        placed = placed.withColumns(
-            {
-                c: F.when(enough(slow), F.col(c)).otherwise(zero)
-                for c in ("macd", "macd_signal", "macd_histogram")
-            }
-        )
-    placed = placed.withColumns({f"ema_{s}": F.when(enough(s), F.col(f"_ema{s}")) for s in spans})
+    final = {f"ema_{s}": F.when(enough(s), F.col(f"_ema{s}")) for s in spans}
+    if macd:
+        values = {
+            "macd": F.col("macd"),
+            "macd_signal": F.col("macd_signal"),
+            "macd_histogram": F.col("macd") - F.col("macd_signal"),
+        }
+        final |= {c: F.when(enough(slow), v).otherwise(F.lit(0.0)) for c, v in values.items()}
+    placed = placed.withColumns(final)
     placed = placed.drop(*[f"_ema{s}" for s in needed])
     return placed if placed_before else drop_position(placed).drop("_rows")
 
@@ -220,18 +221,20 @@ def all_indicators(df: DataFrame) -> DataFrame:
     )
     prev = F.col("_lag_close_1")
     gain, loss = gain_loss("close", prev)
-    out = price_change(out.withColumns({"_gain": gain, "_loss": loss, "_tr": true_range(prev)}))
+    out = Staged.apply(
+        out, price_change, lambda s: s.withColumns({"_gain": gain, "_loss": loss, "_tr": true_range(prev)})
+    )
     out = with_primitives(
         out,
         rolls=[("avg", "_gain", RSI_PERIOD), ("avg", "_loss", RSI_PERIOD), ("avg", "_tr", 14)]
         + [("std", "price_change", n) for n in ROLLING],
     )
-    for group in (
-        sma, sma_ratio, rsi_guarded, bollinger, bb_shape, returns, momentum, volatility, atr,
-        day_ratios, day_shape, close_lags, range_lags, rolling_stats, close_position,
-    ):
-        out = group(out)
-    out = drop_primitives(ema_ratio(_ema_family(out, EMA_SPANS, macd=True)))
+    out = _ema_family(out, EMA_SPANS, macd=True)
+    out = Staged.apply(
+        out, sma, rsi_guarded, bollinger, returns, momentum, volatility, atr, day_ratios, day_shape,
+        close_lags, range_lags, rolling_stats, ema_ratio,
+    )
+    out = drop_primitives(Staged.apply(out, sma_ratio, bb_shape, close_position))
     added = [c for c in out.columns if c not in keep]
     return out.select(*keep, *[null_if_not_finite(c).alias(c) for c in added])
 
