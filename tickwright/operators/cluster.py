@@ -82,7 +82,10 @@ def _blocks(df: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
 
 def _dense_meetings(g: DataFrame, dims: int, reach: int, fn, schema: str) -> DataFrame:
     """Runs ``fn(left block, right block)`` for neighbouring cells that are both dense."""
-    dense = _blocks(g.where(F.col("n") > SPARSE))
+    crowded = g.where(F.col("n") > SPARSE)
+    if crowded.isEmpty():
+        return g.sparkSession.createDataFrame([], schema)
+    dense = _blocks(crowded)
     cells = dense.groupBy("cell").agg(F.first("blocks").alias("blocks"))
     left = cells.select(F.col("cell").alias("lc"), F.col("blocks").alias("lb"), F.explode(shifted("cell", dims, reach)).alias("rc"))
     right = cells.select(F.col("cell").alias("rc"), F.col("blocks").alias("rb"))
@@ -148,7 +151,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         hooked = labels.join(near, "node", "left").select(
             "node", F.col("label").alias("old"), F.least("label", "near").alias("label")
         )
-        hooked = materialize(hooked, "hooked")
         parent = hooked.select(F.col("node").alias("label"), F.col("label").alias("up"))
         jumped = materialize(
             hooked.join(parent, "label", "left").select("node", "old", F.least("label", "up").alias("label")), "labels"
