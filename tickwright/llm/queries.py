@@ -46,3 +46,33 @@ def op2_line_dedup(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+WORDS = f"regexp_extract_all({LOWER.format('coalesce(text, chr(32))')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+@query(
+    "op1_decontaminate",
+    f"""
+WITH items AS (SELECT item_id, {WORDS} AS w FROM benchmark),
+starts AS (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 12, 1))) AS s FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, list_slice(w, s, s + 12) AS win FROM starts),
+phrases AS (SELECT item_id, array_to_string(win, ' ') AS p, len(win) AS n FROM windows),
+docs AS (SELECT doc_id, {WORDS} AS w FROM documents),
+places AS (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS s FROM docs WHERE len(w) > 0),
+grams AS (SELECT doc_id, s, n, array_to_string(list_slice(w, s, s + n - 1), ' ') AS p
+          FROM places, (SELECT DISTINCT n FROM phrases) WHERE s + n - 1 <= len(w)),
+found AS (SELECT doc_id, s, n, item_id FROM grams JOIN phrases USING (p, n)),
+hit AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(generate_series(s, s + n - 1)) AS pos FROM found) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS list
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM found) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)""",
+)
+def op1_decontaminate(spark, sf_dir):
+    from tickwright.llm.decontaminate import mark_contaminated
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = mark_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
