@@ -76,3 +76,39 @@ def op1_decontaminate(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = mark_contaminated(docs, table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op4_token_count")
+def op4_token_count(spark, sf_dir):
+    from tickwright.llm.token_count import count_tokens
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return count_tokens(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query("op7_telephony")
+def op7_telephony(spark, sf_dir):
+    from tickwright.llm.telephony import decode_media, encode_media
+    from tickwright.llm.text import stored
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    media = stored(encode_media(docs), "media")
+    return decode_media(media, keep_pcm=False).drop("pcm").withColumnRenamed("id", "doc_id")
+
+
+@query(
+    "op10_warc",
+    """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
+heads AS (SELECT html, max(page_id) AS head FROM p WHERE n >= 1000 GROUP BY html)
+SELECT page_id, n AS payload_bytes, sha1(p.html) AS payload_digest,
+       CASE WHEN head IS NOT NULL AND head <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN head <> page_id THEN head END AS refers_to
+FROM p LEFT JOIN heads ON p.html = heads.html AND n >= 1000""",
+)
+def op10_warc(spark, sf_dir):
+    from tickwright.llm.warc import archive_pages, read_archives
+
+    manifest = archive_pages(table(spark, sf_dir, "pages"))
+    rows = read_archives(manifest, payloads=False)
+    return rows.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")

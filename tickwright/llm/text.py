@@ -7,6 +7,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickwright.session import scratch_path
+
 WHITE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -39,3 +41,10 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def same_document(left: DataFrame, right: DataFrame) -> Column:
     return left["id"].eqNullSafe(right["id"]) & (left["mark"] == right["mark"])
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Like ``materialize``, with the dense compression that tables of whole texts need."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
