@@ -112,3 +112,12 @@ def op10_warc(spark, sf_dir):
     manifest = archive_pages(table(spark, sf_dir, "pages"))
     rows = read_archives(manifest, payloads=False)
     return rows.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op3_language_id")
+def op3_language_id(spark, sf_dir):
+    from tickwright.llm.language_id import held_out, identify, learn
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = identify(docs.select("doc_id", "text"), learn(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
