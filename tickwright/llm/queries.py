@@ -121,3 +121,17 @@ def op3_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = identify(docs.select("doc_id", "text"), learn(docs))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op6_simhash")
+def op6_simhash(spark, sf_dir):
+    from tickwright.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
+@query("op8_packing")
+def op8_packing(spark, sf_dir):
+    from tickwright.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
