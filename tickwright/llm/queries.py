@@ -135,3 +135,14 @@ def op8_packing(spark, sf_dir):
     from tickwright.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark, sf_dir):
+    from tickwright.llm.language_id import held_out
+    from tickwright.llm.toxicity import sample_and_fit, score_texts
+
+    docs = table(spark, sf_dir, "documents")
+    model = sample_and_fit(docs, table(spark, sf_dir, "labels"))
+    found = score_texts(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", "predicted")
