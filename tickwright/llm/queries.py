@@ -146,3 +146,10 @@ def op9_toxicity(spark, sf_dir):
     model = sample_and_fit(docs, table(spark, sf_dir, "labels"))
     found = score_texts(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", "predicted")
+
+
+@query("op5_context_tree")
+def op5_context_tree(spark, sf_dir):
+    from tickwright.llm.context_tree import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
