@@ -197,7 +197,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
     docs = docs.drop("lang_pred", "score")
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     out = docs.select(own.alias("row"), F.col(text_col).alias("text")).withColumn("found", udf("text"))
-    return out.select("row.*", "found.lang_pred", "found.score")
+    return out.select("row.*", "found.*")
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", dim: int = DIM):

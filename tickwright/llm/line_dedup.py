@@ -65,14 +65,13 @@ def kept_text(text: Column, runs: Column) -> Column:
     return F.array_join(F.flatten(F.transform(runs, lambda r: F.slice(lines, r["from"] + 1, r["to"] - r["from"]))), "\n")
 
 
-def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
-    """(id, mark, n_lines, n_dropped, keep) for documents that lose lines; the others keep all.
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
+    """(id, mark, dropped) for documents that lose lines: their sorted positions.
 
     Null ids count as one document that comes last. An empty table gives no rows.
     """
     lines = materialize(line_hashes(keyed(docs, id_col, text_col), min_chars), "line-hashes")
-    dropped = repeated_positions(lines).groupBy("id", "mark").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
-    return dropped
+    return repeated_positions(lines).groupBy("id", "mark").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
@@ -84,7 +83,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     new = ["n_lines", "n_dropped", "keep_runs", "kept_text"]
     docs = docs.drop(*new)
-    dropped = line_bitmaps(docs, id_col, text_col, min_chars)
+    dropped = dropped_lines(docs, id_col, text_col, min_chars)
     # the table's own columns travel in one struct, so none of their names can clash
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("mark"), F.struct("*").alias("row"))
     text = F.col("row")[text_col]
@@ -93,10 +92,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = joined.withColumn("n_lines", n_lines.cast("long")).withColumn(
         "keep_runs", keep_runs(F.coalesce("dropped", F.array().cast("array<int>")), n_lines)
     )
-    return joined.select(
-        "row.*",
+    new = F.struct(
         "n_lines",
         F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
         "keep_runs",
         F.when(F.col("dropped").isNull(), F.coalesce(text, F.lit(""))).otherwise(kept_text(text, F.col("keep_runs"))).alias("kept_text"),
     )
+    return joined.select("row", new.alias("new")).select("row.*", "new.*")
