@@ -118,40 +118,49 @@ def with_position(df: DataFrame, key: str = "symbol", order: str = "date") -> Da
 def ema_over_blocks(df: DataFrame, pairs, key: str = "symbol") -> DataFrame:
     """Normalised exponential means (S8) on a frame that carries ``_t, _b, _j``.
 
-    ``pairs`` lists (input column, span, output column). A scaled prefix sum over a whole
-    history overflows, so the sum is kept inside blocks of 256 rows and the ends of the
-    earlier blocks are carried in by constant RANGE frames over the block number. Both
-    window nodes ask for the order (symbol, block, row), so one sort serves them.
+    ``pairs`` lists (input column, span, output column). The divisor sums the weights of the
+    rows that have a value, so NULLs neither count nor pull the mean; before the first value the
+    mean is NULL. A scaled prefix sum over a whole history overflows, so sums are kept inside
+    blocks of 256 rows and the ends of the earlier blocks are carried in by constant RANGE frames
+    over the block number. Both window nodes ask for the order (symbol, block, row), so one sort
+    serves them. Inputs with the same span and column share their sums.
     """
     inside = Window.partitionBy(key, "_b").orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
-    local = {}
+    local, ends, result = {}, {}, {}
     for source, span, out in pairs:
         r = 1.0 - 2.0 / (span + 1.0)
-        scaled = F.sum(F.col(source) * F.pow(F.lit(r), -F.col("_j").cast("double"))).over(inside)
-        local[f"_s_{out}"] = scaled * F.pow(F.lit(r), F.col("_j").cast("double"))
+        if r <= 0.0:
+            continue
+        up, down = F.pow(F.lit(r), -F.col("_j").cast("double")), F.pow(F.lit(r), F.col("_j").cast("double"))
+        for kind, value in (("s", F.col(source)), ("n", F.when(F.col(source).isNotNull(), F.lit(1.0)))):
+            local[f"_{kind}_{source}_{span}"] = F.sum(value * up).over(inside) * down
     df = df.withColumns(local)
 
-    ends = {}
-    for _, span, out in pairs:
+    def reach(r: float) -> int:
+        return max(1, math.ceil(math.log(1e-18) / math.log(r) / BLOCK))
+
+    for source, span, _ in pairs:
         r = 1.0 - 2.0 / (span + 1.0)
-        reach = max(1, math.ceil(math.log(1e-18) / math.log(r) / BLOCK))
-        for m in range(1, reach + 1):
+        for m in range(1, reach(r) + 1) if r > 0.0 else ():
             back = Window.partitionBy(key).orderBy("_b").rangeBetween(-m, -m)
-            end = F.when(F.col("_j") == BLOCK - 1, F.col(f"_s_{out}"))
-            ends[f"_e{m}_{out}"] = F.max(end).over(back)
+            for kind in "sn":
+                end = F.when(F.col("_j") == BLOCK - 1, F.col(f"_{kind}_{source}_{span}"))
+                ends[f"_e{kind}{m}_{source}_{span}"] = F.max(end).over(back)
     df = df.withColumns(ends)
 
-    result = {}
-    for _, span, out in pairs:
+    for source, span, out in pairs:
         r = 1.0 - 2.0 / (span + 1.0)
-        carries = [c for c in ends if c.endswith(f"_{out}") and c[2:].split("_", 1)[1] == out]
-        total = F.col(f"_s_{out}")
-        for name in carries:
-            m = int(name[2 : name.index("_", 2)])
-            weight = F.pow(F.lit(r), (F.col("_j") + 1 + BLOCK * (m - 1)).cast("double"))
-            total = total + F.coalesce(weight * F.col(name), F.lit(0.0))
-        norm = (F.lit(1.0) - F.pow(F.lit(r), (F.col("_t") + 1).cast("double"))) / F.lit(1.0 - r)
-        result[out] = total / norm
+        if r <= 0.0:  # all weight on the newest value
+            result[out] = F.last(source, ignorenulls=True).over(ordered_blocks(key).rowsBetween(Window.unboundedPreceding, 0))
+            continue
+        totals = {}
+        for kind in "sn":
+            total = F.coalesce(f"_{kind}_{source}_{span}", F.lit(0.0))
+            for m in range(1, reach(r) + 1):
+                weight = F.pow(F.lit(r), (F.col("_j") + 1 + BLOCK * (m - 1)).cast("double"))
+                total = total + F.coalesce(weight * F.col(f"_e{kind}{m}_{source}_{span}"), F.lit(0.0))
+            totals[kind] = total
+        result[out] = F.when(totals["n"] > 0, totals["s"] / totals["n"])
     return df.withColumns(result).drop(*local, *ends)
 
 

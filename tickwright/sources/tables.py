@@ -1,8 +1,8 @@
 """Bars, dimensions and quotes derived from the order, part, supplier and event tables.
 
 Price of a trade is the part's retail price after the line's discount, in whole cents. The
-trades of a day are ordered by (order, line, price), packed into one long, so the per-day
-aggregate keeps five numbers per group and runs as a hash aggregate. It combines on the map
+trades of a day are ordered by (order, line, price), packed into one decimal, so the per-day
+aggregate keeps a few numbers per group and runs as a hash aggregate. It combines on the map
 side: a supplier with a third of all lines still sends one row per day and task into the shuffle.
 """
 
@@ -31,22 +31,25 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-PRICE_BITS = 18  # prices up to 2621.43
-
-
 def to_bars(ticks: DataFrame) -> DataFrame:
-    """Open, high, low, close and volume per (symbol, date)."""
-    slots = 1 << PRICE_BITS
-    price = F.least("cents", F.lit(slots - 1))
-    key = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * slots + price
+    """Open, high, low, close and volume per (symbol, date).
+
+    A trade's place in its day is (order, line, price), packed into one decimal so that the
+    aggregate keeps fixed-width numbers only; prices themselves are never packed.
+    """
+    place = (
+        F.col("l_orderkey").cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)")
+        + F.col("l_linenumber").cast("decimal(19,0)") * F.lit(10**12).cast("decimal(13,0)")
+        + F.col("cents").cast("decimal(19,0)")
+    ).cast("decimal(38,0)")
     bars = (
-        ticks.withColumn("_k", key)
+        ticks.withColumn("_k", place)
         .groupBy("symbol", "date")
         .agg(
-            F.min("_k").alias("_first"),
+            F.min_by("cents", "_k").alias("_first"),
             F.max("cents").alias("_hi"),
             F.min("cents").alias("_lo"),
-            F.max("_k").alias("_last"),
+            F.max_by("cents", "_k").alias("_last"),
             F.sum("l_quantity").alias("volume"),
         )
     )
@@ -54,10 +57,10 @@ def to_bars(ticks: DataFrame) -> DataFrame:
     return bars.select(
         "symbol",
         "date",
-        ((F.col("_first") % slots) / dollars).alias("open"),
+        (F.col("_first") / dollars).alias("open"),
         (F.col("_hi") / dollars).alias("high"),
         (F.col("_lo") / dollars).alias("low"),
-        ((F.col("_last") % slots) / dollars).alias("close"),
+        (F.col("_last") / dollars).alias("close"),
         "volume",
     )
 
