@@ -149,20 +149,36 @@ def test_gram_fits_match_numpy(spark):
     np.testing.assert_allclose([halves[0], *halves[1]], want, rtol=1e-8)
 
 
-@pytest.mark.parametrize("limit", [0, 50000])
-def test_svr_learns_a_line(spark, limit):
+@pytest.mark.parametrize("kernel", ["linear", "rbf"])
+def test_svr_learns_a_line(spark, kernel):
     rng = np.random.default_rng(5)
     x = rng.uniform(-2, 2, 500)
     df = spark.createDataFrame([(float(v), float(2 * v)) for v in x], "x double, label double")
-    model = rg.fit_svr(df, ["x"], epochs=60, kernel_below=limit)
+    model = rg.fit_svr(df, ["x"], epochs=60, kernel=kernel)
     r2 = rg.linear_metrics(model.predict(df)).first()["r2"]
     assert r2 > 0.8
 
 
+def test_gram_far_from_zero(spark):
+    """Means near 1e9 cost no digits, also when batches with other means are added."""
+    from tickwright.operators.cluster import covariance_matrix
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=400)
+    rows = [(int(i), float(1e9 + v + 100 * (i % 2)), float(2 * (v + 100 * (i % 2)) + 5e8)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "i int, x double, label double")
+    assert abs(rg.gram(df, ["x"]).ols()[1][0] - 2) < 1e-5
+    assert abs(rg.fit_linear_incremental([df.where("i % 2 = 0"), df.where("i % 2 = 1")], ["x"]).ols()[1][0] - 2) < 1e-5
+    vectors = df.selectExpr("array(x, label) AS features")
+    got = {(r["i"], r["j"]): r["value"] for r in covariance_matrix(vectors, "features", 2).collect()}
+    want = np.cov(np.array([[r[1], r[2]] for r in rows]).T)
+    assert abs(got[0, 1] / want[0, 1] - 1) < 1e-6
+
+
 def test_svr_cost_scales_the_loss(spark):
     df = spark.createDataFrame([(float(i), float(i)) for i in range(50)], "x double, label double")
-    weak = rg.fit_svr(df, ["x"], c=0.001, epochs=10, kernel_below=0)
-    strong = rg.fit_svr(df, ["x"], c=10.0, epochs=10, kernel_below=0)
+    weak = rg.fit_svr(df, ["x"], c=0.001, epochs=10, kernel="linear")
+    strong = rg.fit_svr(df, ["x"], c=10.0, epochs=10, kernel="linear")
     assert abs(weak.w[0]) < abs(strong.w[0])
 
 

@@ -394,8 +394,7 @@ def _covariance(df: DataFrame, vec: str, dims: int):
 
     flat, cols = _spread(df, vec, dims)
     g = gram(flat, cols)
-    mean = g.m[0, 1:-1] / g.n
-    return mean, (g.m[1:-1, 1:-1] - g.n * np.outer(mean, mean)) / (g.n - 1.0)
+    return g.moments()[0][:-1], g.comoments()[:-1, :-1] / (g.n - 1.0)
 
 
 def _axes(symmetric, k: int):
@@ -439,7 +438,7 @@ def svd(df: DataFrame, k: int, vec: str = "features", dims: int = 64):
     from tickwright.operators.regression import gram
 
     flat, cols = _spread(df, vec, dims)
-    g = gram(flat, cols)
+    g = gram(flat, cols, centre=False)
     values, axes = _axes(g.m[1:-1, 1:-1], k)
     return np.sqrt(np.maximum(values, 0.0)), axes
 

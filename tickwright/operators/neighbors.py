@@ -279,17 +279,14 @@ def kernel_similarity(
 # ---- the training set of the neighbour model ------------------------------------------------------
 
 
-def knn_training_set(df: DataFrame, cols: list[str], key: str, max_samples: int = 50000, sigmas: float = 10.0) -> DataFrame:
-    """Finite values, no row beyond ``sigmas`` deviations, at most ``max_samples`` rows.
-
-    Above the limit the rows are a repeatable uniform sample, as the model is defined.
-    """
+def knn_training_set(df: DataFrame, cols: list[str], key: str, max_samples: int | None = None, sigmas: float = 10.0) -> DataFrame:
+    """Finite values, no row beyond ``sigmas`` deviations; all rows unless a sample is asked for."""
     from tickwright.functions.numeric import nan_to_num
     from tickwright.operators.features import outlier_filter, subsample
 
     clean = df.withColumns({c: nan_to_num(c) for c in cols})
     kept = outlier_filter(clean, cols, sigmas)
-    return subsample(kept, key, max_samples)
+    return kept if max_samples is None else subsample(kept, key, max_samples)
 
 
 def scale_like(train: DataFrame, rows: DataFrame, cols: list[str], out: str = "features") -> DataFrame:

@@ -17,32 +17,46 @@ from tickwright.schema import INTERVAL_Z
 
 @dataclass
 class Gram:
-    """Counts, sums and products of [1, x, y]; the size depends on the columns only."""
+    """Counts, sums and products of [1, x - shift, y - shift]; the size depends on the columns only.
+
+    The shift is near the column means, so means far from zero cost no digits.
+    """
 
     cols: list[str]
     m: object  # (d + 2) x (d + 2) array
+    shift: object  # d + 1 values
 
     @property
     def n(self) -> float:
         return float(self.m[0, 0])
 
     def __add__(self, other: "Gram") -> "Gram":
-        return Gram(self.cols, self.m + other.m)
+        """Both sides around this one's shift."""
+        import numpy as np
+
+        move = np.eye(len(self.m))
+        move[1:, 0] = other.shift - self.shift
+        return Gram(self.cols, self.m + move @ other.m @ move.T, self.shift)
+
+    def comoments(self):
+        """Sums of products of deviations from the means."""
+        import numpy as np
+
+        return self.m[1:, 1:] - np.outer(self.m[0, 1:], self.m[0, 1:]) / self.n
 
     def moments(self):
         """Means and population deviations of x, and of y."""
         import numpy as np
 
-        mean = self.m[0, 1:] / self.n
-        var = np.maximum(np.diag(self.m)[1:] / self.n - mean**2, 0.0)
-        return mean, np.sqrt(var)
+        var = np.maximum(np.diag(self.comoments()) / self.n, 0.0)
+        return self.shift + self.m[0, 1:] / self.n, np.sqrt(var)
 
     def ols(self, ridge: float = 0.0):
         """Intercept and coefficients."""
         import numpy as np
 
         mean, _ = self.moments()
-        cov = self.m[1:, 1:] - self.n * np.outer(mean, mean)
+        cov = self.comoments()
         xx, xy = cov[:-1, :-1], cov[:-1, -1]
         beta = np.linalg.lstsq(xx + ridge * np.eye(len(xy)), xy, rcond=None)[0]
         return float(mean[-1] - mean[:-1] @ beta), beta
@@ -53,7 +67,7 @@ class Gram:
 
         mean, std = self.moments()
         std = np.where(std == 0, 1.0, std)
-        cov = self.m[1:, 1:] - self.n * np.outer(mean, mean)
+        cov = self.comoments()
         zz, zy = cov[:-1, :-1] / np.outer(std[:-1], std[:-1]), cov[:-1, -1] / std[:-1]
         theta, bias = np.zeros(len(zy)), 0.0
         for _ in range(epochs):
@@ -62,11 +76,17 @@ class Gram:
         return bias, theta, mean[:-1], std[:-1]
 
 
-def gram(df: DataFrame, cols: list[str], label: str = "label") -> Gram:
-    """One pass: per-partition numpy products, summed position by position."""
+def gram(df: DataFrame, cols: list[str], label: str = "label", centre: bool = True) -> Gram:
+    """The column means, then one pass of per-partition numpy products around them, summed
+    position by position. Without ``centre`` the products are raw."""
     import numpy as np
 
     size = len(cols) + 2
+    both = df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate([*cols, label])])
+    shift = np.zeros(size - 1)
+    if centre:
+        means = both.agg(*[F.avg(F.when(~F.isnan(c), F.col(c))) for c in both.columns]).first()
+        shift = np.array([0.0 if v is None or not np.isfinite(v) else v for v in means])
 
     def partial(batches):
         import pyarrow as pa
@@ -74,16 +94,17 @@ def gram(df: DataFrame, cols: list[str], label: str = "label") -> Gram:
         acc = np.zeros((size, size))
         for b in batches:
             x = np.column_stack([np.ones(b.num_rows)] + [c.to_numpy(zero_copy_only=False) for c in b.columns])
+            x[:, 1:] -= shift
             acc += x.T @ x
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(size * size, dtype="int32")), pa.array(acc.ravel())], names=["pos", "v"]
         )
 
-    rows = df.select(*[F.col(c).cast("double") for c in [*cols, label]]).mapInArrow(partial, "pos int, v double")
+    rows = both.mapInArrow(partial, "pos int, v double")
     m = np.zeros(size * size)
     for r in rows.groupBy("pos").agg(F.sum("v").alias("v")).collect():  # (d + 2)² rows
         m[r["pos"]] = r["v"]
-    return Gram(list(cols), m.reshape(size, size))
+    return Gram(list(cols), m.reshape(size, size), shift)
 
 
 def linear_expr(cols, intercept: float, beta) -> Column:
@@ -239,13 +260,13 @@ class SvrModel:
 
 def fit_svr(
     df: DataFrame, cols: list[str], label: str = "label", c: float = 1.0, epsilon: float = 0.1, epochs: int = 25,
-    lr: float = 0.5, kernel_below: int = 50000, components: int = 256, seed: int = 42,
+    lr: float = 0.5, kernel: str = "rbf", components: int = 256, seed: int = 42,
 ) -> SvrModel:
     """Epsilon-insensitive regression by full-batch subgradient steps.
 
-    Each step is one pass that returns a vector of the model's size. Below ``kernel_below``
-    rows the columns are first mapped to random cosine features of the RBF kernel. The input
-    is read once per step, so pass a stored frame.
+    Each step is one pass that returns a vector of the model's size. The kernel is ``rbf``
+    (columns mapped to random cosine features) or ``linear``, whatever the number of rows. The
+    input is read once per step, so pass a stored frame.
     """
     import numpy as np
 
@@ -253,7 +274,7 @@ def fit_svr(
     n = df.count()
     model = SvrModel(list(cols), np.array(mean), np.array(std), None, 0.0)
     width = len(cols)
-    if n <= kernel_below:
+    if kernel == "rbf":
         rng = np.random.default_rng(seed)
         gamma = 1.0 / len(cols)
         model.omega = rng.normal(0.0, np.sqrt(2.0 * gamma), (len(cols), components))
@@ -398,7 +419,7 @@ def fit_latent_regression(df: DataFrame, cols: list[str], label: str = "label",
     g = gram(df, cols, label)
     mean, std = g.moments()
     std = np.where(std == 0, 1.0, std)
-    cov = (g.m[1:, 1:] - g.n * np.outer(mean, mean)) / np.outer(std, std)
+    cov = g.comoments() / np.outer(std, std)
     values, vectors = np.linalg.eigh(cov[:-1, :-1])
     order = np.argsort(values)[::-1][:k]
     axes = vectors[:, order]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickwright.functions.numeric import r6
+from tickwright.functions.windows import ema_over_blocks, with_position
 from tickwright.operators import indicators as ind
 from tickwright.sources.tables import bars_nation, bars_supplier
 
@@ -63,6 +64,22 @@ staged(
     "ema", ind.ema, ["ema_12", "ema_26"], EMAS,
     ["CASE WHEN cnt >= 12 THEN v12 END", "CASE WHEN cnt >= 26 THEN v26 END"], "em",
 )
+GAPS = f"""{NUM}, holes AS (SELECT symbol, date, t, CASE WHEN t % 11 <> 3 THEN close END AS close FROM num)"""
+
+
+@query(
+    "ema_gaps",
+    f"""WITH {BARS_S}, {GAPS} SELECT a.symbol, a.date, {q6(
+        f"sum(b.close * pow({1.0 - 2.0 / 13.0!r}, a.t - b.t)) / sum(CASE WHEN b.close IS NOT NULL THEN pow({1.0 - 2.0 / 13.0!r}, a.t - b.t) END)", "ema_12")}
+FROM holes a JOIN holes b ON a.symbol = b.symbol AND b.t <= a.t GROUP BY 1, 2""",
+)
+def ema_gaps(spark, d):
+    """Every eleventh close is missing; the mean weighs the rows that are there."""
+    placed = with_position(bars_supplier(spark, d))
+    holes = placed.withColumn("close", F.when(F.col("_t") % 11 != 3, F.col("close")))
+    return out(ema_over_blocks(holes, [("close", 12, "ema_12")]), ["ema_12"])
+
+
 staged(
     "ema_ratio", lambda b: ind.ema_ratio(ind.ema(b)), ["ema_12_ratio", "ema_26_ratio"], EMAS,
     [f"CASE WHEN cnt >= 12 THEN coalesce({div('close', 'v12')}, 1.0) END",

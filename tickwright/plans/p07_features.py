@@ -126,9 +126,9 @@ def training_matrix(spark, d):
     return out(ft.training_matrix(ft.features_b(nation_bars(spark, d))), [*FEATURES_38, "label"])
 
 
-@query("stack_all_symbols", f"WITH {BARS_N}, {MATRIX} SELECT symbol, date, {F_SQL}, {q6('label', 'label')} FROM lab WHERE rows_ >= 90 AND label IS NOT NULL AND symbol IN (SELECT symbol FROM bars GROUP BY symbol HAVING count(*) >= 252)")
+@query("stack_all_symbols", f"WITH {BARS_N}, {MATRIX} SELECT symbol, date, {F_SQL}, {q6('label', 'label')} FROM lab WHERE rows_ >= 252 AND label IS NOT NULL AND symbol IN (SELECT symbol FROM bars GROUP BY symbol HAVING count(*) >= 252)")
 def stack_all_symbols(spark, d):
-    return out(ft.stack_all_symbols(nation_bars(spark, d), for_prediction=True), [*FEATURES_38, "label"])
+    return out(ft.stack_all_symbols(nation_bars(spark, d)), [*FEATURES_38, "label"])
 
 
 SEQ = "OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)"

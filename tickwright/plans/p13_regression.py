@@ -88,7 +88,7 @@ def predict_interval_linear(spark, d):
 
 def matrix(spark, d):
     """The stacked matrix of all symbols, stored once for the passes of a fit."""
-    m = ft.stack_all_symbols(nation_bars(spark, d), for_prediction=True)
+    m = ft.stack_all_symbols(nation_bars(spark, d))
     return materialize(m, "matrix")
 
 
@@ -110,7 +110,7 @@ def tree_summary(spark, d):
     return rg.tree_summary(spark, rg.fit_tree(ft.assemble(matrix(spark, d), FEATURES_38)))
 
 
-TREES, DEPTH = 20, 10
+TREES, DEPTH = 100, 15
 
 
 def forest(spark, d):
@@ -145,8 +145,8 @@ def fit_svr(spark, d):
     """Kernel and linear support vector regression, scored on the training rows."""
     data = matrix(spark, d)
     parts = None
-    for name, limit in (("rbf", 50000), ("linear", 0)):
-        model = rg.fit_svr(data, FEATURES_38, kernel_below=limit)
+    for name in ("rbf", "linear"):
+        model = rg.fit_svr(data, FEATURES_38, kernel=name)
         one = rg.linear_metrics(model.predict(data)).withColumn("kernel", F.lit(name))
         parts = one if parts is None else parts.unionByName(one)
     return out(parts, ["mse", "rmse", "r2"], ["kernel"])
@@ -159,7 +159,7 @@ def tune(spark, d):
 
     tree = DecisionTreeRegressor(seed=42)
     grid = ParamGridBuilder().addGrid(tree.maxDepth, [3, 6]).addGrid(tree.minInstancesPerNode, [1, 5]).build()
-    _, table = rg.tune(tree, grid, ft.assemble(matrix(spark, d), FEATURES_38), folds=3)
+    _, table = rg.tune(tree, grid, ft.assemble(matrix(spark, d), FEATURES_38), folds=5)
     return table
 
 
