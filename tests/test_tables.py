@@ -135,3 +135,73 @@ def test_horizon_scores(spark):
     df = spark.createDataFrame([(1,), (7,), (30,), (365,), (1825,)], "d int")
     got = [round(r[0], 9) for r in df.orderBy("d").select(conf.time_decay_score("d")).collect()]
     assert got == [100.0, 90.0, 80.0, 65.0, 45.0]
+
+
+def test_bar_files_with_quotes_and_repeats(spark, tmp_path):
+    from tickwright.sources.bars import read_bars
+
+    folder = tmp_path / "past" / "us_stocks" / "individual_files"
+    folder.mkdir(parents=True)
+    (folder / "AAA.csv").write_text(
+        'Date,Open,High,Low,Close,Volume,Note\n2020-01-01,1,2,0.5,1.5,"1,000","a, b"\n2020-01-02,1,2,0.5,1.5,10,"said ""hi"""\n2020-01-02,3,4,2.5,3.5,20,\n'
+    )
+    (folder / "BBB.csv").write_text('close,open,low,high,volume,date\n5,4,3,6,7,2020-01-01\n')
+    (folder / "CCC.csv").write_text("date,price\n2020-01-01,5\n")
+    got = sorted((r["symbol"], str(r["date"]), r["open"], r["high"], r["low"], r["close"], r["volume"]) for r in read_bars(spark, str(tmp_path)).collect())
+    assert got == [
+        ("AAA", "2020-01-01", 1.0, 2.0, 0.5, 1.5, 1000.0),
+        ("AAA", "2020-01-02", 3.0, 4.0, 2.5, 3.5, 20.0),
+        ("BBB", "2020-01-01", 4.0, 6.0, 3.0, 5.0, 7.0),
+    ]
+    (folder / "DDD.csv").write_text('date,open,high,low,close,volume,note\n2020-01-01,1,2,3,4,5,"two\nlines"\n')
+    with pytest.raises(ValueError):
+        read_bars(spark, str(tmp_path))
+    assert read_bars(spark, str(folder / "CCC.csv")).count() == 0
+
+
+def test_predictions_replace_symbols_only(spark, tmp_path):
+    from tickwright.sources import predictions as pred
+
+    path = str(tmp_path / "predictions")
+
+    def rows(*items):
+        return spark.createDataFrame([(s, c, "1D", p) for s, c, p in items], "symbol bigint, category string, horizon string, predicted_price double")
+
+    def held():
+        return sorted((r["symbol"], r["category"], r["predicted_price"]) for r in pred.read_predictions(spark, path).collect())
+
+    pred.write_predictions(rows((1, "us", 1.0), (2, "us", 2.0), (3, "in", 3.0)), path)
+    pred.write_predictions(rows((1, "us", 9.0)), path)
+    assert held() == [(1, "us", 9.0), (2, "us", 2.0), (3, "in", 3.0)]
+    assert pred.read_predictions(spark, path, 2, "us").count() == 1
+    pred.delete_stored_predictions(spark, path, rows((3, "in", 0.0), (77, "in", 0.0)))
+    assert held() == [(1, "us", 9.0), (2, "us", 2.0)]
+
+
+def test_prices_of_any_size_make_bars(spark):
+    from tickwright.sources.tables import to_bars
+
+    ticks = [(1, 10, 2, 400_000, 1.0), (1, 10, 9, 500_000, 1.0), (1, 11, 1, 99_999_999_999, 1.0), (1, 9, 12, 777, 1.0)]
+    df = spark.createDataFrame(ticks, "symbol int, l_orderkey bigint, l_linenumber int, cents bigint, l_quantity double").selectExpr("*", "DATE '2020-01-01' AS date")
+    bar = to_bars(df).first()
+    assert (bar["open"], bar["high"], bar["low"], bar["close"], bar["volume"]) == (7.77, 999_999_999.99, 7.77, 999_999_999.99, 4.0)
+
+
+def test_first_quote_of_a_day_stays(spark, tmp_path):
+    """Three batches; the last repeats a key of the first, arrives a month late for another."""
+    import time
+
+    from tickwright.streaming import quotes as qs
+
+    def file(name, *rows):
+        data = [(i, dt.datetime(2020, m, d, h), u, "buy", p, None) for i, m, d, h, u, p in rows]
+        spark.createDataFrame(data, qs.EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.05)
+
+    file("a", (1, 3, 1, 9, 7, 10.0), (2, 3, 1, 8, 7, 11.0))
+    file("b", (3, 3, 1, 7, 7, 99.0), (4, 3, 2, 9, 7, 12.0))
+    file("c", (5, 1, 2, 9, 8, 50.0), (6, 3, 2, 1, 7, 98.0))
+    log = str(tmp_path / "log")
+    qs.insert_once(qs.read_quote_stream(spark, str(tmp_path / "in"), files_per_batch=1), log, str(tmp_path / "checkpoint"))
+    got = sorted((r["symbol"], str(r["day"]), r["price"]) for r in spark.read.parquet(log).collect())
+    assert got == [(7, "2020-03-01", 11.0), (7, "2020-03-02", 12.0), (8, "2020-01-02", 50.0)]

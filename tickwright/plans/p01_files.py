@@ -261,9 +261,13 @@ def stored_predictions(spark, d):
     return path
 
 
-@query("write_predictions", f"WITH {SAMPLE} SELECT {PRED_SQL} FROM sp")
+@query("write_predictions", f"WITH {SAMPLE} SELECT {PRED_SQL} FROM (SELECT * REPLACE (CASE WHEN symbol % 3 = 0 THEN predicted_price * 2 ELSE predicted_price END AS predicted_price) FROM sp)")
 def write_predictions(spark, d):
-    return pred_out(pred.read_predictions(spark, stored_predictions(spark, d)))
+    """Every third symbol is written again; the others stay as they were."""
+    path = stored_predictions(spark, d)
+    again = sample_predictions(spark, d).where(F.col("symbol") % 3 == 0)
+    pred.write_predictions(again.withColumn("predicted_price", F.col("predicted_price") * 2), path)
+    return pred_out(pred.read_predictions(spark, path))
 
 
 @query("read_predictions", f"WITH {SAMPLE} SELECT {PRED_SQL} FROM sp WHERE symbol = 4 AND category = 'us_stocks'")
@@ -283,12 +287,12 @@ def replace_predictions_by_horizon(spark, d):
     return pred_out(pred.replace_predictions_by_horizon(old, new))
 
 
-@query("delete_predictions", f"WITH {SAMPLE} SELECT {PRED_SQL} FROM sp WHERE symbol % 4 <> 1")
+@query("delete_predictions", f"WITH {SAMPLE} SELECT {PRED_SQL} FROM sp WHERE symbol % 2 = 0 AND symbol % 4 <> 2")
 def delete_predictions(spark, d):
     path = stored_predictions(spark, d)
-    stored = pred.read_predictions(spark, path)
-    gone = stored.where(F.col("symbol") % 4 == 1).select("symbol")
-    pred.rewrite_predictions(spark, path, pred.delete_predictions(stored, gone))
+    symbols = sample_predictions(spark, d).select("symbol")
+    pred.delete_stored_predictions(spark, path, symbols.where("symbol % 4 = 2"))
+    pred.delete_stored_predictions(spark, path, symbols.where("symbol % 2 = 1"))  # empties a category
     return pred_out(pred.read_predictions(spark, path))
 
 

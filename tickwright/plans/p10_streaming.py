@@ -33,10 +33,19 @@ def stream_daily_bars(spark, d):
     return out.select("symbol", "date", *[r6(c).alias(c) for c in ("open", "high", "low", "close")], "ticks")
 
 
-@query("stream_insert_once", f"WITH {QUOTES} SELECT DISTINCT symbol, CAST(ts AS DATE) AS day FROM quotes")
+@query(
+    "stream_insert_once",
+    f"""WITH {QUOTES}, b AS (SELECT *, quote_id % 2 AS part, CAST(ts AS DATE) AS day FROM quotes)
+SELECT symbol, day, {q6('arg_min(price, row(part, ts, quote_id))', 'price')}, arg_min(quote_id, row(part, ts, quote_id)) AS quote_id FROM b GROUP BY 1, 2""",
+)
 def stream_insert_once(spark, d):
-    """The keys that were inserted; which quote of a day comes first is up to arrival."""
-    return drained(spark, qs.insert_once(stream(spark, d)), ["symbol", "day"], "append").select("symbol", "day")
+    """All events in two batches, even ids first; the first row of a day stays."""
+    folder, log = scratch_path(spark, "arrivals"), scratch_path(spark, "log")
+    events = t.table(spark, d, "events")
+    for part in (0, 1):
+        events.where(F.col("event_id") % 2 == part).coalesce(1).write.mode("append").parquet(folder)
+    qs.insert_once(qs.read_quote_stream(spark, folder, files_per_batch=1), log, scratch_path(spark, "stream"))
+    return spark.read.parquet(log).select("symbol", "day", r6("price").alias("price"), "quote_id")
 
 
 @query("stream_latest_price", f"WITH {QUOTES} SELECT symbol, {q6('arg_max(price, row(ts, quote_id))', 'price')}, max(row(ts, quote_id))[2] AS quote_id FROM quotes GROUP BY symbol")

@@ -23,9 +23,12 @@ EVENT_SCHEMA = T.StructType(
 )
 
 
-def read_quote_stream(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> DataFrame:
-    """Quotes arriving as Parquet files."""
-    raw = spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", pattern).parquet(folder)
+def read_quote_stream(spark: SparkSession, folder: str, pattern: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
+    """Quotes arriving as Parquet files, oldest file first."""
+    reader = spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", pattern)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    raw = reader.parquet(folder)
     return raw.select(
         F.col("user_id").alias("symbol"),
         F.col("ts").cast("timestamp").alias("ts"),
@@ -52,10 +55,26 @@ def daily_bars(quotes: DataFrame, late: str = "1 day") -> DataFrame:
     return bars.select("symbol", F.to_date("window.start").alias("date"), "open", "high", "low", "close", "ticks")
 
 
-def insert_once(quotes: DataFrame, late: str = "1 day") -> DataFrame:
-    """One row per symbol and day; later quotes of the day are ignored."""
-    keyed = quotes.withColumn("day", F.to_date("ts")).withWatermark("ts", late)
-    return keyed.dropDuplicatesWithinWatermark(["symbol", "day"]).select("symbol", "day", "price", "quote_id")
+def insert_once(quotes: DataFrame, log: str, checkpoint: str) -> None:
+    """One stored row per symbol and day: the first of the first batch that has one.
+
+    What is stored decides, not a state with a time limit, so a quote of any lateness is either
+    the day's first or ignored. A replayed batch compares itself with earlier batches only and
+    overwrites its own rows.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        first = F.min_by(F.struct("price", "quote_id"), F.struct("ts", "quote_id")).alias("q")
+        rows = batch.groupBy("symbol", F.to_date("ts").alias("day")).agg(first).select("symbol", "day", "q.*")
+        if batch_id > 0:
+            schema = T.StructType([*rows.schema.fields, T.StructField("batch", T.LongType())])
+            before = spark.read.schema(schema).parquet(log).where(F.col("batch") < batch_id)
+            rows = rows.join(before.select("symbol", "day"), ["symbol", "day"], "left_anti")
+        rows.write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
+
+    query = quotes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
+    query.awaitTermination()
 
 
 def latest_price(quotes: DataFrame) -> DataFrame:
