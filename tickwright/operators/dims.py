@@ -78,20 +78,20 @@ def dim_restrict_and_fill(dim: DataFrame, symbols: DataFrame, default_exchange:
     )
 
 
-def dim_bootstrap(dim: DataFrame, master: DataFrame, category: str, min_rows: int = 400) -> DataFrame:
-    """``dim`` when it has enough rows, else rebuilt from the master columns."""
+def dim_is_small(dim: DataFrame, least: int = 400) -> bool:
+    """Whether an index has too few rows to be trusted."""
+    return dim.limit(least).count() < least
+
+
+def dim_bootstrap(dim: DataFrame, master: DataFrame, category: str, rebuild: bool) -> DataFrame:
+    """``dim`` as it is, or, on ``rebuild``, the index made from the master columns."""
     missing = [c for c in MASTER_COLUMNS if c not in master.columns]
     if missing:
         raise ValueError(f"master index lacks columns: {missing}")
     rebuilt = master.select(
         *MASTER_COLUMNS, currency_for_category(F.lit(category)).alias("currency"), F.lit("").alias("isin")
     )
-    held = dim.agg(F.count(F.lit(1))).scalar()
-    return (
-        dim.select(*DIM_COLUMNS)
-        .where(held >= min_rows)
-        .unionByName(rebuilt.select(*DIM_COLUMNS).where(held < min_rows))
-    )
+    return (rebuilt if rebuild else dim).select(*DIM_COLUMNS)
 
 
 def dim_guard_no_shrink(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickwright.functions.scalar import convert_price, currency_for_category
-from tickwright.schema import FALLBACK_USD_INR, SEARCH_CAP, SEARCH_PER_CATEGORY
+from tickwright.schema import FALLBACK_USD_INR
 
 # Symbols offered when a search finds nothing.
 POPULAR = [
@@ -23,11 +23,12 @@ POPULAR = [
 ]
 
 
-def search(dim: DataFrame, q: str, regex: bool = False) -> DataFrame:
-    """First matches per category on symbol or company name, one row per symbol, capped.
+def search(dim: DataFrame, q: str, regex: bool = False, per_category: int | None = None, cap: int | None = None) -> DataFrame:
+    """Matches on symbol or company name, one row per symbol; all of them unless a report is asked for.
 
-    The per-category rank is a group limit, applied per task before the shuffle, so a
-    category that holds most of the rows sends ten of them.
+    With ``per_category`` the first so many of each category count, with ``cap`` so many in all.
+    The per-category rank is a group limit, applied per task before the shuffle, so a category
+    that holds most of the rows sends few of them.
     """
     text = q.strip().lower()
     if not text:
@@ -37,20 +38,19 @@ def search(dim: DataFrame, q: str, regex: bool = False) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("category").orderBy("symbol", "company_name"))
     # US listings come first, as in the per-category scan order.
     order = F.struct((F.col("category") != "us_stocks").alias("o"), "company_name")
-    top = dim.where(hit).withColumn("_rank", rank).where(F.col("_rank") <= SEARCH_PER_CATEGORY)
-    return (
-        top.groupBy("symbol")
-        .agg(F.min(F.struct(order.alias("o"), F.col("company_name").alias("name"))).alias("_r"))
-        .orderBy("_r.o.o", "symbol")
-        .limit(SEARCH_CAP)
-        .select("symbol", "_r.name")
-    )
+    top = dim.where(hit)
+    if per_category is not None:
+        top = top.withColumn("_rank", rank).where(F.col("_rank") <= per_category)
+    found = top.groupBy("symbol").agg(F.min(F.struct(order.alias("o"), F.col("company_name").alias("name"))).alias("_r"))
+    if cap is not None:
+        found = found.orderBy("_r.o.o", "symbol").limit(cap)
+    return found.select("symbol", "_r.name")
 
 
-def search_with_fallback(dim: DataFrame, q: str) -> DataFrame:
+def search_with_fallback(dim: DataFrame, q: str, per_category: int | None = None, cap: int | None = None) -> DataFrame:
     """``search``; the popular list filtered by substring when it finds nothing."""
     spark = dim.sparkSession
-    found = search(dim, q)
+    found = search(dim, q, per_category=per_category, cap=cap)
     popular = spark.createDataFrame(POPULAR, "symbol string, name string")
     text = q.strip().lower()
     hits = popular.where(F.lower("symbol").contains(text) | F.lower("name").contains(text))

@@ -144,10 +144,12 @@ def _design(y, p, q, e):
     return np.column_stack(cols), y[m:]
 
 
-def fit_series(x, order):
+def fit_series(x, order, compared: int | None = None):
     """Two-stage least squares for one series: a long autoregression, then lags and shocks.
 
-    Returns (constant, ar, ma, variance, aic, residuals) of the differenced series, or None.
+    Returns (constant, ar, ma, variance, aic, residuals) of the differenced series, or None. The
+    criterion is taken over the last ``compared`` rows (all by default): over the same rows, orders
+    and degrees of differencing have likelihoods of the same data.
     """
     import numpy as np
 
@@ -166,7 +168,10 @@ def fit_series(x, order):
     sigma2 = float((r @ r) / len(r))
     if not np.isfinite(sigma2):
         return None
-    aic = len(r) * np.log(max(sigma2, 1e-300)) + 2.0 * (p + q + 2)
+    last = r[-compared:] if compared else r
+    if compared and len(last) < compared:
+        return None
+    aic = len(last) * np.log(max(float(last @ last) / len(last), 1e-300)) + 2.0 * (p + q + 2)
     res = np.concatenate([np.zeros(len(y) - len(r)), r])
     return float(beta[0]), beta[1 : 1 + p], beta[1 + p :], sigma2, float(aic), res
 
@@ -185,9 +190,9 @@ def _fit_group(pdf, orders):
     pdf = pdf.sort_values("date")
     x = pdf["x"].to_numpy(float)
     best = None
+    compared = len(x) - max((max(p, q) + d for p, d, q in orders), default=0)
     for order in orders:
-        fit = fit_series(x, order)
-        # Criteria compare on the same scale: the sum is over the differenced rows used.
+        fit = fit_series(x, order, compared) if compared > 0 else None
         if fit is not None and (best is None or fit[4] < best[1][4]):
             best = (order, fit)
     names = ["symbol", "p", "d", "q", "constant", "ar", "ma", "sigma2", "aic", "r2", "row_count"]
@@ -230,8 +235,18 @@ def _state(x, m):
     y = np.diff(x, n=d) if d else x
     e = np.zeros(len(y))
     start = max(len(ar), len(ma))
-    for t in range(start, len(y)):
-        e[t] = y[t] - m["constant"] - sum(a * y[t - i - 1] for i, a in enumerate(ar)) - sum(b * e[t - i - 1] for i, b in enumerate(ma))
+    if start < len(y):
+        rest = y[start:] - m["constant"]
+        for i, a in enumerate(ar, 1):
+            rest = rest - a * y[start - i : len(y) - i]
+        if ma:  # each shock needs the ones before it
+            shocks = [0.0] * len(ma)
+            for t, value in enumerate(rest.tolist(), start):
+                value -= sum(b * v for b, v in zip(ma, shocks))
+                shocks = [value, *shocks[:-1]]
+                e[t] = value
+        else:
+            e[start:] = rest
     return y, e, ar, ma, d
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tickwright.functions.numeric import r6
 from tickwright.operators import query as op
+from tickwright.schema import SEARCH_CAP, SEARCH_PER_CATEGORY
 from tickwright.sources import tables as t
 
 from .p01_files import KEEP_FIRST_SQL, LASTQ, TIERS, bar_out, last_quotes, latest, past, permanent
@@ -33,12 +34,22 @@ found AS (SELECT symbol, arg_min(company_name, (category <> 'us_stocks')) AS nam
 
 @query("search", f"WITH {search_sql('ring')} SELECT symbol, name FROM found")
 def search(spark, d):
-    return op.search(search_dim(spark, d), " Ring")
+    return op.search(search_dim(spark, d), " Ring", False, SEARCH_PER_CATEGORY, SEARCH_CAP)
+
+
+@query(
+    "search_all",
+    f"""WITH {SEARCH_DIM} SELECT symbol, arg_min(company_name, (category <> 'us_stocks')) AS name FROM sdim
+ WHERE contains(lower(symbol), 'ring') OR contains(lower(company_name), 'ring') GROUP BY symbol""",
+)
+def search_all(spark, d):
+    """Every match, without the limits of the report."""
+    return op.search(search_dim(spark, d), "ring")
 
 
 @query("search_with_fallback", f"WITH {search_sql('inc.')}, pop AS (SELECT DISTINCT symbol FROM found) SELECT * FROM (VALUES ('AAPL', 'Apple Inc.'), ('GOOGL', 'Alphabet Inc.'), ('AMZN', 'Amazon.com Inc.'), ('TSLA', 'Tesla Inc.'), ('META', 'Meta Platforms Inc.'), ('NFLX', 'Netflix Inc.')) v(symbol, name) WHERE (SELECT count(*) FROM pop) = 0 UNION ALL SELECT symbol, name FROM found")
 def search_with_fallback(spark, d):
-    return op.search_with_fallback(search_dim(spark, d), "inc.")
+    return op.search_with_fallback(search_dim(spark, d), "inc.", SEARCH_PER_CATEGORY, SEARCH_CAP)
 
 
 AS_OF = "2000-12-31"

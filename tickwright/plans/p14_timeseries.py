@@ -106,7 +106,8 @@ def arima_order_search(spark, d):
 
 
 def models(spark, d):
-    return ts.arima_fit_all(t.bars_nation(spark, d), orders=[(1, 1, 1)])
+    """Each symbol's best of all 48 orders."""
+    return ts.arima_order_search(t.bars_nation(spark, d))
 
 
 @query("arima_fit_all")
