@@ -25,16 +25,19 @@ def random_texts(n):
 def test_pieces_give_the_ids_of_the_whole(plain):
     texts = random_texts(3000) + ["", " ", "   ", "a" * 5000, "x " * 5000]
     own = m.PieceEncoder(m.default_tokenizer())
-    got = [np.frombuffer(b"".join(ids), "<u4").tolist() for ids in own.batch(texts)]
+    numbers, counts = own.batch(texts)
+    ends = np.cumsum(counts)
+    got = [own.ids_of(numbers[a:b]).tolist() for a, b in zip(ends - counts, ends)]
+    assert own.counts_of(texts).tolist() == [len(x) for x in got]
     assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_small_store_of_pieces(plain, monkeypatch):
     monkeypatch.setattr(m, "KEPT_PIECES", 5)
-    monkeypatch.setattr(m, "CALL_BYTES", 10)
+    monkeypatch.setattr(m, "CALL_PIECES", 2)
     own = m.PieceEncoder(m.default_tokenizer())
     for part in (["one two three", "four five six seven"], ["one nine", "eight"]):
-        assert [sum(map(len, ids)) // 4 for ids in own.batch(part)] == [len(plain.encode(t).ids) for t in part]
+        assert own.counts_of(part).tolist() == [len(plain.encode(t).ids) for t in part]
 
 
 def test_slices_by_bytes():

@@ -14,7 +14,6 @@ No shuffle; a task holds one stream and the tokens of one batch.
 from __future__ import annotations
 
 import zlib
-from collections import deque
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -24,7 +23,6 @@ from tickwright.llm.tokens import by_bytes, default_tokenizer, encoder
 
 LENGTH = 1024
 STREAM_TOKENS = 1 << 20
-SENTENCE_ENDS = (".", "!", "?", "\n")
 CUT_DOCUMENT, CUT_SENTENCE, CUT_ANYWHERE = 0, 2, 8
 SEQUENCE_COST = 2
 
@@ -55,28 +53,33 @@ def best_cuts(positions: np.ndarray, penalty: np.ndarray, length: int = LENGTH)
     """Positions of the cheapest cuts, both ends included. Earlier starts win ties."""
     n = len(positions)
     exact: dict[int, list[int]] = {}
+    # place of every position, or none
+    place = np.full(int(positions[-1]) + 1, -1)
+    place[positions] = np.arange(n)
     for k in range(length.bit_length() - 1):
-        start = np.searchsorted(positions, positions - (1 << k))
-        for j in np.flatnonzero((start < n) & (positions[np.minimum(start, n - 1)] == positions - (1 << k))).tolist():
-            exact.setdefault(j, []).append(int(start[j]))
-    at, fee = positions.tolist(), penalty.tolist()
-    best, back = [0] * n, [0] * n
-    queue = deque([(0, 0)])  # (best(i) + position of i, i), smallest first
+        first = int(np.searchsorted(positions, 1 << k))
+        start = place[positions[first:] - (1 << k)]
+        hit = np.flatnonzero(start >= 0)
+        for j, i in zip((hit + first).tolist(), start[hit].tolist()):
+            exact.setdefault(j, []).append(i)
+    at, fee = positions.tolist(), (penalty + SEQUENCE_COST).tolist()
+    key, back = [0] * n, [0] * n  # key(i) = best(i) + position of i
+    queue, head = [0], 0  # places with rising keys
+    matches = exact.get
     for j in range(1, n):
         here = at[j]
-        while here - at[queue[0][1]] > length:
-            queue.popleft()
-        cost, come = queue[0]
-        cost += length - here
-        for i in exact.get(j, ()):
-            if best[i] < cost:
-                cost, come = best[i], i
-        cost += fee[j] + SEQUENCE_COST
-        best[j], back[j] = cost, come
-        key = cost + here
-        while queue and queue[-1][0] > key:
+        while here - at[queue[head]] > length:
+            head += 1
+        come = queue[head]
+        cost = key[come] + length - here
+        for i in matches(j, ()):
+            if key[i] - at[i] < cost:
+                cost, come = key[i] - at[i], i
+        back[j] = come
+        key[j] = new = cost + fee[j] + here
+        while len(queue) > head and key[queue[-1]] > new:
             queue.pop()
-        queue.append((key, j))
+        queue.append(j)
     cuts = [n - 1]
     while cuts[-1]:
         cuts.append(back[cuts[-1]])
@@ -111,7 +114,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
 
     path = tokenizer or default_tokenizer()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    close = (0).to_bytes(4, "little")
 
     def run(batches):
         from pyspark import TaskContext
@@ -124,7 +126,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         def flush():
             nonlocal number, held
             document_ends = np.cumsum(np.array(sizes, np.int64))
-            found = pack_stream(b"".join(parts), document_ends, np.concatenate(ends) if ends else np.empty(0, np.int64), length)
+            found = pack_stream(np.concatenate(parts).astype("<u4").tobytes(), document_ends, np.concatenate(ends), length)
             document = found["document"]
             batch = pa.RecordBatch.from_arrays(
                 [pa.concat_arrays(names).take(pa.array(document)), *(pa.array(found[c].astype(np.int64)) for c in ("start", "length", "ids_crc32")), pa.array(np.array(sizes, np.int64)[document]), pa.array(number + found["sequence"].astype(np.int64)), pa.array(found["offset"].astype(np.int64))],
@@ -137,22 +139,21 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
 
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for part in by_bytes(texts):
-                cut = [own.pieces(t or "") for t in texts[part]]
-                own.learn(cut)
-                get = own.known.__getitem__
-                for k, (head, pieces) in enumerate(zip(own.encode([p[0] for p in cut]), cut)):
-                    ids = [head, *map(get, pieces[1:])]
-                    tokens = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) // 4
-                    closing = np.fromiter((p.endswith(SENTENCE_ENDS) for p in pieces), bool, len(pieces))
-                    ends.append(held + tokens[closing])
-                    parts += ids
-                    parts.append(close)
-                    sizes.append(int(tokens[-1]) + 1)
-                    names.append(batch.column(0)[part.start + k : part.start + k + 1])
-                    held += sizes[-1]
-                    if held >= STREAM_TOKENS:
-                        yield flush()
+            for part in by_bytes(texts, 2 << 20):
+                numbers, counts = own.batch(texts[part])
+                _, _, size, closing = own.arrays()
+                # every document's pieces and, after them, its closing id
+                after = np.cumsum(counts)
+                size, closing = np.insert(size[numbers], after, 1), np.insert(closing[numbers], after, False)
+                tokens = np.cumsum(size)
+                document_ends = tokens[after + np.arange(len(after))]
+                ends.append(held + tokens[closing])
+                parts.append(np.insert(own.ids_of(numbers), document_ends - np.arange(1, len(after) + 1), 0))
+                sizes += np.diff(document_ends, prepend=0).tolist()
+                names.append(batch.column(0)[part])
+                held += int(tokens[-1])
+                if held >= STREAM_TOKENS:
+                    yield flush()
         if sizes:
             yield flush()
 

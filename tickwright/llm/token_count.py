@@ -2,6 +2,7 @@
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,10 +24,8 @@ def count_tokens(docs: DataFrame, text_col: str = "text", tokenizer: str | None
         own = encoder(path)
         for texts in batches:
             texts = texts.tolist()
-            counts = []
-            for part in by_bytes(texts):
-                counts += [sum(map(len, ids)) // 4 for ids in own.batch(texts[part])]
-            yield pd.Series(counts, dtype="int64")
+            counts = [own.counts_of(texts[part]) for part in by_bytes(texts)]
+            yield pd.Series(np.concatenate(counts) if counts else [], dtype="int64")
 
     docs = docs.drop("n_bytes", "n_tokens", "over_limit")
     out = docs.withColumn("n_bytes", F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long"))
