@@ -260,20 +260,22 @@ def pairwise_distance(pairs: DataFrame, points: DataFrame, key: str = "id", vec:
 
 
 def kernel_similarity(
-    pairs: DataFrame, points: DataFrame, kind: str, key: str = "id", vec: str = "features", sigma: float = 1.0, degree: int = 3
+    pairs: DataFrame, points: DataFrame, kinds=("rbf",), key: str = "id", vec: str = "features", sigma: float = 1.0, degree: int = 3
 ) -> DataFrame:
-    """rbf, polynomial or linear kernel of the listed pairs."""
+    """One column for each kernel (rbf, polynomial, linear) of the listed pairs.
+
+    The vectors are attached once, whatever the number of kernels.
+    """
     a, b = F.col("va"), F.col("vb")
-    if kind == "rbf":
-        d = euclidean(a, b)
-        value = F.exp(-(d * d) / F.lit(2.0 * sigma * sigma))
-    elif kind == "polynomial":
-        value = F.pow(dot(a, b) + F.lit(1.0), F.lit(float(degree)))
-    elif kind == "linear":
-        value = dot(a, b)
-    else:
-        raise ValueError(f"unknown kernel {kind}")
-    return with_vectors(pairs, points, key, vec).select("id_a", "id_b", value.alias("similarity"))
+    d = euclidean(a, b)
+    known = {
+        "rbf": F.exp(-(d * d) / F.lit(2.0 * sigma * sigma)),
+        "polynomial": F.pow(dot(a, b) + F.lit(1.0), F.lit(float(degree))),
+        "linear": dot(a, b),
+    }
+    if unknown := set(kinds) - set(known):
+        raise ValueError(f"unknown kernels {sorted(unknown)}")
+    return with_vectors(pairs, points, key, vec).select("id_a", "id_b", *[known[k].alias(k) for k in kinds])
 
 
 # ---- the training set of the neighbour model ------------------------------------------------------

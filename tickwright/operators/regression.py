@@ -385,10 +385,9 @@ class LatentModel:
         return F.array(*[(F.col(c) - float(m)) / float(s) for c, m, s in zip(self.cols, self.mean, self.std)])
 
     def encode(self, df: DataFrame, out: str = "latent") -> DataFrame:
-        basis = [F.array(*[F.lit(float(v)) for v in col]) for col in self.components.T]
-        z = self._z()
-        code = [F.aggregate(F.zip_with(z, b, lambda x, y: x * y), F.lit(0.0), lambda a, v: a + v) for b in basis]
-        return df.withColumn(out, F.array(*code))
+        """One linear expression of the columns for each axis."""
+        axes = [axis / self.std for axis in self.components.T]
+        return df.withColumn(out, F.array(*[linear_expr(self.cols, -float(self.mean @ w), w) for w in axes]))
 
     def reconstruct(self, df: DataFrame, latent: str = "latent", out: str = "reconstructed") -> DataFrame:
         """Scaled columns rebuilt from the code."""
@@ -403,10 +402,9 @@ class LatentModel:
         return full.withColumn(out, F.aggregate(sq, F.lit(0.0), lambda a, v: a + v) / float(len(self.cols)))
 
     def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
-        coded = self.encode(df)
-        b = F.array(*[F.lit(float(v)) for v in self.beta])
-        dot = F.aggregate(F.zip_with(F.col("latent"), b, lambda x, y: x * y), F.lit(0.0), lambda a, v: a + v)
-        return coded.withColumn(out, dot + F.lit(float(self.intercept)))
+        """Axes and weights fold into one linear expression of the columns."""
+        weights = (self.components @ self.beta) / self.std
+        return df.withColumn(out, linear_expr(self.cols, self.intercept - float(self.mean @ weights), weights))
 
 
 def fit_latent_regression(df: DataFrame, cols: list[str], label: str = "label", k: int = 24) -> LatentModel:

@@ -198,12 +198,8 @@ PAIRS = """v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS f FROM embeddings),
  {q6('list_inner_product(fa, fb)', 'linear')} FROM p""",
 )
 def kernel_similarity(spark, d):
-    pairs, v = neighbor_pairs(spark, d), vectors(spark, d)
-    result = None
-    for kind in ("rbf", "polynomial", "linear"):
-        one = nn.kernel_similarity(pairs, v, kind).withColumn("similarity", r6("similarity")).withColumnRenamed("similarity", kind)
-        result = one if result is None else result.join(one, ["id_a", "id_b"])
-    return result
+    kinds = ("rbf", "polynomial", "linear")
+    return out(nn.kernel_similarity(neighbor_pairs(spark, d), vectors(spark, d), kinds), kinds, ["id_a", "id_b"])
 
 
 @query("pairwise_distance", f"WITH {PAIRS} SELECT id_a, id_b, {q6('list_distance(fa, fb)', 'distance')} FROM p")
