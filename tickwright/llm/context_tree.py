@@ -33,10 +33,10 @@ from tickwright.session import materialize
 DEPTH = 5
 END = 255
 LOCAL_GRAMS = 1 << 23
-LOCAL_WORDS = 1 << 18
-SLAB_BYTES = 1 << 22
-FLUSH = 1 << 22
-FLUSH_WORDS = 1 << 19
+LOCAL_WORDS = 1 << 17
+SLAB_BYTES = 1 << 20
+FLUSH = 1 << 20
+FLUSH_WORDS = 1 << 18
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -87,6 +87,7 @@ def corpus_counts(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
     names = ["word", "gram", "n", "m"]
 
     def count(batches):
+        _tables.clear()  # of an earlier model; the worker may have served it
         words = (Counter(), Counter())
         grams: list[tuple[np.ndarray, np.ndarray]] = []
         docs = [0, 0]
@@ -195,7 +196,7 @@ class Lookup:
     """Numbers by 64-bit key: open addressing with linear probing, all in numpy."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.shift = np.uint64(64 - max(4, int(len(keys) * 2).bit_length()))
+        self.shift = np.uint64(64 - max(4, int(len(keys) * 4 // 3).bit_length()))
         slot = self.slots(keys)
         order = np.argsort(slot, kind="stable")
         place = np.maximum.accumulate(slot[order] - np.arange(len(keys))) + np.arange(len(keys)) if len(keys) else slot
@@ -242,8 +243,15 @@ def lookup_of(parts) -> Lookup:
     return Lookup(columns[0].astype(np.int64), columns[1])
 
 
-def counts_of(parts) -> dict[bytes, int]:
-    return {w: n for p in parts for w, n in zip(p["word"].to_pylist(), p["n"].to_pylist())}
+def scores_of(parts, below: float) -> tuple[dict[bytes, float], set[bytes]]:
+    """(base score of each word, words that training lacks)."""
+    scores, unknown = {}, set()
+    for p in parts:
+        for w, n in zip(p["word"].to_pylist(), p["n"].to_pylist()):
+            scores[w] = math.log10(n + 0.5) - below
+            if not n:
+                unknown.add(w)
+    return scores, unknown
 
 
 # ---- scores ------------------------------------------------------------------------------
@@ -306,9 +314,8 @@ def score_documents(
     def score(batches):
         from pyspark import TaskContext
 
-        frequent_words = local_table(word_path, counts_of)
+        scores, unknown = local_table(word_path, lambda parts: scores_of(parts, below))
         table = local_table(gram_path, lookup_of) if local else None
-        scores = {w: math.log10(n + 0.5) - below for w, n in frequent_words.items()}
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -336,7 +343,7 @@ def score_documents(
                             other.append({"word": w, "k": n})
                         else:
                             total += n * s
-                            k += n if frequent_words[w] else 0
+                            k += 0 if w in unknown else n
                     base.append(total), known.append(k), rare.append(other)
                 n = len(split)
                 yield pa.RecordBatch.from_arrays(
