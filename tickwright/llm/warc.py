@@ -113,8 +113,11 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
     The dictionary is built from at most ``SAMPLE_RECORDS`` responses, the ones with the smallest
     digests, and at most ``SAMPLE_CHARS`` of each; the records themselves are written whole.
     """
-    sample = rows.where(F.col("target").isNull() & (F.col("n_bytes") > 0))
-    sample = sample.select("id", "url", F.substring("html", 1, SAMPLE_CHARS).alias("html"), "digest").orderBy("digest", "id").limit(SAMPLE_RECORDS).collect()
+    large = rows.where(F.col("target").isNull() & (F.col("n_bytes") > 0))
+    # the digests first, so that payloads only move for the records that are taken
+    digests = F.broadcast(materialize(large.select("digest").distinct().orderBy("digest").limit(SAMPLE_RECORDS), "sampled-digests"))
+    sample = large.join(digests, "digest", "left_semi").select("id", "url", F.substring("html", 1, SAMPLE_CHARS).alias("html"), "digest")
+    sample = sample.dropDuplicates(["digest"]).orderBy("digest").collect()
     dictionary = train([record(r["id"], r["url"], r["html"].encode(), r["digest"], None, "") for r in sample])
 
     def write(batches):
