@@ -20,7 +20,7 @@ from tickwright.llm.text import WHITE, ascii_lower, keyed, lines_of, same_docume
 from tickwright.session import materialize
 
 HOT_KEYS = 4096
-HOT_LINES = 10_000
+HOT_LINES = 1_000
 
 
 def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
