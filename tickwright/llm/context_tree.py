@@ -33,7 +33,7 @@ from tickwright.session import materialize
 DEPTH = 5
 END = 255
 LOCAL_GRAMS = 1 << 23
-LOCAL_WORDS = 1 << 17
+LOCAL_WORDS = 1 << 18
 SLAB_BYTES = 1 << 20
 FLUSH = 1 << 20
 FLUSH_WORDS = 1 << 18
@@ -254,6 +254,29 @@ def scores_of(parts, below: float) -> tuple[dict[bytes, float], set[bytes]]:
     return scores, unknown
 
 
+class Lists:
+    """A column of lists of (key, k), built flat."""
+
+    def __init__(self):
+        self.keys: list = []
+        self.counts: list[int] = []
+        self.ends = [0]
+
+    def add(self, keys, counts) -> None:
+        self.keys += keys
+        self.counts += counts
+        self.ends.append(len(self.keys))
+
+    def skip(self, n: int) -> None:
+        self.ends += [len(self.keys)] * n
+
+    def array(self, name: str, kind):
+        import pyarrow as pa
+
+        rows = pa.StructArray.from_arrays([pa.array(self.keys, kind), pa.array(self.counts, pa.int64())], [name, "k"])
+        return pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), rows)
+
+
 # ---- scores ------------------------------------------------------------------------------
 
 
@@ -308,7 +331,6 @@ def score_documents(
     word_path = stored_path(frequent(words, local_words), "frequent-words")
     local = scored_grams.count() <= local_grams
     names = ["row", "id", "held_out", "n_tokens", "n_known", "base", "score", "n_bytes", "words", "grams"]
-    word_type, gram_type = (pa.list_(pa.struct([(k, t), ("k", pa.int64())])) for k, t in (("word", pa.binary()), ("gram", pa.int64())))
     end_score = math.log10(ends + 0.5) - below
 
     def score(batches):
@@ -323,31 +345,34 @@ def score_documents(
                 split = [words_of(t) for t in texts[part]]
                 joined = [b" ".join(w) for w in split]
                 codes, real, starts = gram_codes(joined, depth)
+                own_grams = Lists()
                 if local:
                     value = np.zeros(len(codes))
                     value[real] = table(codes[real])
-                    totals, own_grams = np.add.reduceat(value, starts), [[] for _ in split]
+                    totals = np.add.reduceat(value, starts)
+                    own_grams.skip(len(split))
                 else:
                     stops = np.append(starts[1:], len(codes))
-                    own_grams = []
                     for a, b in zip(starts, stops):
                         own, n = np.unique(codes[a:b][real[a:b]], return_counts=True)
-                        own_grams.append([{"gram": g, "k": k} for g, k in zip(own.tolist(), n.tolist())])
+                        own_grams.add(own.tolist(), n.tolist())
                     totals = np.zeros(len(split))
-                base, known, rare = [], [], []
+                base, known, rare = [], [], Lists()
                 for own in split:
-                    total, k, other = end_score, int(ends > 0), []
+                    other, other_counts = [], []
+                    total, k = end_score, int(ends > 0)
                     for w, n in Counter(own).items():
                         s = scores.get(w)
                         if s is None:
-                            other.append({"word": w, "k": n})
+                            other.append(w), other_counts.append(n)
                         else:
                             total += n * s
                             k += 0 if w in unknown else n
-                    base.append(total), known.append(k), rare.append(other)
+                    rare.add(other, other_counts)
+                    base.append(total), known.append(k)
                 n = len(split)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(number, number + n)), batch.column(0)[part], batch.column(2)[part], pa.array([len(w) + 1 for w in split], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(totals), pa.array([len(j) + 1 for j in joined], pa.int64()), pa.array(rare, word_type), pa.array(own_grams, gram_type)],
+                    [pa.array(np.arange(number, number + n)), batch.column(0)[part], batch.column(2)[part], pa.array([len(w) + 1 for w in split], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(totals), pa.array([len(j) + 1 for j in joined], pa.int64()), rare.array("word", pa.binary()), own_grams.array("gram", pa.int64())],
                     names,
                 )
                 number += n
