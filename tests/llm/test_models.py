@@ -202,3 +202,34 @@ def test_toxicity_odd_rows(spark, odd_docs, no_docs):
         assert len(out) == odd_docs.count() and all(0 <= r["score"] <= 1 for r in out)
         assert len({r["score"] for r in out if r["doc_id"] == 2}) == 1
         assert tx.score_texts(no_docs, model).count() == 0
+
+
+def test_thresholds_keep_the_class_share_beyond_the_limits(spark):
+    """One row of 20 is toxic. Weak words stand in half of the toxic rows and a tenth of the clean
+    ones, so flagging them costs F1 at that share, but not at the sample's one of three."""
+    rng = np.random.default_rng(3)
+    rows, labels = [], []
+    for i in range(6000):
+        toxic = i % 20 == 0
+        kind = "strong" if toxic and i % 40 == 0 else "weak" if toxic or rng.random() < 0.1 else "plain"
+        words = [f"w{k}" for k in rng.integers(0, 50, 12)]
+        rows.append((i, " ".join(words + [kind] * 3 * (kind != "plain")), "en"))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    marks = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    model = tx.sample_and_fit(docs, marks, positives=60, negatives=120)
+    out = tx.score_texts(docs, model)
+    share = {k: out.where(F.col("text").contains(k)).agg(F.avg("predicted")).first()[0] for k in ("strong", "weak")}
+    assert share["strong"] > 0.9 and share["weak"] < 0.1
+    whole = tx.sample_and_fit(docs, marks)
+    again = tx.score_texts(docs, whole)
+    share = {k: again.where(F.col("text").contains(k)).agg(F.avg("predicted")).first()[0] for k in ("strong", "weak")}
+    assert share["strong"] > 0.9 and share["weak"] < 0.1
+
+
+def test_used_rows_count_for_the_shares_only():
+    model = tx.Model(None, [], None, None, 0.0, ["en"], None, np.zeros(2), 1.0)
+    # 10 clean rows at step 100 of which 9 were used, 4 toxic ones at 100 and 4 at 300
+    guess, long = np.zeros(4, int), np.zeros(4, bool)
+    tx.calibrate(model, guess, np.array([0, 0, 1, 1]), long, np.array([True, False, False, False]), np.array([-900, 100, 100, 300]), np.array([90, 10, 4, 4]))
+    assert model.threshold == pytest.approx([2.0, 2.0])

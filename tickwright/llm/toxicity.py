@@ -5,9 +5,12 @@ over a text, the largest answer of each filter is pooled, and a linear layer giv
 Training starts from smoothed word odds in the first vector place and runs minibatch Adagrad. It
 sees a bounded sample of labelled rows (``POSITIVES``, ``NEGATIVES``); all else covers all rows.
 
-Thresholds are calibrated by language on a part of the sample that training does not see. The
-language is guessed from the words alone by multinomial odds, so nothing but the text enters a
-score, and a text at its language's threshold scores ``CUT`` exactly.
+Thresholds are calibrated by language on all labelled rows that training does not see: a fifth of
+the texts is never sampled, nor are long ones, and what the sample leaves over is used as well. One
+Spark pass counts their logits in steps by guessed language and label, weighted to the class shares
+of all labelled rows, so the limits of the sample do not move a threshold. The language is guessed
+from the words alone by multinomial odds, so nothing but the text enters a score, and a text at its
+language's threshold scores ``CUT`` exactly.
 
 Scoring is one Arrow pass. The model has a fixed size and travels with the function; convolution
 becomes sums of per-bucket answers that each worker tabulates once.
@@ -23,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickwright.llm.language_id import held_out
+from tickwright.session import materialize
 
 BUCKETS = 1 << 18
 DIM = 8
@@ -35,6 +39,9 @@ EPOCHS = 6
 BATCH = 32
 RATE = 0.05
 CUT = 0.7
+SPARED = 5  # one text of so many is kept from training
+STEPS = 100  # of a logit in the model's scale, in which the classes' medians are 6 apart
+FARTHEST = 64 * STEPS
 SLAB_WORDS = 1 << 16
 SEED = 11
 
@@ -187,31 +194,26 @@ def train_filters(texts: list[np.ndarray], y: np.ndarray) -> Model:
     return Model(vectors, filters, shift, weight, float(bias[0]), [], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros(1), 1.0)
 
 
-def best_threshold(z: np.ndarray, y: np.ndarray) -> float | None:
-    """The middle of the best gap by F1; None if a class is missing."""
+def best_threshold(z: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> float | None:
+    """The middle of the best gap by F1, rows counting by weight; None if a class is missing."""
     if y.sum() == 0 or y.sum() == len(y):
         return None
-    order = np.argsort(-z, kind="stable")
-    hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    weight = np.ones(len(y)) if weight is None else weight
+    values, place = np.unique(-z, return_inverse=True)
+    hits = np.cumsum(np.bincount(place, weight * y))
+    f1 = 2 * hits / (np.cumsum(np.bincount(place, weight)) + hits[-1])
     last = len(f1) - 1 - int(np.argmax(f1[::-1]))
-    below = z[order[last + 1]] if last + 1 < len(y) else z[order[last]] - 2
-    return float((z[order[last]] + below) / 2)
+    below = -values[last + 1] if last + 1 < len(values) else -values[last] - 2
+    return float((-values[last] + below) / 2)
 
 
 def fit(texts: list[np.ndarray], y: np.ndarray, langs: list[str | None]) -> Model:
-    """Trains on four fifths of the sample and calibrates on the rest."""
+    """Trains on the whole sample; its one threshold holds until ``calibrate`` sets them."""
     y = np.asarray(y, np.float64)
     if len(y) == 0 or y.sum() in (0, len(y)):
         blank = np.zeros((BUCKETS + 1, 0), np.float32)
         return Model(blank, [], np.zeros(0), np.zeros(0), 0.0, [], blank, np.zeros(1), 1.0, constant=float(len(y) > 0 and y[0]))
-    rest = np.arange(len(y)) % 5 == 4
-    if y[rest].sum() in (0, rest.sum()) or y[~rest].sum() in (0, (~rest).sum()):
-        rest[:] = True
-        use = np.ones(len(y), bool)
-    else:
-        use = ~rest
-    model = train_filters([t for t, u in zip(texts, use) if u], y[use])
+    model = train_filters(texts, y)
     names = sorted({x for x in langs if x is not None})
     counts = np.full((BUCKETS + 1, len(names)), 0.1)
     for ids, lang in zip(texts, langs):
@@ -221,33 +223,83 @@ def fit(texts: list[np.ndarray], y: np.ndarray, langs: list[str | None]) -> Mode
     model.langs, model.word_odds = names, (odds - odds.mean(1, keepdims=True) if names else odds).astype(np.float32)
     model.word_odds[BUCKETS] = 0
     model._answers = None
-    z, guess = zip(*[model.logits([t]) for t in texts])
-    z, guess = np.concatenate(z), np.concatenate(guess)
-    whole = best_threshold(z[rest], y[rest])
-    whole = best_threshold(z, y) if whole is None else whole
-    own = [best_threshold(z[rest & (guess == k)], y[rest & (guess == k)]) for k in range(len(names))]
-    model.threshold = np.array([whole if t is None else t for t in own] + [whole])
+    z = np.concatenate([model.logits([t])[0] for t in texts])
+    model.threshold = np.full(len(names) + 1, best_threshold(z, y))
     spread = np.median(z[y == 1]) - np.median(z[y == 0])
     model.scale = float(6 / spread) if spread > 1e-6 else 1.0
     return model
 
 
+def slabs(texts: list[str | None]):
+    """Buckets of the texts, in lists of about ``SLAB_WORDS`` words."""
+    held, size = [], 0
+    for text in texts:
+        held.append(word_ids(text))
+        size += len(held[-1])
+        if size >= SLAB_WORDS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def placed(rows: DataFrame, model: Model) -> DataFrame:
+    """(id, mark, guess, step) of all rows (id, mark, text): guessed language and logit in steps."""
+    import pyarrow as pa
+
+    def place(batches):
+        for batch in batches:
+            found = [model.logits(held) for held in slabs(batch.column(2).to_pylist())]
+            if found:
+                z, guess = (np.concatenate(x) for x in zip(*found))
+                step = np.clip(np.floor((z - model.threshold[-1]) * model.scale * STEPS + 0.5), -FARTHEST, FARTHEST)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(guess, pa.int32()), pa.array(step.astype(np.int32))], ["id", "mark", "guess", "step"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.select("id", "mark", "text").mapInArrow(place, f"id {kind}, mark bigint, guess int, step int")
+
+
+def calibrate(model: Model, guess: np.ndarray, y: np.ndarray, long: np.ndarray, used: np.ndarray, step: np.ndarray, n: np.ndarray) -> None:
+    """Sets the thresholds from counts ``n``.
+
+    Rows that training used only count for the shares of language, label and length; the others
+    stand for them. A language without both classes gets the threshold of all.
+    """
+    weight = n.astype(np.float64)
+    for key in set(zip(guess.tolist(), y.tolist(), long.tolist())):
+        own = (guess == key[0]) & (y == key[1]) & (long == key[2])
+        if (own & ~used).any():
+            weight[own] *= n[own].sum() / n[own & ~used].sum()
+    names = range(len(model.langs))
+    found = [best_threshold(step[own], y[own], weight[own]) for own in [~used & (guess == k) for k in names] + [~used]]
+    steps = np.array([found[-1] if t is None else t for t in found])
+    model.threshold = model.threshold[-1] + steps / (STEPS * model.scale)
+
+
 def sample_and_fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", positives: int = POSITIVES, negatives: int = NEGATIVES) -> Model:
-    """Fits on at most so many labelled rows of each class that are not held out (fold 1 of 3).
+    """Fits on at most so many labelled rows of each class that are not held out (fold 1 of 3) and
+    sets the thresholds on all others outside that fold.
 
-    Documents are taken by a hash of the id. Rows without a label or an id do not count; a
-    document with several labels is toxic if one says so.
+    Documents are taken by a hash of the id, and kept from training by one of the text. If a class
+    is missing on either side, which happens in tiny tables only, one side has all rows. Rows
+    without a label or an id do not count; a document with several labels is toxic if one says so.
     """
     import pyarrow as pa
 
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col), 3, 1))
-    marks = marks.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
-    short = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    fits = short.where(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\s+")) < LONGEST).select("id", "lang", F.xxhash64("text").alias("mark"))
-    known = fits.join(marks, "id").select("id", "mark", F.col("y").cast("int").alias("y"))
-    take = [known.where(F.col("y") == k).orderBy(F.xxhash64("id"), "id", "mark").limit(n) for k, n in ((1, positives), (0, negatives))]
-    take = F.broadcast(take[0].unionByName(take[1]).distinct())  # bounded by the two limits
-    rows = short.withColumn("mark", F.xxhash64("text")).join(take, ["id", "mark"]).select("id", "mark", "text", "y", "lang")
+    marks = marks.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y")).where("y IN (0, 1)")
+    texts = docs.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col), 3, 1))
+    texts = texts.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
+    long = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\s+")) >= LONGEST
+    spared = F.pmod(F.xxhash64("mark"), F.lit(SPARED)) == SPARED - 1
+    known = texts.select("id", "mark", long.alias("long")).join(marks, "id").distinct()
+    known = materialize(known.withColumn("spared", spared), "labelled-rows")
+    sides = {(r["y"], r["spared"] or r["long"]) for r in known.select("y", "long", "spared").distinct().collect()}
+    apart = len(sides) == 4
+    pool = known.where(~F.col("long") & ~F.col("spared")) if apart else known.where(~F.col("long"))
+    take = [pool.where(F.col("y") == k).orderBy(F.xxhash64("id"), "id", "mark").limit(n) for k, n in ((1, positives), (0, negatives))]
+    take = F.broadcast(materialize(take[0].unionByName(take[1]).select("id", "mark", "y"), "sampled-rows"))  # bounded by the two limits
+    rows = texts.join(take, ["id", "mark"]).select("id", "mark", "text", "y", "lang")
 
     def hashed(batches):
         for batch in batches:
@@ -256,8 +308,15 @@ def sample_and_fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     kind = rows.schema["id"].dataType.simpleString()
     found = rows.mapInArrow(hashed, f"id {kind}, mark bigint, ids binary, y int, lang string").orderBy(F.xxhash64("id", "mark")).toArrow()
-    texts = [np.frombuffer(x, np.int32) for x in found["ids"].to_pylist()]
-    return fit(texts, np.array(found["y"].to_pylist(), np.float64), found["lang"].to_pylist())
+    ids = [np.frombuffer(x, np.int32) for x in found["ids"].to_pylist()]
+    model = fit(ids, np.array(found["y"].to_pylist(), np.float64), found["lang"].to_pylist())
+    if model.constant is not None:
+        return model
+    used = F.broadcast(take.select("mark").distinct().withColumn("used", F.lit(apart)))
+    counted = placed(texts, model).join(known, ["id", "mark"]).dropDuplicates(["id", "mark"]).join(used, "mark", "left")
+    counted = counted.groupBy("guess", "y", "long", F.coalesce("used", F.lit(False)).alias("used"), "step").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    calibrate(model, *[np.array(counted[c].to_pylist()) for c in ("guess", "y", "long", "used", "step", "n")])
+    return model
 
 
 def score_texts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -269,15 +328,7 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for series in batches:
-            out, held, size = [], [], 0
-            for text in series.tolist():
-                held.append(word_ids(text))
-                size += len(held[-1])
-                if size >= SLAB_WORDS:
-                    out.append(model.scores(held))
-                    held, size = [], 0
-            if held:
-                out.append(model.scores(held))
+            out = [model.scores(held) for held in slabs(series.tolist())]
             yield pd.Series(np.concatenate(out) if out else [], dtype="float64")
 
     score.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
