@@ -76,3 +76,18 @@ def test_pcm_is_kept_on_request(odd_docs):
     for r in rows:
         n = int(r["feature"].split("n=")[1].split()[0])
         assert len(r["pcm"]) == 4 * n and f"{zlib.crc32(r['pcm']):08x}" == r["feature"][-8:]
+
+
+def test_query_stores_pcm(spark, small):
+    from pathlib import Path
+
+    from tickwright.llm.queries import QUERIES
+    from tickwright.session import run_folder
+
+    before = set(Path(run_folder(spark).removeprefix("file://")).glob("pcm-*"))
+    out = {r["doc_id"]: r["feature"] for r in QUERIES["op7_telephony"](spark, small).collect()}
+    new = set(Path(run_folder(spark).removeprefix("file://")).glob("pcm-*")) - before
+    assert len(new) == 1
+    rows = spark.read.parquet(str(new.pop())).collect()
+    assert {r["id"] for r in rows} == set(out)
+    assert all(out[r["id"]].endswith(f"pcm={zlib.crc32(r['pcm']):08x}") for r in rows)

@@ -93,7 +93,7 @@ def op7_telephony(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     media = stored(encode_media(docs), "media")
-    return decode_media(media, keep_pcm=False).drop("pcm").withColumnRenamed("id", "doc_id")
+    return stored(decode_media(media), "pcm").drop("pcm").withColumnRenamed("id", "doc_id")
 
 
 @query(
