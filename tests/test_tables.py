@@ -205,3 +205,20 @@ def test_first_quote_of_a_day_stays(spark, tmp_path):
     qs.insert_once(qs.read_quote_stream(spark, str(tmp_path / "in"), files_per_batch=1), log, str(tmp_path / "checkpoint"))
     got = sorted((r["symbol"], str(r["day"]), r["price"]) for r in spark.read.parquet(log).collect())
     assert got == [(7, "2020-03-01", 11.0), (7, "2020-03-02", 12.0), (8, "2020-01-02", 50.0)]
+
+
+def test_arrivals_keep_their_partitions(spark, small, tmp_path):
+    """Events of four files arrive as four files for each half, and give the same rows."""
+    from pathlib import Path
+
+    import __spark_entry__ as entry
+    from tickwright.session import run_folder
+
+    query = entry.queries()["stream_insert_once"]
+    spark.read.parquet(f"{small}/events.parquet").repartition(4).write.parquet(str(tmp_path / "events.parquet"))
+    folder = Path(run_folder(spark).removeprefix("file://"))
+    before = set(folder.glob("arrivals-*"))
+    got = sorted(query(spark, str(tmp_path)).collect())
+    new = (set(folder.glob("arrivals-*")) - before).pop()
+    assert [len(list((new / str(k)).glob("*.parquet"))) for k in (0, 1)] == [4, 4]
+    assert got == sorted(query(spark, small).collect())

@@ -40,11 +40,11 @@ SELECT symbol, day, {q6('arg_min(price, row(part, ts, quote_id))', 'price')}, ar
 )
 def stream_insert_once(spark, d):
     """All events in two batches, even ids first; the first row of a day stays."""
-    folder, log = scratch_path(spark, "arrivals"), scratch_path(spark, "log")
+    folder, log, state = (scratch_path(spark, name) for name in ("arrivals", "log", "stream"))
     events = t.table(spark, d, "events")
     for part in (0, 1):
-        events.where(F.col("event_id") % 2 == part).coalesce(1).write.mode("append").parquet(folder)
-    qs.insert_once(qs.read_quote_stream(spark, folder, files_per_batch=1), log, scratch_path(spark, "stream"))
+        events.where(F.col("event_id") % 2 == part).write.parquet(f"{folder}/{part}")
+        qs.insert_once(qs.read_quote_stream(spark, f"{folder}/*"), log, state)
     return spark.read.parquet(log).select("symbol", "day", r6("price").alias("price"), "quote_id")
 
 
