@@ -243,3 +243,19 @@ def test_elbow_needs_three_points(spark):
     assert cl.elbow(two).first()["best_k"] == 1
     four = spark.createDataFrame([(1, 100.0), (2, 20.0), (3, 15.0), (4, 14.0)], "k int, wcss double")
     assert cl.elbow(four).first()["best_k"] == 2
+
+
+def test_medians_of_ranges_are_exact(spark):
+    from tickwright.functions.position import exact_medians
+
+    rng = np.random.default_rng(5)
+    data = {"a": rng.normal(size=1001), "b": rng.integers(0, 3, 1001).astype(float), "c": np.full(1001, np.nan), "d": np.full(1001, np.nan)}
+    data["d"][:2] = 4.0, -7.0
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) for r in zip(*data.values())]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(5)
+    want = {i: float(np.nanmedian(v)) for i, v in enumerate(data.values()) if not np.isnan(v).all()}
+    assert {r["_c"]: r["_m"] for r in exact_medians(df, list(data)).collect()} == want
+    out = rg.impute_median(df, list(data))
+    assert "median(" not in out._jdf.queryExecution().toString()
+    first = out.agg(*[F.min(c).alias(c) for c in "cd"], F.count("a").alias("n")).first()
+    assert tuple(first) == (0.0, -7.0, 1001) and out.where("d = -1.5").count() == 999

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickwright.session import materialize
+
 FAN = 32
 HASH_BUCKETS = 4096
 
@@ -68,3 +70,26 @@ def with_global_rank(
     """Adds ``_rank`` (1-based position by ``order`` then ``tie``) and returns the row count."""
     ranked = with_running_totals(df, order, tie, {"_rank": F.lit(1)}, hashed).drop("_next")
     return ranked, df.agg(F.count(F.lit(1))).scalar()
+
+
+def exact_medians(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(_c, _m): exact median of the values of each column that has any, by the column's place.
+
+    Values are counted by (column, value) and ranged by both, so a task holds a range of distinct
+    values. Exact sums of each column and range say which ranges hold the middle positions, and
+    only their rows are put in order. Ranges are no more than tasks, hence the broadcast.
+    """
+    values = F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(cols)])
+    values = df.select(F.explode(values).alias("_x")).select("_x.*").where(F.col("_v").isNotNull())
+    counts = values.groupBy("_c", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    ranged = materialize(counts.repartitionByRange("_c", "_v").withColumn("_bk", F.spark_partition_id()), "ranged-values")
+    own = Window.partitionBy("_c")
+    sums = ranged.groupBy("_c", "_bk").agg(F.sum("_n").alias("_n"))
+    sums = sums.withColumns({"_upto": F.sum("_n").over(own.orderBy("_bk")), "_all": F.sum("_n").over(own)})
+    lower, upper = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
+    sums = sums.select("_c", "_bk", (F.col("_upto") - F.col("_n")).alias("_before"), "_upto", lower.alias("_lower"), upper.alias("_upper"))
+    middle = F.broadcast(sums.where((F.col("_before") < F.col("_upper")) & (F.col("_upto") >= F.col("_lower"))).drop("_upto"))
+    run = F.col("_before") + F.sum("_n").over(Window.partitionBy("_c", "_bk").orderBy("_v"))
+    rows = ranged.join(middle, ["_c", "_bk"]).withColumn("_run", run)
+    held = [F.max(F.when((F.col("_run") >= at) & (F.col("_run") - F.col("_n") < at), F.col("_v"))) for at in (F.col("_lower"), F.col("_upper"))]
+    return rows.groupBy("_c").agg((held[0] * 0.5 + held[1] * 0.5).alias("_m"))

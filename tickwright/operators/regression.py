@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickwright.functions.numeric import null_if_not_finite
+from tickwright.functions.position import exact_medians
 from tickwright.operators.features import assemble
 from tickwright.schema import INTERVAL_Z
 
@@ -159,8 +160,8 @@ def fit_linear_incremental(batches, cols: list[str], label: str = "label") -> Gr
 def impute_median(df: DataFrame, cols: list[str]) -> DataFrame:
     """Infinities and NaN to NULL, then the exact column median; 0 for an all-NULL column."""
     clean = df.withColumns({c: null_if_not_finite(c) for c in cols})
-    medians = clean.agg(F.struct(*[F.median(c).alias(c) for c in cols]).alias("m")).scalar()
-    return clean.withColumns({c: F.coalesce(c, medians.getField(c), F.lit(0.0)) for c in cols})
+    medians = {r["_c"]: r["_m"] for r in exact_medians(clean, cols).collect()}
+    return clean.withColumns({c: F.coalesce(c, F.lit(medians.get(i, 0.0))) for i, c in enumerate(cols)})
 
 
 def fit_tree(df: DataFrame, depth: int = 10, min_leaf: int = 5, subset: str = "sqrt", seed: int = 42):
@@ -281,7 +282,7 @@ def fit_svr(
         model.phase = rng.uniform(0.0, 2.0 * np.pi, components)
         width = components
     model.w = np.zeros(width)
-    model.b = float(df.agg(F.median(label)).first()[0] or 0.0)
+    model.b = float(next((r["_m"] for r in exact_medians(df, [label]).collect()), 0.0))
     sc = df.sparkSession.sparkContext
     rows = df.select(*[F.col(x).cast("double") for x in [*cols, label]])
     total = np.zeros(width + 1)
