@@ -259,3 +259,17 @@ def test_medians_of_ranges_are_exact(spark):
     assert "median(" not in out._jdf.queryExecution().toString()
     first = out.agg(*[F.min(c).alias(c) for c in "cd"], F.count("a").alias("n")).first()
     assert tuple(first) == (0.0, -7.0, 1001) and out.where("d = -1.5").count() == 999
+
+
+def test_oob_query_grows_all_trees(spark, small, monkeypatch):
+    import inspect
+
+    from tickwright.plans import p15_classification as plans
+
+    seen = []
+    grown = inspect.signature(cf.oob_error)
+    monkeypatch.setattr(plans, "vector_rows", lambda spark, d: None)
+    monkeypatch.setattr(plans.cf, "oob_error", lambda *a, **k: seen.append(grown.bind(*a, **k)))
+    plans.oob_error(spark, small)
+    seen[0].apply_defaults()
+    assert seen[0].arguments["trees"] == 100

@@ -160,7 +160,7 @@ def fit_forest_classifier(spark, d):
 
 @query("oob_error")
 def oob_error(spark, d):
-    return cf.oob_error(vector_rows(spark, d), trees=10)
+    return cf.oob_error(vector_rows(spark, d))
 
 
 def binary(spark, d):
