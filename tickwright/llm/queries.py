@@ -153,3 +153,10 @@ def op5_context_tree(spark, sf_dir):
     from tickwright.llm.context_tree import score_documents
 
     return score_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
+@query("op13_bpe")
+def op13_bpe(spark, sf_dir):
+    from tickwright.llm.bpe_trie import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
