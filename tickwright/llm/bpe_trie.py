@@ -27,6 +27,7 @@ import os
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -298,8 +299,6 @@ def encode(docs: DataFrame, text_col: str = "text", tokenizer: str | None = None
     Null and empty texts have no ids. An input column of that name is replaced; other columns never
     reach Python. Special strings in a text are their special ids, as the library has it.
     """
-    import pandas as pd
-
     path = tokenizer or default_tokenizer()
 
     @F.pandas_udf("array<int>")
@@ -316,8 +315,6 @@ def decode(rows: DataFrame, ids_col: str = "ids", tokenizer: str | None = None)
 
     Null and empty lists give the empty text, ids that the vocabulary lacks are passed over.
     """
-    import pandas as pd
-
     path = tokenizer or default_tokenizer()
 
     @F.pandas_udf("string")
@@ -336,16 +333,12 @@ def round_trip(docs: DataFrame, text_col: str = "text", tokenizer: str | None =
     between them and of the decoded text. Texts are read in slices of bounded size. Null counts as
     the empty text, rows that repeat are coded each; input columns of the new names are replaced.
     """
-    import pandas as pd
-
     path = tokenizer or default_tokenizer()
     names = ["n_tokens", "ids_sha256", "decoded_sha256"]
 
     @F.pandas_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
-    def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = coder(path)
-        for texts in batches:
-            yield pd.DataFrame(list(own.digests(texts.tolist())), columns=names).astype({"n_tokens": "int64"})
+    def digests(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(list(coder(path).digests(texts.tolist())), columns=names).astype({"n_tokens": "int64"})
 
     free = next(f"_coded{i or ''}" for i in range(len(docs.columns) + 1) if f"_coded{i or ''}" not in docs.columns)
     out = docs.drop(*names).withColumn(free, digests(text_col))
