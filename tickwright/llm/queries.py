@@ -160,3 +160,43 @@ def op13_bpe(spark, sf_dir):
     from tickwright.llm.bpe_trie import round_trip
 
     return round_trip(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query(
+    "op12_prefix_trie",
+    r"""
+WITH turns AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) AS i, k, w FROM (
+    SELECT conv_id, turn, left(sha256(CAST(strlen(role) AS VARCHAR) || ':' || role || text), 32) AS k,
+           len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w
+    FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL))),
+crcs AS (
+  SELECT c, c - c % 20 AS base, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+      flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: [CAST(ord(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT c FROM turns)),
+heads AS (SELECT crcs.c, i AS d, k, w FROM crcs JOIN turns ON turns.c = base AND i <= h),
+taken AS (SELECT c, count(*) AS n FROM heads GROUP BY c),
+steps AS (
+  SELECT * FROM heads UNION ALL
+  SELECT crcs.c, i - h + coalesce(n, 0), k, w FROM crcs JOIN turns ON turns.c = crcs.c AND i > h LEFT JOIN taken ON taken.c = crcs.c),
+members AS (
+  SELECT c, 0 AS d, '' AS p, 0 AS w FROM crcs UNION ALL
+  SELECT c, d, string_agg(k, '') OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING), w FROM steps),
+nodes AS (SELECT p, d, left(p, greatest(d - 1, 0) * 32) AS up, min(c) AS c, count(*) AS n, any_value(w) AS w FROM members GROUP BY p, d),
+kids AS (SELECT up AS p, count(*) AS k FROM nodes WHERE d > 0 GROUP BY up),
+sized AS (SELECT nodes.*, coalesce(k, 0) AS k FROM nodes LEFT JOIN kids USING (p)),
+below AS (
+  SELECT members.p, count(*) FILTER (k = 0) AS n_leaves, sum((n - 1) * sized.w) AS saved
+  FROM sized JOIN members ON members.c = sized.c AND members.d <= sized.d GROUP BY members.p),
+ends AS (
+  SELECT p, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS e
+  FROM (SELECT c, p, d, max(d) OVER (PARTITION BY c) AS last FROM members) WHERE d = last GROUP BY p)
+SELECT sized.c AS conv_id, sized.d AS depth, above.c AS parent_conv_id, sized.n AS n_convs, sized.k AS n_children, n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(e, '')) AS ends_sha256
+FROM sized JOIN below USING (p) LEFT JOIN ends USING (p) LEFT JOIN nodes AS above ON above.p = sized.up AND sized.d > 0""",
+)
+def op12_prefix_trie(spark, sf_dir):
+    from tickwright.llm.conversation_trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
