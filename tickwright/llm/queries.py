@@ -200,3 +200,37 @@ def op12_prefix_trie(spark, sf_dir):
     from tickwright.llm.conversation_trie import prefix_trie
 
     return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def _lloyd_sql() -> str:
+    """Three assignments with all distances, two updates between them."""
+    number = "CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)"
+    fours = ", ".join(f"v[p * 4 + {i + 1}] AS {c}" for i, c in enumerate("abcd"))
+    apart = " + ".join(f"(parts.{c} - b.{c}) * (parts.{c} - b.{c})" for c in "abcd")
+    steps = []
+    for i in range(3):
+        steps.append(f"a{i} AS (SELECT r, p, min(({apart}) * 64 + e) AS m FROM parts JOIN b{i} AS b USING (p) GROUP BY r, p)")
+        if i < 2:
+            mean = ", ".join(f"(sum({c}) - ((sum({c}) % count(*)) + count(*)) % count(*)) // count(*) AS {c}" for c in "abcd")
+            kept = ", ".join(f"coalesce(n.{c}, b.{c}) AS {c}" for c in "abcd")
+            steps.append(f"n{i} AS (SELECT p, m % 64 AS e, {mean} FROM parts JOIN a{i} USING (r, p) GROUP BY ALL)")
+            steps.append(f"b{i + 1} AS (SELECT p, e, {kept} FROM b{i} AS b LEFT JOIN n{i} AS n USING (p, e))")
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS r, vec_id, label, list_transform(embedding, lambda x: {number}) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT r, p, {fours} FROM kept, (SELECT unnest(generate_series(0, 15)) AS p)),
+b0 AS (SELECT p, r AS e, a, b, c, d FROM parts WHERE r < 64),
+{", ".join(steps)},
+coded AS (SELECT r, string_agg(printf('%02x', m % 64), '' ORDER BY p) AS code, sum(m // 64) AS error FROM a2 GROUP BY r),
+book AS (SELECT sha256(string_agg(concat_ws(',', a, b, c, d), ',' ORDER BY p, e)) AS digest FROM b2)
+SELECT vec_id, code, CAST(error AS BIGINT) AS error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, digest AS codebooks_sha256
+FROM kept JOIN coded USING (r), book"""
+
+
+@query("op11_vector_codes", _lloyd_sql())
+def op11_vector_codes(spark, sf_dir):
+    from tickwright.llm.vector_codes import books_digest, compress
+
+    coded, books = compress(table(spark, sf_dir, "embeddings"))
+    return coded.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(books_digest(books)).alias("codebooks_sha256"))
