@@ -33,17 +33,22 @@ from pyspark.sql import functions as F
 
 from tickwright.llm.tokens import by_bytes
 
-KEPT_RUNS = 200_000
+KEPT_RUNS = 500_000
 KEPT_NODES = 600_000
 KEPT_PAIRS = 1_000_000
 # longer words share no trie nodes, their states live as long as the word
 TRIE_DEPTH = 64
 SLICE = 1 << 21
+NOTHING = (0, "", "")
 RUN = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 GAP = re.compile(r"[ \t\n\r\x0b\x0c]")
-# fixed values: the vocabulary's word pattern, for lower-case printable ASCII
-ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+# fixed values: the vocabulary's word pattern, and the same for lower-case ASCII and Latin-1 letters
+PLAIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+# byte-level vocabularies write bytes without a visible Latin-1 sign as the letters from 256 on, in order
+HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+BYTE_LETTERS = {b: chr(256 + i) for i, b in enumerate(HIDDEN)}
 NEVER = 1 << 60
 
 _coders: dict[str, WordCoder] = {}
@@ -195,16 +200,21 @@ class WordCoder:
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.names = {i: t for t, i in (model["vocab"] | self.special).items()}
         self.numbers = {i: str(i) for i in self.names}
+        # (tokens, ids as text, decoded text) of words and of runs
+        self.coded: dict[str | int, tuple[int, str, str]] = {}
         self.known: dict[str, tuple[int, str, str]] = {}
 
     def words(self, run: str) -> list[str | int]:
         """The words of a run, and the ids of special strings in it.
 
-        Printable ASCII needs neither normal forms nor byte letters: the file's word pattern alone
-        gives the same words.
+        Runs of ASCII signs and Latin-1 letters are in normal form, and the file's word pattern
+        needs no Unicode tables there; all others go through the library.
         """
-        if run.isascii() and run.isprintable() and "<" not in run:
-            return ASCII_WORD.findall(run.lower())
+        if run.isascii() and run.isalpha():
+            return [run.lower()]
+        if PLAIN.fullmatch(run) and "<" not in run:
+            found = PLAIN_WORD.findall(run.lower())
+            return found if run.isascii() else [w.encode().decode("latin-1").translate(BYTE_LETTERS) for w in found]
         parts = self.cut.split(run) if self.cut and "<" in run else [run]
         found: list[str | int] = []
         for i, part in enumerate(parts):
@@ -214,21 +224,34 @@ class WordCoder:
                 found += [w for w, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(part))]
         return found
 
+    def entry(self, ids: list[int]) -> tuple[int, str, str]:
+        names, numbers = self.names, self.numbers
+        return len(ids), " ".join([numbers[i] for i in ids]), " ".join([names[i] for i in ids])
+
     def learn(self, runs: set[str]) -> dict[str, tuple[int, str, str]]:
         """(tokens, ids as text, decoded text) of new runs."""
-        names, numbers = self.names, self.numbers
+        coded = self.coded
         collecting = gc.isenabled()
         gc.disable()  # many small objects, no cycles
         try:
             cut = [(run, self.words(run)) for run in runs]
-            ids = dict(self.trie.encode_sorted(sorted({w for _, own in cut for w in own if type(w) is str})))
-            new = {}
+            new = {w for _, own in cut for w in own}
+            if len(coded) + len(new) > KEPT_RUNS:
+                coded.clear()
+            new.difference_update(coded)
+            for w in [w for w in new if type(w) is int]:
+                new.remove(w)
+                coded[w] = self.entry([w])
+            for w, ids in self.trie.encode_sorted(sorted(new)):
+                coded[w] = self.entry(ids)
+            out = {}
             for run, own in cut:
-                flat: list[int] = []
-                for w in own:
-                    flat += ids[w] if type(w) is str else (w,)
-                new[run] = len(flat), " ".join([numbers[i] for i in flat]), " ".join([names[i] for i in flat])
-            return new
+                if len(own) == 1:
+                    out[run] = coded[own[0]]
+                else:
+                    parts = [coded[w] for w in own]
+                    out[run] = sum([x[0] for x in parts]), " ".join([x[1] for x in parts]), " ".join([x[2] for x in parts])
+            return out
         finally:
             if collecting:
                 gc.enable()
@@ -254,36 +277,41 @@ class WordCoder:
             yield RUN.findall(text, at, stop)
             at = stop
 
-    def coded(self, texts: list[str | None]) -> Iterator[Iterator[list[tuple[int, str, str]]]]:
+    def entries(self, texts: list[str | None]) -> Iterator[Iterator[list[tuple[int, str, str]]]]:
         """For each text its encoded runs, by slices. New runs of all short texts are learned together."""
         for part in by_bytes(texts, SLICE):
+            # only the last text of a part can be a long one
             short = [RUN.findall(t or "") if len(t or "") <= SLICE else None for t in texts[part]]
             self.meet(set().union(*[runs for runs in short if runs]))
             for text, runs in zip(texts[part], short):
-                yield self.parts(self.slices(text) if runs is None else [runs])
+                yield self.of_slices(text) if runs is None else iter([self.of_runs(runs)])
 
-    def parts(self, slices) -> Iterator[list[tuple[int, str, str]]]:
-        """Runs without tokens are left out."""
-        for runs in slices:
+    def of_slices(self, text: str) -> Iterator[list[tuple[int, str, str]]]:
+        for runs in self.slices(text):
             self.meet(set(runs))
-            known = self.known
-            yield [k for run in runs if (k := known[run])[0]]
+            yield self.of_runs(runs)
+
+    def of_runs(self, runs: list[str]) -> list[tuple[int, str, str]]:
+        """Entries of known runs, without those that have no tokens."""
+        found = list(map(self.known.__getitem__, runs))
+        return [x for x in found if x[0]] if NOTHING in found else found
 
     def ids(self, texts: list[str | None]) -> Iterator[list[int]]:
-        for parts in self.coded(texts):
+        for parts in self.entries(texts):
             yield [int(i) for part in parts for own in part for i in own[1].split()]
 
     def digests(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
         """(tokens, SHA-256 of the ids as text, SHA-256 of the decoded text)."""
-        for parts in self.coded(texts):
-            n, hashes, opened = 0, (hashlib.sha256(), hashlib.sha256()), False
+        for parts in self.entries(texts):
+            n, ids, decoded, between = 0, hashlib.sha256(), hashlib.sha256(), ""
             for part in parts:
                 if part:
-                    n += sum([own[0] for own in part])
-                    for k, h in enumerate(hashes):
-                        h.update((" " * opened + " ".join([own[k + 1] for own in part])).encode())
-                    opened = True
-            yield n, hashes[0].hexdigest(), hashes[1].hexdigest()
+                    counts, numbers, names = zip(*part)
+                    n += sum(counts)
+                    ids.update((between + " ".join(numbers)).encode())
+                    decoded.update((between + " ".join(names)).encode())
+                    between = " "
+            yield n, ids.hexdigest(), decoded.hexdigest()
 
 
 def coder(path: str) -> WordCoder:
