@@ -135,3 +135,15 @@ def test_features_b_short_symbol_takes_defaults(bars):
 def test_target_is_clipped_and_last_row_dropped(bars):
     out = ft.target_pct(bars({"A": [10.0, 100.0, 1.0]})).orderBy("date").toPandas()
     assert list(out["label"]) == [50.0, -50.0]
+
+
+@pytest.mark.parametrize("span", [9, 12, 26])
+def test_ema_keeps_its_mean_over_any_gap(bars, span):
+    rng = np.random.default_rng(span)
+    closes = [*rng.uniform(50, 150, 100), *[None] * 590, *rng.uniform(50, 150, 40), *[None] * 5000, 7.0, None, 9.0]
+    df = bars({"A": [1.0] * len(closes)})
+    values = df.sparkSession.createDataFrame([(i, None if c is None else float(c)) for i, c in enumerate(closes)], "i int, value double")
+    day = F.datediff("date", F.lit("2020-01-01")).cast("int")
+    got, = series(ema(df.withColumn("i", day).join(values, "i"), "value", {span: "e"}), "e")
+    want = pd.Series([np.nan if c is None else c for c in closes]).ewm(span=span).mean()
+    assert np.allclose(got, want, rtol=1e-9)

@@ -120,7 +120,9 @@ def ema_over_blocks(df: DataFrame, pairs, key: str = "symbol") -> DataFrame:
 
     ``pairs`` lists (input column, span, output column). The divisor sums the weights of the
     rows that have a value, so NULLs neither count nor pull the mean; before the first value the
-    mean is NULL. A scaled prefix sum over a whole history overflows, so sums are kept inside
+    mean is NULL. Sums are needed only where a value stands (its own weight is one, so what lies
+    beyond the carried blocks is below 1e-18 of them); rows without a value only scale both sums
+    alike, and take the mean of the last row that has one, however long ago that was. A scaled prefix sum over a whole history overflows, so sums are kept inside
     blocks of 256 rows and the ends of the earlier blocks are carried in by constant RANGE frames
     over the block number. Both window nodes ask for the order (symbol, block, row), so one sort
     serves them. Inputs with the same span and column share their sums.
@@ -160,7 +162,8 @@ def ema_over_blocks(df: DataFrame, pairs, key: str = "symbol") -> DataFrame:
                 weight = F.pow(F.lit(r), (F.col("_j") + 1 + BLOCK * (m - 1)).cast("double"))
                 total = total + F.coalesce(weight * F.col(f"_e{kind}{m}_{source}_{span}"), F.lit(0.0))
             totals[kind] = total
-        result[out] = F.when(totals["n"] > 0, totals["s"] / totals["n"])
+        mean = F.when(F.col(source).isNotNull(), totals["s"] / totals["n"])
+        result[out] = F.last(mean, ignorenulls=True).over(ordered_blocks(key).rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumns(result).drop(*local, *ends)
 
 

@@ -80,6 +80,22 @@ def ema_gaps(spark, d):
     return out(ema_over_blocks(holes, [("close", 12, "ema_12")]), ["ema_12"])
 
 
+LONG_GAP = f"""{NUM}, holes AS (SELECT symbol, date, t, CASE WHEN t NOT BETWEEN 20 AND 619 THEN close END AS close FROM num)"""
+
+
+@query(
+    "ema_long_gap",
+    f"""WITH {BARS_N}, {LONG_GAP} SELECT a.symbol, a.date, {q6(
+        f"sum(b.close * pow({1.0 - 2.0 / 13.0!r}, a.t - b.t)) / sum(CASE WHEN b.close IS NOT NULL THEN pow({1.0 - 2.0 / 13.0!r}, a.t - b.t) END)", "ema_12")}
+FROM holes a JOIN holes b ON a.symbol = b.symbol AND b.t <= a.t GROUP BY 1, 2""",
+)
+def ema_long_gap(spark, d):
+    """No close in rows 20 to 619 of a series; the mean stays what it was."""
+    placed = with_position(bars_nation(spark, d))
+    holes = placed.withColumn("close", F.when(~F.col("_t").between(20, 619), F.col("close")))
+    return out(ema_over_blocks(holes, [("close", 12, "ema_12")]), ["ema_12"])
+
+
 staged(
     "ema_ratio", lambda b: ind.ema_ratio(ind.ema(b)), ["ema_12_ratio", "ema_26_ratio"], EMAS,
     [f"CASE WHEN cnt >= 12 THEN coalesce({div('close', 'v12')}, 1.0) END",
