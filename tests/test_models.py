@@ -8,7 +8,7 @@ from tickwright.functions.position import with_global_rank, with_running_totals
 from tickwright.operators import classify as cf
 from tickwright.operators import cluster as cl
 from tickwright.operators import features as ft
-from tickwright.operators import joins
+from tickwright.operators import joins, metric
 from tickwright.operators import neighbors as nn
 from tickwright.operators import regression as rg
 from tickwright.operators import timeseries as ts
@@ -98,10 +98,11 @@ def test_border_point_joins_the_lowest_cluster(spark):
     assert got == dict(enumerate(labels_by_brute_force(np.array([p[1] for p in pts]), 0.9, 4)[1]))
 
 
-def test_connected_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("local", [0, 1000])
+def test_connected_components_of_a_long_chain(spark, local):
     nodes = spark.range(60).toDF("node")
     edges = spark.range(59).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).where("src <> 30")
-    got = {r["node"]: r["label"] for r in cl.connected_components(nodes, edges).collect()}
+    got = {r["node"]: r["label"] for r in cl.connected_components(nodes, edges, local).collect()}
     assert got == {i: 0 if i <= 30 else 31 for i in range(60)}
 
 
@@ -273,3 +274,86 @@ def test_oob_query_grows_all_trees(spark, small, monkeypatch):
     plans.oob_error(spark, small)
     seen[0].apply_defaults()
     assert seen[0].arguments["trees"] == 100
+
+
+# ---- density and linkage in any number of dimensions ---------------------------------------------
+
+
+def frame(spark, x):
+    return spark.createDataFrame([(i, [float(a) for a in row]) for i, row in enumerate(x)], "id bigint, features array<double>")
+
+
+@pytest.mark.parametrize("dims, eps", [(1, 0.2), (64, 10.0), (3, 1e9)])
+def test_density_in_any_dimension(spark, monkeypatch, dims, eps):
+    for name, value in (("BLOCK_ROWS", 16), ("BALL_ROWS", 12), ("QUERY_ROWS", 20), ("MAX_RINGS", 3)):
+        monkeypatch.setattr(metric, name, value)
+    rng = np.random.default_rng(dims)
+    x = rng.normal(size=(120, dims))
+    x[:20] = x[0]  # copies
+    x[20:60] = x[20] + rng.normal(size=(40, dims)) * 1e-3  # nearly copies
+    df = frame(spark, x)
+    counts, label = labels_by_brute_force(x, eps, 4)
+    assert {r["id"]: r["neighbors"] for r in cl.neighborhood_counts(df, eps).collect()} == {i: int(c) for i, c in enumerate(counts)}
+    assert {r["id"]: r["cluster"] for r in cl.dbscan(df, eps, 4).collect()} == {i: int(c) for i, c in enumerate(label)}
+    if eps < 1e9:
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        same = np.array([np.flatnonzero((x == row).all(1))[0] for row in x])
+        heads = np.unique(same)
+        want = {(int(a), int(b)): (int((same == a).sum()), int((same == b).sum())) for a in heads for b in heads if a < b and d[a, b] <= eps}
+        got = {(r["id_a"], r["id_b"]): (r["copies_a"], r["copies_b"]) for r in cl.eps_join(df, eps).collect()}
+        assert got == want
+
+
+def test_dense_balls_do_not_meet_row_by_row(spark, monkeypatch):
+    for name, value in (("BLOCK_ROWS", 16), ("BALL_ROWS", 32)):
+        monkeypatch.setattr(metric, name, value)
+    rng = np.random.default_rng(0)
+    x = np.vstack([rng.normal(size=(500, 8)) * 0.01, rng.normal(size=(1000, 8)) * 10])
+    at = metric.Layout(frame(spark, x))
+    links = metric.links_within(at.places, at.rings, at.members, 1.0).collect()
+    assert len(links) < 6 * len(x)  # a third of the rows lie in one ball: 125 000 pairs
+    sent = metric.routes(at.places, at.rings, 1.0, lambda part, *_: part[["pos"]].iloc[:0], "pos bigint")
+    assert sent.count() < 10 * len(x)
+
+
+def kruskal(x, k):
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    parent = list(range(len(x)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    left = len(x)
+    i, j = np.triu_indices(len(x), 1)
+    for n in np.lexsort((j, i, d[i, j])):
+        a, b = root(int(i[n])), root(int(j[n]))
+        if left > k and a != b:
+            parent[max(a, b)] = min(a, b)
+            left -= 1
+    roots = [root(i) for i in range(len(x))]
+    names = {r: n for n, r in enumerate(sorted(set(roots)), 1)}
+    return {i: names[r] for i, r in enumerate(roots)}
+
+
+def clusters(df):
+    return {r["id"]: r["cluster"] for r in df.collect()}
+
+
+def test_single_linkage_to_k_clusters(spark):
+    rng = np.random.default_rng(1)
+    x = np.unique(rng.integers(0, 50, (2000, 2)).astype(float), axis=0)  # many equal distances
+    rng.shuffle(x)
+    of, tree = cl.spanning_tree(frame(spark, x))
+    assert tree.count() == len(x) - 1
+    for k in (1, 17, 400, 5000):
+        assert clusters(cl.cut_tree(of, tree, k)) == kruskal(x, k)
+
+
+def test_single_linkage_of_copies_and_of_cells(spark):
+    x = np.random.default_rng(5).normal(size=(200, 3))
+    copies = np.vstack([x, x[:60]])
+    want = kruskal(x, 9)
+    got = clusters(cl.single_linkage_k(frame(spark, copies), 9, broadcast_bytes=0, block_rows=60))
+    assert got == want | {200 + i: want[i] for i in range(60)}

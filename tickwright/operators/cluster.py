@@ -1,143 +1,71 @@
 """Clustering and decomposition.
 
-Density clustering works on a grid whose cell side is eps / sqrt(d): points of one cell are
-neighbours by construction, so dense cells need no distances and pairs are never listed. Only
-points of sparse cells meet points of nearby cells, which bounds the join by a constant per
-point; two dense cells are compared block by block inside tasks that emit one fact per block.
+Density clustering and single linkage work on balls around pivots in any number of dimensions (see
+``metric``): a ball or ring that lies whole within the distance counts by its weight and is one
+node of the graph, so crowded places cost no pairs.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickwright.functions.position import with_global_rank
-from tickwright.operators.neighbors import BLOCK_ROWS, BROADCAST_BYTES, euclidean, pair_distances
+from tickwright.operators import metric
+from tickwright.operators.neighbors import BLOCK_ROWS, BROADCAST_BYTES, knn_join, pair_distances
 from tickwright.session import materialize
 
-SPARSE = 64
-MAX_GRID_DIMS = 3
+LOCAL_EDGES = 1 << 17
 
 
-# ---- grid ------------------------------------------------------------------------------------------
+# ---- density ---------------------------------------------------------------------------------------
 
 
-def offsets(dims: int, reach: int):
-    """Cell offsets within ``reach`` on every axis, without the cell itself."""
-    return [o for o in itertools.product(range(-reach, reach + 1), repeat=dims) if any(o)]
-
-
-def with_cell(points: DataFrame, side: float, vec: str) -> DataFrame:
-    return points.withColumn("cell", F.transform(vec, lambda x: F.floor(x / F.lit(side))))
-
-
-def shifted(cell: str, dims: int, reach: int) -> Column:
-    """All neighbouring cells as an array of cells."""
-    near = F.array(*[F.array(*[F.lit(int(v)) for v in o]) for o in offsets(dims, reach)])
-    return F.transform(near, lambda o: F.zip_with(F.col(cell), o, lambda a, b: a + b))
-
-
-def grid(points: DataFrame, eps: float, key: str, vec: str, dims: int) -> tuple[DataFrame, int]:
-    """(id, v, cell, n) with the cell's row count, stored once; and the neighbour reach."""
-    if dims > MAX_GRID_DIMS:
-        raise ValueError("reduce the points to three dimensions first (see pca)")
-    p = with_cell(
-        points.select(F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("v")), eps / math.sqrt(dims), "v"
-    )
-    counts = p.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    return materialize(p.join(counts, "cell"), "grid"), math.ceil(math.sqrt(dims))
-
-
-def eps_join(points: DataFrame, eps: float, key: str = "id", vec: str = "features", dims: int = 2) -> DataFrame:
+def eps_join(points: DataFrame, eps: float, key: str = "id", vec: str = "features") -> DataFrame:
     """Pairs of distinct positions within ``eps``, with the rows each position stands for.
 
     Copies of a position are folded into one row with a count first, so a group of copies
-    costs one row and no pairs.
+    costs one row and no pairs. ``neighborhood_counts`` answers without listing pairs.
     """
-    p = points.groupBy(F.col(vec).cast("array<double>").alias("v")).agg(
-        F.min(key).alias("id"), F.count(F.lit(1)).alias("copies")
-    )
-    p = with_cell(p, eps, "v")
-    own = F.array(F.array(*[F.lit(0)] * dims))
-    spread = F.concat(F.transform(own, lambda o: F.zip_with("cell", o, lambda a, b: a + b)), shifted("cell", dims, 1))
-    a = p.select(F.col("id").alias("id_a"), F.col("copies").alias("copies_a"), F.col("v").alias("va"), F.explode(spread).alias("cell"))
-    b = p.select(F.col("id").alias("id_b"), F.col("copies").alias("copies_b"), F.col("v").alias("vb"), "cell")
-    d = euclidean(F.col("va"), F.col("vb"))
-    return (
-        a.join(b, "cell")
-        .where((F.col("id_a") < F.col("id_b")) & (d <= eps))
-        .select("id_a", "id_b", "copies_a", "copies_b", d.alias("distance"))
-    )
-
-
-def _blocks(df: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
-    """Adds ``blocks`` and ``block``: a bounded share of the cell by hash."""
-    return df.withColumn("blocks", F.ceil(F.col("n") / F.lit(rows)).cast("int")).withColumn(
-        "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    )
+    at = metric.Layout(points, key, vec)
+    return metric.eps_pairs(at.places, at.rings, at.members, eps)
 
 
-def _dense_meetings(g: DataFrame, dims: int, reach: int, fn, schema: str) -> DataFrame:
-    """Runs ``fn(left block, right block)`` for neighbouring cells that are both dense."""
-    crowded = g.where(F.col("n") > SPARSE)
-    if crowded.isEmpty():
-        return g.sparkSession.createDataFrame([], schema)
-    dense = _blocks(crowded)
-    cells = dense.groupBy("cell").agg(F.first("blocks").alias("blocks"))
-    left = cells.select(F.col("cell").alias("lc"), F.col("blocks").alias("lb"), F.explode(shifted("cell", dims, reach)).alias("rc"))
-    right = cells.select(F.col("cell").alias("rc"), F.col("blocks").alias("rb"))
-    meet = (
-        left.join(right, "rc")
-        .select("lc", "rc", F.explode(F.sequence(F.lit(0), F.col("lb") - 1)).alias("li"), "rb")
-        .select("lc", "rc", "li", F.explode(F.sequence(F.lit(0), F.col("rb") - 1)).alias("ri"))
-    )
-    keys = ["lc", "li", "rc", "ri"]
-    a = dense.select(F.col("cell").alias("lc"), F.col("block").alias("li"), "id", "v").join(meet, ["lc", "li"])
-    b = dense.select(
-        F.col("cell").alias("rc"), F.col("block").alias("ri"), F.col("id").alias("id"), F.col("v").alias("v")
-    ).join(meet, ["rc", "ri"])
-    text = [F.to_json(F.struct(*keys)).alias("meeting")]
-    left_rows = a.select("id", "v", *text)
-    right_rows = b.select("id", "v", *text).toDF("id", "v", "meeting")
-    return left_rows.groupBy("meeting").cogroup(right_rows.groupBy("meeting")).applyInPandas(fn, schema)
-
-
-def neighborhood_counts(points: DataFrame, eps: float, key: str = "id", vec: str = "features", dims: int = 2) -> DataFrame:
+def neighborhood_counts(points: DataFrame, eps: float, key: str = "id", vec: str = "features") -> DataFrame:
     """Rows within ``eps`` of every row, itself included."""
-    g, reach = grid(points, eps, key, vec, dims)
-    near = g.select(F.col("id").alias("id_l"), F.col("v").alias("vl"), F.col("n").alias("nl"), F.explode(shifted("cell", dims, reach)).alias("cell"))
-    other = g.select(F.col("v").alias("vr"), F.col("n").alias("nr"), "cell")
-    thin = near.join(other, "cell").where(F.least("nl", "nr") <= SPARSE)
-    thin = thin.where(euclidean(F.col("vl"), F.col("vr")) <= eps).groupBy(F.col("id_l").alias("id")).agg(F.count(F.lit(1)).alias("c"))
-    id_type = g.schema["id"].dataType.simpleString()
-
-    def count(a, b):
-        import numpy as np
-        import pandas as pd
-
-        if len(a) == 0 or len(b) == 0:
-            return pd.DataFrame({"id": [], "c": []})
-        d = pair_distances(np.vstack(a["v"].to_numpy()), np.vstack(b["v"].to_numpy()), "euclidean")
-        return pd.DataFrame({"id": a["id"].to_numpy(), "c": (d <= eps).sum(1)})
-
-    thick = _dense_meetings(g, dims, reach, count, f"id {id_type}, c bigint")
-    own = g.select("id", F.col("n").alias("c"))
-    return own.unionByName(thin).unionByName(thick).groupBy("id").agg(F.sum("c").alias("neighbors"))
+    at = metric.Layout(points, key, vec)
+    counts = metric.counts_within(at.places, at.rings, at.members, eps)
+    return at.rows.join(counts, "pos").select("id", F.col("c").alias("neighbors"))
 
 
 def core_points(counts: DataFrame, min_pts: int) -> DataFrame:
     return counts.where(F.col("neighbors") >= min_pts).select("id")
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(node, label) with the smallest node of each component, by min labels and pointer jumps.
 
-    Every round is written to the shared folder, which cuts the lineage and survives lost
-    executors; rounds stop when no label changes.
+    Up to ``LOCAL_EDGES`` edges (counted) are joined in one task. Beyond it, every round is written
+    to the shared folder, which cuts the lineage and survives lost executors; rounds stop when no
+    label changes.
     """
+    edges = materialize(edges.select("src", "dst"), "edges")
+    if edges.count() <= local_edges:
+        kind = nodes.schema["node"].dataType.simpleString()
+
+        def join(frames):
+            parts = list(frames)  # at most ``local_edges`` rows
+            pairs = pd.concat(parts) if parts else pd.DataFrame({"src": [], "dst": []})
+            ids, place = np.unique(np.concatenate([pairs["src"].to_numpy(), pairs["dst"].to_numpy()]), return_inverse=True)
+            label = metric.components(place[: len(pairs)], place[len(pairs) :], len(ids))
+            yield pd.DataFrame({"node": ids, "label": ids[label]})
+
+        found = edges.coalesce(1).mapInPandas(join, f"node {kind}, label {kind}")
+        return materialize(nodes.select("node").join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
     both = materialize(
         edges.select("src", "dst").union(edges.select("dst", "src")).toDF("src", "dst").distinct(), "edges"
     )
@@ -160,80 +88,86 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def dbscan(
-    points: DataFrame, eps: float, min_pts: int, key: str = "id", vec: str = "features", dims: int = 2
-) -> DataFrame:
+def dbscan(points: DataFrame, eps: float, min_pts: int, key: str = "id", vec: str = "features") -> DataFrame:
     """(id, cluster): clusters numbered by their first core point, 0 is noise.
 
     A border point joins the lowest-numbered cluster that reaches it.
     """
-    g, reach = grid(points, eps, key, vec, dims)
-    dense = F.col("n") >= min_pts
-    thin = g.where(~dense)
-    near = thin.select(F.col("id"), F.col("v").alias("vl"), F.explode(shifted("cell", dims, reach)).alias("cell"))
-    other = g.select("cell", F.col("v").alias("vr"))
-    found = (
-        near.join(other, "cell").where(euclidean(F.col("vl"), F.col("vr")) <= eps).groupBy("id").agg(F.count(F.lit(1)).alias("c"))
-    )
-    counted = thin.join(found, "id", "left").withColumn("core", F.col("n") + F.coalesce("c", F.lit(0)) >= min_pts).drop("c")
-    marked = materialize(g.where(dense).withColumn("core", F.lit(True)).unionByName(counted), "marked")
-
-    cores = marked.where("core").drop("n")
-    size = cores.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("node"))
-    cores = materialize(cores.join(size, "cell"), "cores")
-    a = cores.select(F.col("node").alias("src"), F.col("v").alias("vl"), F.col("n").alias("nl"), F.explode(shifted("cell", dims, reach)).alias("cell"))
-    b = cores.select(F.col("node").alias("dst"), F.col("v").alias("vr"), F.col("n").alias("nr"), "cell")
-    linked = a.join(b, "cell").where((F.least("nl", "nr") <= SPARSE) & (F.col("src") < F.col("dst")))
-    thin_edges = linked.where(euclidean(F.col("vl"), F.col("vr")) <= eps).select("src", "dst").distinct()
-    id_type = g.schema["id"].dataType.simpleString()
-
-    def touch(x, y):
-        import numpy as np
-        import pandas as pd
-
-        if len(x) and len(y):
-            d = pair_distances(np.vstack(x["v"].to_numpy()), np.vstack(y["v"].to_numpy()), "euclidean")
-            if (d <= eps).any():
-                return pd.DataFrame({"src": [x["id"].min()], "dst": [y["id"].min()]})
-        return pd.DataFrame({"src": [], "dst": []})
-
-    meetings = _dense_meetings(cores, dims, reach, touch, f"src {id_type}, dst {id_type}")
-    node_of = cores.select("id", "node")
-    thick_edges = (
-        meetings.join(node_of.toDF("src", "ns"), "src").join(node_of.toDF("dst", "nd"), "dst").select(F.col("ns").alias("src"), F.col("nd").alias("dst")).distinct()
-    )
-    labels = connected_components(size.select("node"), thin_edges.unionByName(thick_edges))
-    roots = labels.where(F.col("node") == F.col("label")).select("label")
-    ranked, _ = with_global_rank(roots, F.col("label"), [])
-    cluster_of = materialize(
-        labels.join(ranked.withColumnRenamed("_rank", "cluster"), "label").select("node", F.col("cluster").cast("bigint")), "clusters"
-    )
-    core_rows = cores.join(cluster_of, "node").select("id", "cell", "v", "cluster")
-    core_rows = materialize(core_rows, "core-rows")
-    rest = marked.where(~F.col("core"))
-    cell_cluster = core_rows.groupBy("cell").agg(F.min("cluster").alias("own"))
-    reach_of = rest.select("id", F.col("v").alias("vl"), F.explode(shifted("cell", dims, reach)).alias("cell"))
-    border = (
-        reach_of.join(core_rows.select("cell", F.col("v").alias("vr"), "cluster"), "cell")
-        .where(euclidean(F.col("vl"), F.col("vr")) <= eps)
-        .groupBy("id")
-        .agg(F.min("cluster").alias("far"))
-    )
-    outer = (
-        rest.join(cell_cluster, "cell", "left")
-        .join(border, "id", "left")
-        .select("id", F.coalesce(F.least("own", "far"), F.lit(0)).cast("bigint").alias("cluster"))
-    )
-    return core_rows.select("id", "cluster").unionByName(outer)
+    at = metric.Layout(points, key, vec)
+    marked = at.places
+    if min_pts > 1:
+        counts = metric.counts_within(at.places, at.rings, at.members, eps)
+        marked = marked.join(counts.withColumnRenamed("c", "near"), "pos").withColumn("core", F.col("near") >= min_pts).drop("near")
+        marked = materialize(marked, "marked")
+    else:
+        marked = marked.withColumn("core", F.lit(True))
+    cores = marked.where("core").drop("core")
+    rings, members = at.of(cores)
+    links = materialize(metric.links_within(cores, rings, members, eps), "links")
+    groups = links.select(F.col("src").alias("node")).where("node < 0").distinct()
+    labels = connected_components(cores.select(F.col("pos").alias("node")).unionByName(groups), links)
+    named = cores.select("pos", "first").join(labels.withColumnRenamed("node", "pos"), "pos")
+    roots = materialize(named.groupBy("label").agg(F.min("first").alias("root")), "roots")
+    ranked, _ = with_global_rank(roots, F.col("root"), [])
+    ranked = ranked.select("label", F.col("_rank").cast("bigint").alias("c"))
+    cluster_of = materialize(named.join(ranked, "label").select("pos", "c"), "clusters")
+    found = cluster_of
+    if min_pts > 1:
+        rest = marked.where(~F.col("core"))
+        found = found.unionByName(metric.least_within(rest, rings, members.join(cluster_of, "pos"), eps))
+    return at.rows.join(found, "pos", "left").select("id", F.coalesce("c", F.lit(0)).cast("bigint").alias("cluster"))
 
 
 def noise_ratio(labels: DataFrame) -> DataFrame:
     return labels.agg(F.avg((F.col("cluster") == 0).cast("double")).alias("noise_ratio"))
 
 
-def single_linkage(points: DataFrame, cut: float, key: str = "id", vec: str = "features", dims: int = 2) -> DataFrame:
+def single_linkage(points: DataFrame, cut: float, key: str = "id", vec: str = "features") -> DataFrame:
     """Single-linkage clusters at height ``cut``: components of the graph of near points."""
-    return dbscan(points, cut, 1, key, vec, dims)
+    return dbscan(points, cut, 1, key, vec)
+
+
+def spanning_tree(points: DataFrame, key: str = "id", vec: str = "features", **limits) -> tuple[DataFrame, DataFrame]:
+    """((id, node) of all rows, (src, dst, distance) of a minimum spanning tree of the nodes).
+
+    A node is the smallest id of a position. Boruvka rounds: every node asks for its nearest one
+    in another component, each component keeps its shortest link, and components join along them;
+    equal distances are in order of the two ids, so no round closes a circle. Components at least
+    halve in each round. ``limits`` go to ``knn_join``, which finds the links.
+    """
+    rows = points.select(F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("vec"))
+    nodes = materialize(rows.groupBy("vec").agg(F.min("id").alias("node")), "nodes")
+    of = materialize(rows.join(nodes, "vec").select("id", "node"), "node-of")
+    placed = nodes.withColumn("component", F.col("node"))
+    kind = nodes.schema["node"].dataType.simpleString()
+    tree = nodes.sparkSession.createDataFrame([], f"src {kind}, dst {kind}, distance double")
+    while placed.select("component").distinct().limit(2).count() > 1:
+        near = knn_join(placed, placed, 1, "vec", key="node", exclude="component", **limits)
+        pair = [F.least("query_id", "train_id").alias("src"), F.greatest("query_id", "train_id").alias("dst")]
+        near = near.select(F.col("query_id").alias("node"), "distance", *pair).join(placed.select("node", "component"), "node")
+        link = near.groupBy("component").agg(F.min(F.struct("distance", "src", "dst")).alias("l")).select("l.*").distinct()
+        link = materialize(link.select("src", "dst", "distance"), "tree-links")
+        tree = materialize(tree.unionByName(link), "tree")
+        labels = connected_components(nodes.select("node"), tree)
+        placed = materialize(nodes.join(labels.withColumnRenamed("label", "component"), "node"), "placed")
+    return of, tree
+
+
+def cut_tree(of: DataFrame, tree: DataFrame, k: int) -> DataFrame:
+    """(id, cluster) after the k - 1 longest links of a spanning tree go, clusters numbered by
+    their smallest id. Of equal links those with the larger ids go first."""
+    cut = tree.orderBy(F.desc("distance"), F.desc("src"), F.desc("dst")).limit(max(0, k - 1)).select("src", "dst")
+    kept = tree.join(cut, ["src", "dst"], "left_anti")
+    labels = connected_components(of.select("node").distinct(), kept)
+    ranked, _ = with_global_rank(labels.where("node = label").select("label"), F.col("label"), [])
+    named = labels.join(ranked.select("label", F.col("_rank").cast("bigint").alias("cluster")), "label")
+    return of.join(named, "node").select("id", "cluster")
+
+
+def single_linkage_k(points: DataFrame, k: int, key: str = "id", vec: str = "features", **limits) -> DataFrame:
+    """(id, cluster) of single linkage down to ``k`` clusters: a spanning tree without its k - 1
+    longest links. With fewer distinct positions than ``k``, each is a cluster."""
+    return cut_tree(*spanning_tree(points, key, vec, **limits), k)
 
 
 # ---- k-means and scores ---------------------------------------------------------------------------------
@@ -301,9 +235,6 @@ def cluster_distance_sums(
     schema = f"id {p.schema['id'].dataType.simpleString()}, label int, other int, total double"
 
     def sums(a, b):
-        import numpy as np
-        import pandas as pd
-
         if len(a) == 0 or len(b) == 0:
             return pd.DataFrame({"id": [], "label": [], "other": [], "total": []})
         groups, inverse = np.unique(b["label"].to_numpy(), return_inverse=True)
@@ -388,8 +319,6 @@ def covariance_matrix(df: DataFrame, vec: str = "features", dims: int = 64) -> D
 
 
 def _covariance(df: DataFrame, vec: str, dims: int):
-    import numpy as np
-
     from tickwright.operators.regression import gram
 
     flat, cols = _spread(df, vec, dims)
@@ -399,8 +328,6 @@ def _covariance(df: DataFrame, vec: str, dims: int):
 
 def _axes(symmetric, k: int):
     """Leading eigenpairs with a fixed sign (largest component positive)."""
-    import numpy as np
-
     values, vectors = np.linalg.eigh(symmetric)
     order = np.argsort(values)[::-1]
     values, vectors = values[order], vectors[:, order[:k]]
@@ -433,8 +360,6 @@ def explained_variance_ratio(spark, values, k: int) -> DataFrame:
 
 def svd(df: DataFrame, k: int, vec: str = "features", dims: int = 64):
     """Singular values and right vectors from the Gram matrix (rows far outnumber columns)."""
-    import numpy as np
-
     from tickwright.operators.regression import gram
 
     flat, cols = _spread(df, vec, dims)

@@ -76,7 +76,16 @@ def elbow(spark, d):
 
 
 EPS, MIN_PTS = 1.5, 4
-NEAR = f"{POINTS}, nc AS (SELECT a.id, count(*) AS neighbors FROM pts a JOIN pts b ON {DIST} <= {EPS} GROUP BY a.id)"
+PLANE = (POINTS, f"{DIST} <= {EPS}")
+FAR_EPS = 1.15
+SPACE = ("pts AS (SELECT vec_id AS id, embedding::DOUBLE[] AS f FROM embeddings)", f"list_distance(a.f, b.f) <= {FAR_EPS}")
+
+
+def near_sql(points, within):
+    return f"{points}, nc AS (SELECT a.id, count(*) AS neighbors FROM pts a JOIN pts b ON {within} GROUP BY a.id)"
+
+
+NEAR = near_sql(*PLANE)
 
 
 @query("neighborhood_counts", f"WITH {NEAR} SELECT id, neighbors FROM nc")
@@ -89,13 +98,19 @@ def core_points(spark, d):
     return cl.core_points(cl.neighborhood_counts(customer_points(spark, d), EPS), MIN_PTS)
 
 
-def components_sql(min_pts):
-    return f"""WITH RECURSIVE {NEAR}, core AS (SELECT pts.* FROM pts JOIN nc USING (id) WHERE neighbors >= {min_pts}),
-ed AS (SELECT a.id AS s, b.id AS d FROM core a JOIN core b ON {DIST} <= {EPS}),
+@query("neighborhood_counts_embeddings", f"WITH {near_sql(*SPACE)} SELECT id, neighbors FROM nc")
+def neighborhood_counts_embeddings(spark, d):
+    """Neighbour counts in 64 dimensions."""
+    return cl.neighborhood_counts(vectors(spark, d), FAR_EPS)
+
+
+def components_sql(min_pts, points=PLANE[0], within=PLANE[1]):
+    return f"""WITH RECURSIVE {near_sql(points, within)}, core AS (SELECT pts.* FROM pts JOIN nc USING (id) WHERE neighbors >= {min_pts}),
+ed AS (SELECT a.id AS s, b.id AS d FROM core a JOIN core b ON {within}),
 rc AS (SELECT id AS s, id AS d FROM core UNION SELECT rc.s, ed.d FROM rc JOIN ed ON ed.s = rc.d),
 comp AS (SELECT s AS id, min(d) AS root FROM rc GROUP BY s), num AS (SELECT root, row_number() OVER (ORDER BY root) AS cluster FROM (SELECT DISTINCT root FROM comp)),
 cc AS (SELECT core.*, cluster FROM core JOIN comp USING (id) JOIN num USING (root)),
-bd AS (SELECT a.id, min(cluster) AS cluster FROM pts a JOIN cc b ON {DIST} <= {EPS} WHERE a.id NOT IN (SELECT id FROM core) GROUP BY a.id),
+bd AS (SELECT a.id, min(cluster) AS cluster FROM pts a JOIN cc b ON {within} WHERE a.id NOT IN (SELECT id FROM core) GROUP BY a.id),
 lab AS (SELECT id, cluster FROM cc UNION ALL SELECT id, cluster FROM bd UNION ALL SELECT id, 0 FROM pts WHERE id NOT IN (SELECT id FROM core) AND id NOT IN (SELECT id FROM bd))"""
 
 
@@ -104,6 +119,12 @@ def dbscan(spark, d):
     return cl.dbscan(customer_points(spark, d), EPS, MIN_PTS)
 
 
+@query("dbscan_embeddings", f"{components_sql(MIN_PTS, *SPACE)} SELECT id, cluster FROM lab")
+def dbscan_embeddings(spark, d):
+    """Density clusters in 64 dimensions."""
+    return cl.dbscan(vectors(spark, d), FAR_EPS, MIN_PTS)
+
+
 @query("noise_ratio", f"{components_sql(MIN_PTS)} SELECT {q6('avg(CASE WHEN cluster = 0 THEN 1.0 ELSE 0.0 END)', 'noise_ratio')} FROM lab")
 def noise_ratio(spark, d):
     return out(cl.noise_ratio(cl.dbscan(customer_points(spark, d), EPS, MIN_PTS)), ["noise_ratio"], [])
@@ -114,6 +135,12 @@ def single_linkage(spark, d):
     return cl.single_linkage(customer_points(spark, d), EPS)
 
 
+@query("single_linkage_k")
+def single_linkage_k(spark, d):
+    """Single linkage down to ten clusters; tests compare the operator with Kruskal's algorithm."""
+    return cl.single_linkage_k(customer_points(spark, d), 10)
+
+
 @query("gmm")
 def gmm(spark, d):
     p = customer_points(spark, d).withColumn("features", array_to_vector("features"))
