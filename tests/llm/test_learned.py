@@ -118,7 +118,7 @@ def plain_tree(train, texts, depth):
     return out
 
 
-@pytest.mark.parametrize("limits", [(1 << 23, 1 << 18), (0, 0), (0, 3)])
+@pytest.mark.parametrize("limits", [(1 << 23, 1 << 18), (0, 0), (0, 3), (400, 8)])
 def test_context_tree_against_recursion(odd_docs, spark, limits):
     extra = spark.createDataFrame([(20 + k, "to be or not to be " * (k % 4), "en", None, 0, "") for k in range(12)], odd_docs.schema)
     docs = odd_docs.where("doc_id <> 5 OR doc_id IS NULL").unionByName(extra)
@@ -137,6 +137,68 @@ def test_context_tree_against_recursion(odd_docs, spark, limits):
     assert len(got) == len(want)
 
 
+def test_long_texts_are_counted_and_scored_by_pieces(monkeypatch):
+    texts = ["Some  words and MORE words " * 9, None, "", "x", "one" * 40 + " two " * 30, "\tend here"]
+    bodies = [ct.normal(t) for t in texts]
+
+    def by_text():
+        found, words = {}, {}
+        for first, pieces in ct.slabs(texts):
+            codes, sizes = ct.gram_codes(pieces)
+            column, counts = ct.word_column(pieces)
+            for k in range(len(pieces)):
+                found.setdefault(first + k, []).extend(codes[sizes[:k].sum() :][: sizes[k]].tolist())
+                words.setdefault(first + k, []).extend(column.to_pylist()[counts[:k].sum() :][: counts[k]])
+        return found, words
+
+    whole, words = by_text()
+    assert {i: [w.decode()[:-1] for w in x] for i, x in words.items()} == {i: b.decode().split() for i, b in enumerate(bodies)}
+    assert all(len(whole[i]) == len(b) + 1 for i, b in enumerate(bodies))
+    assert [c >> 8 for c in whole[3]] == [0xFFFFFFFFFF, 0xFFFFFFFF00 + ord("x")]
+    scores = {b"words ": -1.5, b"x ": -2.0}
+    codes = np.unique(np.concatenate(list(whole.values())))
+    table = ct.Lookup(codes[::2], -np.arange(len(codes[::2]), dtype=float))
+    plain = [ct.score_slab([piece], 5, table, scores, {b"x "}) for _, pieces in ct.slabs(texts) for piece in pieces]
+    monkeypatch.setattr(ct, "SLAB_BYTES", 20)
+    assert by_text() == (whole, words)
+    pieces = [ct.score_slab(own, 5, table, scores, {b"x "}) for first, own in ct.slabs(texts) if first == 0]
+    assert len(pieces) > 3
+    joined = ct.as_one(pieces)
+    for k in ("score", "n_bytes", "words", "base", "known"):
+        assert joined[k] == pytest.approx(plain[0][k])
+    for k, key in (("rare", "word"), ("grams", "gram")):
+        total = Counter()
+        for x in joined[k].to_pylist()[0]:
+            total[x[key]] += x["k"]
+        assert total == {x[key]: x["k"] for x in plain[0][k].to_pylist()[0]}
+
+
+def test_counts_add_up(monkeypatch):
+    monkeypatch.setattr(ct, "FLUSH_GRAMS", 40)
+    monkeypatch.setattr(ct, "FLUSH_WORDS", 8)
+    rng = np.random.default_rng(1)
+    grams, words = ct.GramCounts(), ct.WordCounts()
+    want, want_words, got, got_words = Counter(), Counter(), Counter(), Counter()
+
+    def take(total, rows):
+        for key, n, m in rows:
+            total[key, 1] += int(n)
+            total[key, 0] += int(m) - int(n)
+
+    for step in range(30):
+        codes, train = rng.integers(0, 60, 30), rng.integers(0, 2, 30)
+        want.update(zip(codes.tolist(), train.tolist()))
+        grams.add(codes, train)
+        own, flag = [f"w{rng.integers(0, 12)}" for _ in range(9)], int(rng.integers(0, 2))
+        want_words.update((w.encode() + b" ", flag) for w in own)
+        words.add([(b"", " ".join(own).encode() + b"\xff"), (b"", b"\xff")], bool(flag))
+        if grams.full() or step == 29:
+            take(got, zip(*grams.flush()))
+        if words.full() or step == 29:
+            take(got_words, [(r["word"], r["n"], r["m"]) for r in words.flush().to_pylist()])
+    assert +got == want and +got_words == want_words
+
+
 def test_context_tree_without_rows(no_docs):
     assert ct.score_documents(no_docs).count() == 0
 
@@ -147,15 +209,16 @@ def test_lookup():
     table = ct.Lookup(keys, keys * 0.5)
     asked = rng.choice(keys, 20_000)
     assert (table(asked) == asked * 0.5).all()
-    with pytest.raises(KeyError):
-        table(np.array([-5]) & ((1 << 48) - 1))
+    mixed = np.concatenate([keys[:50], keys[:50] + 1, (np.array([-5]) & ((1 << 48) - 1))])
+    there = np.isin(mixed, keys)
+    assert (table(mixed)[there] == mixed[there] * 0.5).all() and np.isnan(table(mixed)[~there]).all()
     assert len(ct.Lookup(np.empty(0, np.int64), np.empty(0))(np.empty(0, np.int64))) == 0
 
 
 def test_frequent_words_are_few(spark):
     words = spark.createDataFrame([(bytes([k]), k, k + 1) for k in range(100)], "word binary, n bigint, m bigint")
     for limit in (0, 1, 10, 1000):
-        found = [r["n"] for r in ct.frequent(words, limit).collect()]
+        found = [r["n"] for r in ct.frequent(words, limit, "word", "n").collect()]
         assert len(found) <= limit and sorted(found) == list(range(100))[100 - len(found) :]
 
 

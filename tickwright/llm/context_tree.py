@@ -13,15 +13,16 @@ below the last context that was seen.
 Everything learned comes from counts of (context, byte) and of words over all training rows: tasks
 count their own texts, Spark adds up, each tree level is one aggregate of the level below and one
 join with the level above. The trained model is a table of (context, byte) with its log
-probability. Scoring looks bytes up in that table. If its counted rows are at most
-``LOCAL_GRAMS``, each worker reads the table once; above it texts send their counted grams to a
-join. Words likewise: those frequent enough to be few are looked up, all others are joined.
+probability. Scoring looks bytes up in that table: the most frequent grams, at most
+``LOCAL_GRAMS``, and the most frequent words, at most ``LOCAL_WORDS``, are broadcast; what a text
+has beyond them is joined, so no key of that join is a frequent one. Long texts are cut at spaces
+and counted and scored by pieces.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -35,100 +36,187 @@ END = 255
 LOCAL_GRAMS = 1 << 23
 LOCAL_WORDS = 1 << 18
 SLAB_BYTES = 1 << 20
-FLUSH = 1 << 20
+FLUSH_GRAMS = 1 << 20
 FLUSH_WORDS = 1 << 18
+SENT_ROWS = 1 << 16
+# pieces of a slab are numbered in 16 bits beside the six bytes of a gram
+SLAB_PIECES = 1 << 16
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def normal(text: str | None) -> bytes:
+    """Lower-cased words with one space between them."""
+    return b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
 
 
-def gram_codes(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(codes, real, starts): code of each byte with the ``depth`` bytes before it.
+def slabs(texts: list[str | None], depth: int = DEPTH):
+    """(first text, pieces) with about ``SLAB_BYTES`` bytes; a piece is (bytes before, own bytes).
 
-    Before each text stand end signs; codes whose byte is such a filler are not real. ``starts``
-    has the first code of each text; each text's last real code is that of its end sign.
+    A text ends with an end sign, and ``depth`` of them stand before it. A long text has slabs of
+    its own with one piece each, cut behind spaces; all its pieces but the last lack the end sign.
     """
-    filler = bytes([END]) * depth
-    stream = np.frombuffer(filler + filler.join(texts) + bytes([END]), np.uint8).astype(np.int64)
+    end, filler = bytes([END]), bytes([END]) * depth
+    first, held, size = 0, [], 0
+    for i, text in enumerate(texts):
+        body = normal(text)
+        if held and (size + len(body) > SLAB_BYTES or len(held) == SLAB_PIECES):
+            yield first, held
+            held, size = [], 0
+        if len(body) <= SLAB_BYTES:
+            if not held:
+                first = i
+            held.append((filler, body + end))
+            size += len(body) + depth + 1
+            continue
+        at, before = 0, filler
+        while at < len(body):
+            stop = body.find(b" ", at + SLAB_BYTES) + 1 or len(body)
+            yield i, [(before, body[at:stop] + (end if stop == len(body) else b""))]
+            at, before = stop, body[max(0, stop - depth) : stop].rjust(depth, end)
+    if held:
+        yield first, held
+
+
+def gram_codes(pieces: list[tuple[bytes, bytes]], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """(code of each byte with the ``depth`` bytes before it, bytes of each piece), piece by piece."""
+    stream = np.frombuffer(b"".join([x for piece in pieces for x in piece]), np.uint8).astype(np.int64)
+    sizes = np.array([len(body) for _, body in pieces], np.int64)
     codes = np.zeros(len(stream) - depth, np.int64)
     for k in range(depth + 1):
         codes = (codes << 8) | stream[k : len(codes) + k]
-    sizes = np.array([len(t) for t in texts], np.int64)
-    starts = np.cumsum(np.append(0, sizes[:-1] + depth))
-    real = np.ones(len(codes), bool)
-    for k in range(1, depth):
-        real[(starts + sizes + k)[:-1]] = False
-    return codes, real, starts
+    own = np.ones(len(codes), bool)
+    behind = (np.cumsum(sizes + depth) - depth)[:-1]
+    for k in range(depth):
+        own[behind + k] = False
+    return codes[own], sizes
 
 
-def slabs(texts: list[str | None]):
-    """Slices of a list of texts with about ``SLAB_BYTES`` characters."""
-    begin, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "") + DEPTH + 1
-        if size >= SLAB_BYTES or i + 1 == len(texts):
-            yield slice(begin, i + 1)
-            begin, size = i + 1, 0
+def word_column(pieces: list[tuple[bytes, bytes]]):
+    """(Arrow array of all words, each with one space behind it; words of each piece)."""
+    import pyarrow as pa
+
+    end = bytes([END])
+    bodies = [body.removesuffix(end) for _, body in pieces]
+    bodies = [body + b" " if body and not body.endswith(b" ") else body for body in bodies]
+    data = b"".join(bodies)
+    raw = np.frombuffer(data, np.uint8)
+    ends = np.append(0, np.flatnonzero(raw == 32) + 1)
+    words = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+    reach = np.cumsum([len(body) for body in bodies])
+    return words, np.diff(np.searchsorted(ends, reach, "right") - 1, prepend=0)
+
+
+def first_of(values: np.ndarray) -> np.ndarray:
+    """Places where a sorted array begins a new value."""
+    return np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.empty(0, np.int64)
 
 
-def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    codes, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return codes, np.bincount(place, np.concatenate([p[1] for p in parts]), len(codes)).astype(np.int64)
+def merge(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """(codes, n, m) with equal codes of the parts, each sorted, added up."""
+    codes, n, m = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    order = np.argsort(codes, kind="stable")  # merges sorted runs
+    codes = codes[order]
+    start = first_of(codes)
+    return codes[start], np.add.reduceat(n[order], start), np.add.reduceat(m[order], start)
+
+
+class GramCounts:
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, codes: np.ndarray, train: np.ndarray) -> None:
+        keys = codes << 1 | train
+        keys.sort()
+        start = first_of(keys)
+        m = np.diff(np.append(start, len(keys)))
+        keys = keys[start]
+        self.parts.append((keys >> 1, m * (keys & 1), m))
+        if sum(len(p[0]) for p in self.parts[1:]) > max(FLUSH_GRAMS // 4, len(self.parts[0][0])):
+            self.parts = [merge(self.parts)]
+
+    def full(self) -> bool:
+        return len(self.parts) == 1 and len(self.parts[0][0]) > FLUSH_GRAMS
+
+    def flush(self) -> tuple[np.ndarray, ...]:
+        out = merge(self.parts)
+        self.parts = []
+        return out
+
+
+class WordCounts:
+    def __init__(self):
+        self.parts: list = []
+
+    def add(self, pieces, train: bool) -> None:
+        import pyarrow as pa
+
+        found = word_column(pieces)[0].value_counts()
+        m = found.field(1)
+        n = m if train else pa.array(np.zeros(len(m), np.int64))
+        self.parts.append(pa.table([found.field(0), n, m], ["word", "n", "m"]))
+        if sum(len(p) for p in self.parts[1:]) > max(FLUSH_WORDS // 4, len(self.parts[0])):
+            self.parts = [self.merged()]
+
+    def merged(self):
+        import pyarrow as pa
+
+        found = pa.concat_tables(self.parts).group_by("word").aggregate([("n", "sum"), ("m", "sum")])
+        return found.select(["word", "n_sum", "m_sum"]).rename_columns(["word", "n", "m"])
+
+    def full(self) -> bool:
+        return len(self.parts) == 1 and len(self.parts[0]) > FLUSH_WORDS
+
+    def flush(self):
+        out = self.merged()
+        self.parts = []
+        return out
 
 
 def corpus_counts(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
     """Partial counts (word, gram, n, m) of rows (text, train): n in training rows, m in all.
 
-    A row has a word, or a gram (context and byte), or neither; the last counts rows.
+    A row has a word (with one space behind it), or a gram (context and byte), or neither; the last
+    counts rows.
     """
     import pyarrow as pa
 
-    names = ["word", "gram", "n", "m"]
+    if depth > 5:
+        raise ValueError("a gram has six bytes at most")
+    schema = pa.schema([("word", pa.binary()), ("gram", pa.int64()), ("n", pa.int64()), ("m", pa.int64())])
 
     def count(batches):
         _tables.clear()  # of an earlier model; the worker may have served it
-        words = (Counter(), Counter())
-        grams: list[tuple[np.ndarray, np.ndarray]] = []
-        docs = [0, 0]
-
-        def flush_words():
-            keys = list(words[0].keys() | words[1].keys())
-            n = np.array([words[1][k] for k in keys], np.int64)
-            m = n + np.array([words[0][k] for k in keys], np.int64)
-            words[0].clear(), words[1].clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.nulls(len(keys), pa.int64()), pa.array(n, pa.int64()), pa.array(m, pa.int64())], names)
-
-        def flush_grams():
-            codes, n = merge(grams)
-            grams.clear()
-            return pa.RecordBatch.from_arrays([pa.nulls(len(codes), pa.binary()), pa.array(codes), pa.array(n), pa.array(n)], names)
+        words, grams, docs = WordCounts(), GramCounts(), [0, 0]
+
+        def sent(columns):
+            yield from pa.table(columns, schema=schema).combine_chunks().to_batches(SENT_ROWS)
+
+        def sent_words():
+            found = words.flush()
+            return sent([found.column("word"), pa.nulls(len(found), pa.int64()), found.column("n"), found.column("m")])
+
+        def sent_grams():
+            codes, n, m = grams.flush()
+            return sent([pa.nulls(len(codes), pa.binary()), *map(pa.array, (codes, n, m))])
 
         for batch in batches:
-            texts, train = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for part in slabs(texts):
+            texts, train = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), np.int64)
+            docs = [docs[0] + int(train.sum()), docs[1] + len(texts)]
+            for first, pieces in slabs(texts, depth):
+                codes, sizes = gram_codes(pieces, depth)
+                flags = train[first : first + len(pieces)]
+                grams.add(codes, np.repeat(flags, sizes))
                 for flag in (0, 1):
-                    own = [words_of(t) for t, f in zip(texts[part], train[part]) if f == flag]
-                    if not own:
-                        continue
-                    docs[flag] += len(own)
-                    for w in own:
-                        words[flag].update(w)
-                    codes, real, _ = gram_codes([b" ".join(w) for w in own], depth)
-                    codes, n = np.unique(codes[real], return_counts=True)
-                    grams.append((codes, n * flag))
-                if sum(len(g[0]) for g in grams) > FLUSH:
-                    grams[:] = [merge(grams)]
-                    if len(grams[0][0]) > FLUSH // 2:
-                        yield flush_grams()
-                if len(words[0]) + len(words[1]) > FLUSH_WORDS:
-                    yield flush_words()
-        if grams:
-            yield flush_grams()
-        if words[0] or words[1]:
-            yield flush_words()
-        if sum(docs):
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([docs[1]], pa.int64()), pa.array([sum(docs)], pa.int64())], names)
+                    words.add([p for p, f in zip(pieces, flags) if f == flag], bool(flag))
+                if grams.full():
+                    yield from sent_grams()
+                if words.full():
+                    yield from sent_words()
+        if grams.parts:
+            yield from sent_grams()
+        if words.parts:
+            yield from sent_words()
+        if docs[1]:
+            yield from sent([pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array(docs[:1]), pa.array(docs[1:])])
 
     return rows.select("text", F.col("train").cast("int").alias("train")).mapInArrow(count, "word binary, gram bigint, n bigint, m bigint")
 
@@ -209,96 +297,101 @@ class Lookup:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        """Values of keys that are all present."""
+        """Values of keys, NaN where a key is absent."""
         at = self.slots(keys)
         wrong = np.flatnonzero(self.keys[at] != keys)
+        absent = np.empty(0, np.int64)
         while len(wrong):
-            at[wrong] += 1
             found = self.keys[at[wrong]]
-            if (found == -1).any():
-                raise KeyError("a gram that was not counted")
-            wrong = wrong[found != keys[wrong]]
-        return self.values[at]
-
-
-_tables: dict[str, object] = {}
-
-
-def local_table(path: str, build):
-    """A stored table, read once by each worker."""
-    if path not in _tables:
-        import pyarrow.parquet as pq
-        from pyarrow.fs import FileSelector, FileSystem
-
-        fs, place = FileSystem.from_uri(path)
-        files = sorted(f.path for f in fs.get_file_info(FileSelector(place)) if f.path.endswith(".parquet"))
-        parts = [pq.read_table(f, filesystem=fs) for f in files]
-        _tables.clear() if len(_tables) > 1 else None
-        _tables[path] = build(parts)
-    return _tables[path]
-
-
-def lookup_of(parts) -> Lookup:
-    columns = [np.concatenate([p[c].to_numpy() for p in parts] or [np.empty(0)]) for c in ("gram", "lp")]
-    return Lookup(columns[0].astype(np.int64), columns[1])
-
-
-def scores_of(parts, below: float) -> tuple[dict[bytes, float], set[bytes]]:
-    """(base score of each word, words that training lacks)."""
-    scores, unknown = {}, set()
-    for p in parts:
-        for w, n in zip(p["word"].to_pylist(), p["n"].to_pylist()):
-            scores[w] = math.log10(n + 0.5) - below
-            if not n:
-                unknown.add(w)
-    return scores, unknown
+            absent = np.append(absent, wrong[found == -1])
+            wrong = wrong[(found != -1) & (found != keys[wrong])]
+            at[wrong] += 1
+        out = self.values[at]
+        out[absent] = np.nan
+        return out
 
 
-class Lists:
-    """A column of lists of (key, k), built flat."""
+_tables: dict[str, tuple] = {}
 
-    def __init__(self):
-        self.keys: list = []
-        self.counts: list[int] = []
-        self.ends = [0]
 
-    def add(self, keys, counts) -> None:
-        self.keys += keys
-        self.counts += counts
-        self.ends.append(len(self.keys))
+def local_tables(name: str, grams, words, below: float) -> tuple[Lookup, dict[bytes, float], set[bytes]]:
+    """The broadcast model in a worker: (lookup of grams, base score of each word, words that training lacks)."""
+    if name not in _tables:
+        _tables.clear()
+        keys, n = words.value
+        scores = dict(zip(keys, (np.log10(n + 0.5) - below).tolist()))
+        _tables[name] = Lookup(*grams.value), scores, {w for w, k in zip(keys, n.tolist()) if not k}
+    return _tables[name]
 
-    def skip(self, n: int) -> None:
-        self.ends += [len(self.keys)] * n
 
-    def array(self, name: str, kind):
-        import pyarrow as pa
+def lists(owner: np.ndarray, size: int, key, counts: np.ndarray, name: str):
+    """A column of lists of (key, k), one list for each of ``size`` owners; ``owner`` is sorted."""
+    import pyarrow as pa
 
-        rows = pa.StructArray.from_arrays([pa.array(self.keys, kind), pa.array(self.counts, pa.int64())], [name, "k"])
-        return pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), rows)
+    ends = np.append(0, np.cumsum(np.bincount(owner, minlength=size)))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([key, pa.array(counts, pa.int64())], [name, "k"]))
 
 
 # ---- scores ------------------------------------------------------------------------------
 
 
-def stored_path(df: DataFrame, name: str) -> str:
-    from tickwright.session import scratch_path
-
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return path
-
-
-def frequent(words: DataFrame, limit: int) -> DataFrame:
-    """(word, n) of the most frequent words, at most ``limit``, by a histogram of their counts."""
+def frequent(counts: DataFrame, limit: int, *columns: str) -> DataFrame:
+    """The given columns of the rows with the largest m, at most ``limit`` of them, by a histogram of m."""
     step = F.floor(F.log2("m") * 8)
-    histogram = sorted(((r["step"], r["k"]) for r in words.where("m > 0").groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)
+    histogram = sorted(((r["step"], r["k"]) for r in counts.where("m > 0").groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)
     total, least = 0, math.inf
     for s, k in histogram:
         total += k
         if total > limit:
             break
         least = s
-    return words.where(step >= F.lit(float(least))).select("word", "n")
+    return counts.where(step >= F.lit(float(least))).select(*columns)
+
+
+def score_slab(pieces, depth: int, table: Lookup, scores: dict[bytes, float], unknown: set[bytes]) -> dict:
+    """Sums over each piece, and what the local tables lack."""
+    import pyarrow as pa
+
+    size = len(pieces)
+    codes, bytes_of = gram_codes(pieces, depth)
+    key = (codes.astype(np.uint64) << np.uint64(16)) | np.repeat(np.arange(size, dtype=np.uint64), bytes_of)
+    key.sort()
+    codes, piece = (key >> np.uint64(16)).astype(np.int64), (key & np.uint64(0xFFFF)).astype(np.int64)
+    start = first_of(codes)
+    value = np.repeat(table(codes[start]), np.diff(np.append(start, len(codes))))
+    far = np.isnan(value)
+    value[far] = 0
+    out = {"score": np.bincount(piece, value, size), "n_bytes": bytes_of}
+    lost = key[far]
+    start = first_of(lost)
+    times = np.diff(np.append(start, len(lost)))
+    order = np.argsort(piece[far][start], kind="stable")
+    out["grams"] = lists(piece[far][start][order], size, pa.array(codes[far][start][order]), times[order], "gram")
+
+    words, counts = word_column(pieces)
+    coded = words.dictionary_encode()
+    own = coded.dictionary.to_pylist()
+    by_word = np.array([scores.get(w, np.nan) for w in own], np.float64)
+    is_known = np.array([w in scores and w not in unknown for w in own], np.float64)
+    at = coded.indices.to_numpy(zero_copy_only=False)
+    piece, value = np.repeat(np.arange(size), counts), by_word[at]
+    rare = np.isnan(value)
+    value[rare] = 0
+    out |= {"words": counts, "base": np.bincount(piece, value, size), "known": np.bincount(piece, is_known[at], size).astype(np.int64)}
+    pairs, times = np.unique(piece[rare] * max(len(own), 1) + at[rare], return_counts=True)
+    out["rare"] = lists(pairs // max(len(own), 1), size, coded.dictionary.take(pa.array(pairs % max(len(own), 1))), times, "word")
+    return out
+
+
+def as_one(parts: list[dict]) -> dict:
+    """The sums of the pieces of one text."""
+    import pyarrow as pa
+
+    out = {k: np.sum([p[k] for p in parts], axis=0) for k in ("score", "n_bytes", "words", "base", "known")}
+    for k in ("grams", "rare"):
+        values = pa.concat_arrays([p[k].values for p in parts])
+        out[k] = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+    return out
 
 
 def score_documents(
@@ -319,63 +412,48 @@ def score_documents(
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held_out(F.col(id_col), 5, 1).alias("held_out"))
     counts = materialize(corpus_counts(rows.select("text", (~F.col("held_out")).alias("train")), depth), "corpus-counts")
-    words = materialize(counts.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "word-counts")
+    added = [F.sum("n").alias("n"), F.sum("m").alias("m")]
+    words = materialize(counts.where("word IS NOT NULL").groupBy("word").agg(*added), "word-counts")
+    grams = materialize(counts.where("gram IS NOT NULL").groupBy("gram").agg(*added), "gram-counts")
     ends = counts.where("word IS NULL AND gram IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     seen = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     train_tokens, distinct = seen["n"] + ends, seen["v"] + (ends > 0)
     below = math.log10(train_tokens + 0.5 * (distinct + 1))
-    grams = materialize(counts.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")), "gram-counts")
-    scored_grams = gram_scores(grams, depth)
-    gram_path = stored_path(scored_grams, "gram-scores")
-    scored_grams = rows.sparkSession.read.schema(scored_grams.schema).parquet(gram_path)
-    word_path = stored_path(frequent(words, local_words), "frequent-words")
-    local = scored_grams.count() <= local_grams
+    scored = gram_scores(grams.select("gram", "n"), depth)
+    model = materialize(scored.join(grams.select("gram", "m"), "gram"), "gram-scores")
+    near = frequent(model, local_grams, "gram", "lp").toArrow()
+    near_words = frequent(words, local_words, "word", "n").toArrow()
+    context, name = rows.sparkSession.sparkContext, uuid.uuid4().hex
+    sent_grams = context.broadcast((near.column("gram").to_numpy(), near.column("lp").to_numpy()))
+    sent_words = context.broadcast((near_words.column("word").to_pylist(), near_words.column("n").to_numpy()))
+    del near, near_words
     names = ["row", "id", "held_out", "n_tokens", "n_known", "base", "score", "n_bytes", "words", "grams"]
     end_score = math.log10(ends + 0.5) - below
 
     def score(batches):
         from pyspark import TaskContext
 
-        scores, unknown = local_table(word_path, lambda parts: scores_of(parts, below))
-        table = local_table(gram_path, lookup_of) if local else None
+        local = local_tables(name, sent_grams, sent_words, below)
         number = TaskContext.get().partitionId() << 40
+
+        def row_batch(batch, first, n, x):
+            part = slice(first, first + n)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(number + first, number + first + n)), batch.column(0)[part], batch.column(2)[part], pa.array(x["words"] + 1, pa.int64()), pa.array(x["known"] + int(ends > 0), pa.int64()), pa.array(x["base"] + end_score), pa.array(x["score"]), pa.array(x["n_bytes"], pa.int64()), x["rare"], x["grams"]],
+                names,
+            )
+
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for part in slabs(texts):
-                split = [words_of(t) for t in texts[part]]
-                joined = [b" ".join(w) for w in split]
-                codes, real, starts = gram_codes(joined, depth)
-                own_grams = Lists()
-                if local:
-                    value = np.zeros(len(codes))
-                    value[real] = table(codes[real])
-                    totals = np.add.reduceat(value, starts)
-                    own_grams.skip(len(split))
-                else:
-                    stops = np.append(starts[1:], len(codes))
-                    for a, b in zip(starts, stops):
-                        own, n = np.unique(codes[a:b][real[a:b]], return_counts=True)
-                        own_grams.add(own.tolist(), n.tolist())
-                    totals = np.zeros(len(split))
-                base, known, rare = [], [], Lists()
-                for own in split:
-                    other, other_counts = [], []
-                    total, k = end_score, int(ends > 0)
-                    for w, n in Counter(own).items():
-                        s = scores.get(w)
-                        if s is None:
-                            other.append(w), other_counts.append(n)
-                        else:
-                            total += n * s
-                            k += 0 if w in unknown else n
-                    rare.add(other, other_counts)
-                    base.append(total), known.append(k)
-                n = len(split)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(number, number + n)), batch.column(0)[part], batch.column(2)[part], pa.array([len(w) + 1 for w in split], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(totals), pa.array([len(j) + 1 for j in joined], pa.int64()), rare.array("word", pa.binary()), own_grams.array("gram", pa.int64())],
-                    names,
-                )
-                number += n
+            open_parts = []
+            for first, pieces in slabs(batch.column(1).to_pylist(), depth):
+                found = score_slab(pieces, depth, *local)
+                if pieces[-1][1][-1:] != bytes([END]):
+                    open_parts.append(found)
+                    continue
+                if open_parts:
+                    found, open_parts = as_one([*open_parts, found]), []
+                yield row_batch(batch, first, len(pieces), found)
+            number += batch.num_rows
 
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"row bigint, id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, n_bytes bigint, words array<struct<word: binary, k: bigint>>, grams array<struct<gram: bigint, k: bigint>>"
@@ -384,9 +462,8 @@ def score_documents(
     rare = done.select("row", F.explode("words").alias("w")).select("row", "w.word", "w.k").join(words.select("word", "n"), "word", "left")
     rare = rare.select("row", "k", F.coalesce("n", F.lit(0)).alias("n"))
     more = rare.select("row", (F.col("k") * (F.log10(F.col("n") + 0.5) - below)).alias("base"), F.when(F.col("n") > 0, F.col("k")).otherwise(0).alias("known"), F.lit(0.0).alias("lp"))
-    if not local:
-        far = done.select("row", F.explode("grams").alias("g")).select("row", "g.gram", "g.k").join(scored_grams, "gram")
-        more = more.unionByName(far.select("row", F.lit(0.0).alias("base"), F.lit(0).cast("bigint").alias("known"), (F.col("k") * F.col("lp")).alias("lp")))
+    far = done.select("row", F.explode("grams").alias("g")).select("row", "g.gram", "g.k").join(model.select("gram", "lp"), "gram")
+    more = more.unionByName(far.select("row", F.lit(0.0).alias("base"), F.lit(0).cast("bigint").alias("known"), (F.col("k") * F.col("lp")).alias("lp")))
     more = more.groupBy("row").agg(F.sum("base").alias("more_base"), F.sum("known").alias("more_known"), F.sum("lp").alias("more_lp"))
     out = done.drop("words", "grams").join(more, "row", "left")
     total = F.col("score") + F.coalesce("more_lp", F.lit(0.0))
