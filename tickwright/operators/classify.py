@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickwright.functions.position import with_running_totals
+from tickwright.operators.forest import fit_forest
 
 
 # ---- logistic regression ------------------------------------------------------------------------
@@ -186,45 +187,17 @@ def fit_tree_classifier(train: DataFrame, valid: DataFrame, depths=(3, 5), leave
     return best[1], table
 
 
-def fit_forest_classifier(train: DataFrame, trees: int = 100, depth: int = 10, features: str = "3", seed: int = 42):
-    from pyspark.ml.classification import RandomForestClassifier
-
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, featureSubsetStrategy=features, seed=seed).fit(train)
-
-
-def poisson_weight(key: str, tree: int, seed: int) -> Column:
-    """Poisson(1) bootstrap weight of a (row, tree) pair from a hash, the same on every run."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.lit(tree), F.col(key)), F.lit(2**53)) + F.lit(0.5)) / F.lit(float(2**53))
-    steps, mass, total = [], math.exp(-1.0), 0.0
-    for k in range(12):
-        total += mass / math.factorial(k)
-        steps.append(F.when(u > total, 1.0).otherwise(0.0))
-    return sum(steps[1:], steps[0])
-
-
-def oob_error(df: DataFrame, key: str = "id", label: str = "label", trees: int = 100, depth: int = 10, subset: str = "3", seed: int = 42) -> DataFrame:
-    """Share of rows that the trees not trained on them vote wrongly."""
-    from pyspark.ml.classification import RandomForestClassifier
-
-    scored = df
-    names = []
-    for i in range(trees):
-        bag = df.withColumn("_w", poisson_weight(key, i, seed)).where(F.col("_w") > 0)
-        model = RandomForestClassifier(
-            numTrees=1, bootstrap=False, weightCol="_w", maxDepth=depth, featureSubsetStrategy=subset, seed=seed + i,
-            labelCol=label,
-        ).fit(bag)
-        name = f"_t{i}"
-        model.setPredictionCol(name).setProbabilityCol("").setRawPredictionCol("")
-        scored = model.transform(scored)
-        names.append((name, i))
-    votes = F.filter(
-        F.array(*[F.when(poisson_weight(key, i, seed) == 0, F.col(n)) for n, i in names]), lambda v: v.isNotNull()
-    )
-    voted = scored.select(key, F.col(label).alias("y"), F.explode(votes).alias("v"))
-    counts = voted.groupBy(key, "y", "v").agg(F.count(F.lit(1)).alias("n"))
-    won = counts.groupBy(key, "y").agg(F.max_by("v", F.struct("n", -F.col("v"))).alias("p"))
-    return won.agg(F.avg((F.col("p") != F.col("y")).cast("double")).alias("oob_error"), F.count(F.lit(1)).alias("voted_rows"))
+def fit_forest_classifier(train: DataFrame, trees: int = 100, depth: int = 10, take: int | None = 3, seed: int = 42, **more):
+    """A forest over labels 0, 1, ...; see ``forest.fit_forest``."""
+    classes = more.pop("classes", None) or int(train.agg(F.max("label")).first()[0] or 0) + 1
+    return fit_forest(train, trees, depth, take=take, classes=classes, seed=seed, **more)
+
+
+def oob_error(df: DataFrame, trees: int = 100, depth: int = 10, take: int | None = 3, seed: int = 42, **more) -> DataFrame:
+    """Share of rows that the trees whose bags lack them vote wrongly, and the rows with a vote."""
+    voted = fit_forest_classifier(df, trees, depth, take, seed, **more).transform(df, out_of_bag=True).where("votes > 0")
+    wrong = F.avg((F.col("prediction") != F.col("label")).cast("double"))
+    return voted.agg(wrong.alias("oob_error"), F.count(F.lit(1)).alias("voted_rows"))
 
 
 # ---- linear SVM and MLP -----------------------------------------------------------------------------------

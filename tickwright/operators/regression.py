@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickwright.functions.numeric import null_if_not_finite
 from tickwright.functions.position import exact_medians
+from tickwright.operators import forest
 from tickwright.operators.features import assemble
 from tickwright.schema import INTERVAL_Z
 
@@ -174,13 +175,9 @@ def fit_tree(df: DataFrame, depth: int = 10, min_leaf: int = 5, subset: str = "s
     ).fit(df)
 
 
-def fit_forest(df: DataFrame, trees: int = 100, depth: int = 15, min_leaf: int = 5, seed: int = 42):
-    from pyspark.ml.regression import RandomForestRegressor
-
-    return RandomForestRegressor(
-        numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, featureSubsetStrategy="sqrt",
-        seed=seed, maxMemoryInMB=1024,
-    ).fit(df)
+def fit_forest(df: DataFrame, trees: int = 100, depth: int = 15, min_leaf: int = 5, seed: int = 42, key=("symbol", "date"), **more):
+    """Bagged regression trees with a square-root feature subset per split; see ``forest.fit_forest``."""
+    return forest.fit_forest(df, trees, depth, min_leaf, seed=seed, key=key, **more)
 
 
 def tree_summary(spark, model) -> DataFrame:
@@ -191,26 +188,12 @@ def tree_summary(spark, model) -> DataFrame:
 
 
 def forest_uncertainty(model, df: DataFrame) -> DataFrame:
-    """Mean and population deviation over the trees' predictions."""
-    names = []
-    out = df
-    for i, tree in enumerate(model.trees):
-        name = f"_tree_{i}"
-        names.append(name)
-        out = tree.setPredictionCol(name).transform(out)
-    n = float(len(names))
-    votes = F.array(*names)
-    out = out.withColumn("_votes", votes).drop(*names)
-    mean = F.aggregate("_votes", F.lit(0.0), lambda a, v: a + v) / n
-    out = out.withColumn("prediction", mean)
-    spread = F.aggregate(
-        F.transform("_votes", lambda v: (v - F.col("prediction")) * (v - F.col("prediction"))), F.lit(0.0), lambda a, v: a + v
-    )
-    return out.withColumn("uncertainty", F.sqrt(spread / n)).drop("_votes")
+    """Mean and population deviation over the trees' predictions, all trees in one pass."""
+    return model.transform(df).drop("votes")
 
 
 def feature_importance(spark, model, names) -> DataFrame:
-    values = model.featureImportances.toArray()
+    values = model.importances
     return spark.createDataFrame([(c, float(v)) for c, v in zip(names, values)], "feature string, importance double")
 
 
