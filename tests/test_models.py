@@ -357,3 +357,45 @@ def test_single_linkage_of_copies_and_of_cells(spark):
     want = kruskal(x, 9)
     got = clusters(cl.single_linkage_k(frame(spark, copies), 9, broadcast_bytes=0, block_rows=60))
     assert got == want | {200 + i: want[i] for i in range(60)}
+
+
+# ---- unit roots ------------------------------------------------------------------------------------
+
+
+def plain_unit_root(x, lags, skip=0):
+    change, first = np.diff(x), max(lags, skip)
+    rows = range(first, len(change))
+    a = np.array([[1.0, x[i], *[change[i - k] for k in range(1, lags + 1)]] for i in rows])
+    y = change[first:]
+    beta, *_ = np.linalg.lstsq(a, y, rcond=None)
+    sse = ((y - a @ beta) ** 2).sum()
+    t = beta[1] / np.sqrt(sse / (len(y) - a.shape[1]) * np.linalg.inv(a.T @ a)[1, 1])
+    return t, len(y) * np.log(sse / len(y)) + 2 * a.shape[1], len(y)
+
+
+def test_augmented_dickey_fuller(bars):
+    rng = np.random.default_rng(3)
+    walk = 100 + np.cumsum(rng.normal(size=300))
+    mean_back = np.zeros(300)
+    for i in range(1, 300):
+        mean_back[i] = 0.4 * mean_back[i - 1] + 0.3 * rng.normal() + (0.3 * (mean_back[i - 1] - mean_back[i - 2]) if i > 1 else 0)
+    df = bars({"W": walk, "M": mean_back + 50, "C": [5.0] * 40, "S": [1.0, 2.0], "L": np.arange(50.0)})
+    fixed = {r["symbol"]: r for r in ts.augmented_dickey_fuller(df, lags=3).collect()}
+    for name, x in (("W", walk), ("M", mean_back + 50)):
+        t, _, n = plain_unit_root(x, 3)
+        assert fixed[name]["t_stat"] == pytest.approx(t, rel=1e-8) and fixed[name]["rows"] == n
+    found = {r["symbol"]: r for r in ts.augmented_dickey_fuller(df).collect()}
+    for name, x in (("W", walk), ("M", mean_back + 50)):
+        most = int(np.ceil(12 * (len(x) / 100) ** 0.25))
+        lag = min(range(most + 1), key=lambda k: plain_unit_root(x, k, most)[1])
+        assert found[name]["lags"] == lag and found[name]["t_stat"] == pytest.approx(plain_unit_root(x, lag)[0], rel=1e-8)
+    assert found["M"]["stationary"] and not found["W"]["stationary"]
+    assert all(found[k]["t_stat"] is None and not found[k]["stationary"] for k in "CSL")
+
+
+def test_unit_root_p_values():
+    for t, p in ((-3.43, 0.01), (-2.86, 0.05), (-2.57, 0.10)):  # asymptotic critical values
+        assert ts.unit_root_p(t) == pytest.approx(p, rel=0.03)
+    assert ts.unit_root_p(-30.0) == 0 and ts.unit_root_p(5.0) == 1
+    border = ts.TAU_BORDER
+    assert ts.unit_root_p(border) == pytest.approx(ts.unit_root_p(border + 1e-9), abs=2e-3)

@@ -6,6 +6,8 @@ on groups of bounded size. Models are rows of a table, not files.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,6 +120,88 @@ def dickey_fuller(df: DataFrame, c: str = "close", critical: float = -2.86) -> D
     return g.select("symbol", t.alias("t_stat"), (t < critical).alias("stationary"))
 
 
+# MacKinnon's response surface of the unit-root p-value with a constant. Between the
+# least and the largest statistic the p-value is the normal distribution of a polynomial, one for
+# statistics up to the border and one above it.
+TAU_LEAST, TAU_BORDER, TAU_LARGEST = -18.83, -1.61, 2.74
+TAU_SMALL = [2.1659, 1.4412, 0.038269]
+TAU_LARGE = [1.7339, 0.93202, -0.12745, -0.010368]
+
+
+def unit_root_p(t: float) -> float:
+    """p-value of a unit-root statistic from a regression with a constant."""
+    if t != t:
+        return float("nan")
+    if t > TAU_LARGEST:
+        return 1.0
+    if t < TAU_LEAST:
+        return 0.0
+    z = sum(c * t**i for i, c in enumerate(TAU_SMALL if t <= TAU_BORDER else TAU_LARGE))
+    return 0.5 * math.erfc(-z / math.sqrt(2.0))
+
+
+def unit_root_fit(x, lags: int, skip: int = 0):
+    """(t statistic, AIC, rows) of the change on a constant, the previous level and ``lags`` earlier
+    changes, over all rows but the first ``skip`` usable ones; None if it cannot be fitted."""
+    import numpy as np
+
+    change = np.diff(x)
+    first = max(lags, skip)
+    y = change[first:]
+    columns = [np.ones(len(y)), x[first:-1], *[change[first - k : len(change) - k] for k in range(1, lags + 1)]]
+    a = np.column_stack(columns)
+    n, k = a.shape
+    if n <= k:
+        return None
+    # products of centred and scaled columns; levels may be far from zero
+    mean, scale = a[:, 1:].mean(0), a[:, 1:].std(0)
+    if not (scale > 0).all():
+        return None
+    z = (a[:, 1:] - mean) / scale
+    gram, moment = z.T @ z, z.T @ (y - y.mean())
+    if np.linalg.matrix_rank(gram) < len(gram):
+        return None
+    slopes = np.linalg.solve(gram, moment)
+    rest = y - y.mean() - z @ slopes
+    sse = float(rest @ rest)
+    if sse <= 1e-24 * max(1.0, float(y @ y)):
+        return None
+    t = slopes[0] / math.sqrt(sse / (n - k) * np.linalg.inv(gram)[0, 0])
+    return float(t), n * (math.log(2 * math.pi * sse / n) + 1) + 2 * k, n
+
+
+def augmented_dickey_fuller(df: DataFrame, c: str = "close", lags: int | None = None, level: float = 0.05) -> DataFrame:
+    """(symbol, t_stat, p_value, lags, rows, stationary): the unit-root test with lagged changes.
+
+    The number of lags is that of the least AIC among 0 to 12 (n / 100)^(1/4), compared over the
+    same rows, unless ``lags`` fixes it. Missing values are left out; a series that is constant, too
+    short or exactly fitted has NULL figures and counts as not stationary. A symbol has one value a
+    day, so a group is bounded.
+    """
+    import numpy as np
+    import pandas as pd
+
+    names = ["symbol", "t_stat", "p_value", "lags", "rows", "stationary"]
+
+    def test(group):
+        x = group.sort_values("date")[c].astype(float).to_numpy()
+        x = x[np.isfinite(x)]
+        best = lags
+        if lags is None:
+            most = max(0, min(len(x) // 2 - 2, math.ceil(12 * (len(x) / 100) ** 0.25)))
+            tried = [(f[1], k) for k in range(most + 1) if len(x) > 3 and (f := unit_root_fit(x, k, most))]
+            best = min(tried)[1] if tried else 0
+        found = unit_root_fit(x, best) if len(x) > best + 3 else None
+        t, n = (found[0], found[2]) if found else (float("nan"), 0)
+        p = unit_root_p(t)
+        return pd.DataFrame([(group["symbol"].iloc[0], t, p, best, n, bool(p < level))], columns=names)
+
+    kind = df.schema["symbol"].dataType.simpleString()
+    schema = f"symbol {kind}, t_stat double, p_value double, lags int, rows int, stationary boolean"
+    out = df.select("symbol", "date", F.col(c).cast("double").alias(c)).groupBy("symbol").applyInPandas(test, schema)
+    return out.withColumns({x: F.when(~F.isnan(x), F.col(x)) for x in ("t_stat", "p_value")})
+
+
 def stationary_halves(df: DataFrame, c: str = "close", share: float = 0.1) -> DataFrame:
     """Do mean and variance of the two halves agree within a share of the first half's?"""
     w = by_symbol()

@@ -135,6 +135,12 @@ def is_stationary_adf(spark, d):
     return ts.dickey_fuller(t.bars_nation(spark, d)).withColumn("t_stat", r6("t_stat"))
 
 
+@query("augmented_dickey_fuller")
+def augmented_dickey_fuller(spark, d):
+    """The unit-root test with lagged changes, their number by AIC; tests compare it with least squares."""
+    return ts.augmented_dickey_fuller(t.bars_nation(spark, d)).withColumns({c: r6(c) for c in ("t_stat", "p_value")})
+
+
 @query(
     "is_stationary_halves",
     f"""WITH {BARS_N}, h AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) <= floor(count(*) {WIN} / 2) AS f FROM bars),
