@@ -207,6 +207,47 @@ def test_first_quote_of_a_day_stays(spark, tmp_path):
     assert got == [(7, "2020-03-01", 11.0), (7, "2020-03-02", 12.0), (8, "2020-01-02", 50.0)]
 
 
+def quote_files(spark, folder, *batches):
+    """One file for each batch of (id, day of March 2020, hour, symbol, price), oldest first."""
+    import time
+
+    from tickwright.streaming import quotes as qs
+
+    for rows in batches:
+        data = [(i, dt.datetime(2020, 3, 1, h) + dt.timedelta(days=d - 1), u, "buy", p, None) for i, d, h, u, p in rows]
+        spark.createDataFrame(data, qs.EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(0.05)
+    return qs.read_quote_stream(spark, folder, files_per_batch=1)
+
+
+def test_late_quotes_are_kept_and_counted(spark, tmp_path):
+    from tickwright.streaming import quotes as qs
+
+    first = [(1, 10, 9, 7, 10.0), (2, 10, 12, 7, 12.0), (3, 10, 10, 8, 5.0)]
+    second = [(4, 8, 9, 7, 99.0), (5, 9, 13, 7, 11.0), (6, 10, 8, 7, 9.0), (7, 9, 12, 8, 4.0)]  # 4 is two days late, 7 just in time
+    stream = quote_files(spark, str(tmp_path / "in"), first, second)
+    log, late = str(tmp_path / "log"), str(tmp_path / "late")
+    qs.split_bars(stream, log, late, str(tmp_path / "checkpoint"))
+    bars = sorted((r["symbol"], str(r["date"]), r["open"], r["high"], r["low"], r["close"], r["ticks"]) for r in qs.bars_of(spark.read.parquet(log)).collect())
+    assert bars == [(7, "2020-03-09", 11.0, 11.0, 11.0, 11.0, 1), (7, "2020-03-10", 9.0, 12.0, 9.0, 12.0, 3), (8, "2020-03-09", 4.0, 4.0, 4.0, 4.0, 1), (8, "2020-03-10", 5.0, 5.0, 5.0, 5.0, 1)]
+    kept = spark.read.parquet(late)
+    assert [(r["quote_id"], r["price"]) for r in kept.collect()] == [(4, 99.0)]
+    assert [(r["symbol"], str(r["date"]), r["late_quotes"]) for r in qs.late_counts(kept).collect()] == [(7, "2020-03-08", 1)]
+
+
+def test_timers_raise_the_stale_flag(spark, tmp_path):
+    """Symbol 8 goes quiet; the quotes of 7 move event time beyond its time to live."""
+    from tickwright.streaming import quotes as qs
+
+    stream = quote_files(spark, str(tmp_path / "in"), [(1, 10, 9, 7, 1.0), (2, 10, 9, 8, 2.0)], [(3, 10, 11, 7, 3.0), (4, 10, 8, 7, 9.0)], [(5, 10, 14, 7, 4.0)])
+    flagged = qs.stale_events(stream, 3600, "1 minute")
+    qs.run_to_log(flagged, str(tmp_path / "log"), str(tmp_path / "checkpoint"))
+    rows = [(r["symbol"], r["quote_id"], r["stale"]) for r in spark.read.parquet(str(tmp_path / "log")).collect()]
+    assert (8, 2, False) in rows and (8, 2, True) in rows and rows.count((8, 2, True)) == 1
+    now = {r["symbol"]: (r["quote_id"], r["stale"]) for r in qs.current(spark, str(tmp_path / "log"), ["symbol"], flagged.schema).collect()}
+    assert now == {7: (5, False), 8: (2, True)}
+
+
 def test_arrivals_keep_their_partitions(spark, small, tmp_path):
     """Events of four files arrive as four files for each half, and give the same rows."""
     from pathlib import Path

@@ -78,3 +78,43 @@ def stream_fx_convert(spark, d):
     q = stream(spark, d).withColumn("currency", F.when(F.col("symbol") % 2 == 1, "INR").otherwise("USD"))
     out = drained(spark, qs.fx_convert(q, fx), ["quote_id"], "append")
     return out.select("quote_id", r6("price_inr").alias("price_inr"), r6("price_usd").alias("price_usd"), "rate")
+
+
+HALVES = f"""{QUOTES}, edge AS (SELECT max(ts) - INTERVAL 1 DAY AS horizon FROM quotes WHERE quote_id % 2 = 0),
+kept AS (SELECT * FROM quotes, edge WHERE quote_id % 2 = 0 OR ts >= horizon), late AS (SELECT * FROM quotes, edge WHERE quote_id % 2 = 1 AND ts < horizon)"""
+
+
+def split_halves(spark, d):
+    """All events in two batches, even ids first: (partial bars, late quotes)."""
+    folder, log, late, state = (scratch_path(spark, name) for name in ("arrivals", "log", "late", "stream"))
+    events = t.table(spark, d, "events")
+    for part in (0, 1):
+        events.where(F.col("event_id") % 2 == part).write.parquet(f"{folder}/{part}")
+        qs.split_bars(qs.read_quote_stream(spark, f"{folder}/*"), log, late, state)
+    return spark.read.parquet(log), spark.read.parquet(late)
+
+
+@query(
+    "stream_split_bars",
+    f"""WITH {HALVES} SELECT symbol, CAST(ts AS DATE) AS date, {q6('arg_min(price, row(ts, quote_id))', 'open')}, {q6('max(price)', 'high')}, {q6('min(price)', 'low')},
+ {q6('arg_max(price, row(ts, quote_id))', 'close')}, count(*) AS ticks FROM kept GROUP BY 1, 2""",
+)
+def stream_split_bars(spark, d):
+    out = qs.bars_of(split_halves(spark, d)[0])
+    return out.select("symbol", "date", *[r6(c).alias(c) for c in ("open", "high", "low", "close")], "ticks")
+
+
+@query("stream_late_quotes", f"WITH {HALVES} SELECT symbol, CAST(ts AS DATE) AS date, count(*) AS late_quotes FROM late GROUP BY 1, 2")
+def stream_late_quotes(spark, d):
+    """Quotes of the second batch that came more than a day late: kept, and counted by day."""
+    return qs.late_counts(split_halves(spark, d)[1])
+
+
+@query(
+    "stream_stale_events",
+    f"""WITH {QUOTES}, l AS (SELECT symbol, max(row(epoch_us(ts) // 1000, quote_id)) AS q FROM quotes GROUP BY symbol), n AS (SELECT epoch_us(max(ts)) // 1000 - 60000 AS now FROM quotes)
+SELECT symbol, q[1] AS ts, q[2] AS quote_id, q[1] + 3600000 < now AS stale FROM l, n""",
+)
+def stream_stale_events(spark, d):
+    """The newest quote of each symbol, with the flag that its timer raised."""
+    return drained(spark, qs.stale_events(stream(spark, d), 3600), ["symbol"]).select("symbol", "ts", "quote_id", "stale")
