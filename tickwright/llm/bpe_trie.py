@@ -27,7 +27,9 @@ import os
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,9 +41,8 @@ KEPT_PAIRS = 1_000_000
 # longer words share no trie nodes, their states live as long as the word
 TRIE_DEPTH = 64
 SLICE = 1 << 21
-NOTHING = (0, "", "")
-RUN = re.compile(r"[^ \t\n\r\x0b\x0c]+")
-GAP = re.compile(r"[ \t\n\r\x0b\x0c]")
+GAP = re.compile(rb"[ \t\n\r\x0b\x0c]")
+WHITE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 # fixed values: the vocabulary's word pattern, and the same for lower-case ASCII and Latin-1 letters
 PLAIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -177,6 +178,38 @@ class PrefixTrie:
             self.forget()
 
 
+def runs_of(texts: list[bytes]) -> tuple[pa.StringArray, np.ndarray]:
+    """(all runs between ASCII white space, runs of each text) of UTF-8 texts."""
+    raw = np.frombuffer(b" ".join(texts), np.uint8)
+    keep = ~WHITE[raw]
+    starts = keep.copy()
+    starts[1:] &= ~keep[:-1]
+    data, ends = raw[keep], np.cumsum([len(t) + 1 for t in texts])
+    offsets = np.append(np.flatnonzero(starts[keep]), len(data)).astype(np.int32)
+    runs = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(data))
+    return runs, np.diff(np.searchsorted(np.flatnonzero(starts), ends), prepend=0)
+
+
+def pieces_of(text: bytes) -> Iterator[bytes]:
+    """A text cut at white space into pieces of ``SLICE`` bytes and the rest of a run."""
+    at = 0
+    while at < len(text):
+        gap = GAP.search(text, min(at + SLICE, len(text)))
+        stop = gap.start() if gap else len(text)
+        yield text[at:stop]
+        at = stop
+
+
+class Coded:
+    """Tokens of texts, and their ids and decoded strings as slices of one buffer each."""
+
+    def __init__(self, tokens: np.ndarray, ids, decoded):
+        self.tokens, self.ids, self.decoded = tokens, ids, decoded
+
+    def of(self, i: int) -> tuple[int, memoryview, memoryview]:
+        return int(self.tokens[i]), *[data[bounds[i] : bounds[i + 1]] for data, bounds in (self.ids, self.decoded)]
+
+
 class WordCoder:
     """Ids and decoded strings of runs of text, each distinct run once while it is kept."""
 
@@ -195,13 +228,13 @@ class WordCoder:
         self.normalizer, self.pre_tokenizer = own.normalizer, own.pre_tokenizer
         self.trie = PrefixTrie(Merges(model["vocab"], model["merges"], model["end_of_word_suffix"]))
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
-        if any(GAP.search(t) for t in self.special) or any(t[k] for t in file["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        if any(GAP.search(t.encode()) for t in self.special) or any(t[k] for t in file["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
             raise ValueError("added tokens that depend on their surroundings")
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.names = {i: t for t, i in (model["vocab"] | self.special).items()}
         self.numbers = {i: str(i) for i in self.names}
         # (tokens, ids as text, decoded text) of words and of runs
-        self.coded: dict[str | int, tuple[int, str, str]] = {}
+        self.by_word: dict[str | int, tuple[int, str, str]] = {}
         self.known: dict[str, tuple[int, str, str]] = {}
 
     def words(self, run: str) -> list[str | int]:
@@ -226,11 +259,11 @@ class WordCoder:
 
     def entry(self, ids: list[int]) -> tuple[int, str, str]:
         names, numbers = self.names, self.numbers
-        return len(ids), " ".join([numbers[i] for i in ids]), " ".join([names[i] for i in ids])
+        return len(ids), " ".join([numbers[i] for i in ids]) + " ", " ".join([names[i] for i in ids]) + " "
 
     def learn(self, runs: set[str]) -> dict[str, tuple[int, str, str]]:
-        """(tokens, ids as text, decoded text) of new runs."""
-        coded = self.coded
+        """(tokens, ids as text, decoded text) of new runs; a space follows each token's."""
+        coded = self.by_word
         collecting = gc.isenabled()
         gc.disable()  # many small objects, no cycles
         try:
@@ -250,7 +283,7 @@ class WordCoder:
                     out[run] = coded[own[0]]
                 else:
                     parts = [coded[w] for w in own]
-                    out[run] = sum([x[0] for x in parts]), " ".join([x[1] for x in parts]), " ".join([x[2] for x in parts])
+                    out[run] = sum([x[0] for x in parts]), "".join([x[1] for x in parts]), "".join([x[2] for x in parts])
             return out
         finally:
             if collecting:
@@ -260,57 +293,54 @@ class WordCoder:
         """The tokens' strings, one space between them; unknown ids have none."""
         return " ".join([self.names[i] for i in ids if i in self.names])
 
-    def meet(self, runs: set[str]) -> None:
-        """Makes sure that these runs are known."""
-        if missing := runs.difference(self.known):
+    def meet(self, runs: list[str]) -> list[tuple[int, str, str]]:
+        """Entries of distinct runs, learned where they are new."""
+        missing = {run for run in runs if run not in self.known}
+        if missing:
             if len(self.known) + len(missing) > KEPT_RUNS:
                 self.known.clear()
-                missing = runs
+                missing = set(runs)
             self.known |= self.learn(missing)
-
-    def slices(self, text: str) -> Iterator[list[str]]:
-        """Runs of a text, a bounded slice of it at a time."""
-        at = 0
-        while at < len(text):
-            gap = GAP.search(text, min(at + SLICE, len(text)))
-            stop = gap.start() if gap else len(text)
-            yield RUN.findall(text, at, stop)
-            at = stop
-
-    def entries(self, texts: list[str | None]) -> Iterator[Iterator[list[tuple[int, str, str]]]]:
-        """For each text its encoded runs, by slices. New runs of all short texts are learned together."""
+        return [self.known[run] for run in runs]
+
+    def code(self, texts: list[bytes]) -> Coded:
+        """All texts, their distinct runs once."""
+        runs, counts = runs_of(texts)
+        coded = runs.dictionary_encode()
+        entries = self.meet(coded.dictionary.to_pylist())
+        n = np.array([x[0] for x in entries], np.int64)[coded.indices.to_numpy()]
+        reach = np.append(0, np.cumsum(counts))
+        tokens = np.diff(np.append(0, np.cumsum(n))[reach])
+        joined = [pa.array([x[k] for x in entries], pa.large_string()).take(coded.indices) for k in (1, 2)]
+        return Coded(tokens, *[(memoryview(x.buffers()[2] or b""), np.frombuffer(x.buffers()[1], np.int64)[reach]) for x in joined])
+
+    def parts(self, texts: list[str | None]) -> Iterator[Iterator[tuple[int, memoryview, memoryview]]]:
+        """For each text (tokens, ids as text, decoded text), the texts with one space at their end;
+        a long text gives several, cut at white space."""
         for part in by_bytes(texts, SLICE):
             # only the last text of a part can be a long one
-            short = [RUN.findall(t or "") if len(t or "") <= SLICE else None for t in texts[part]]
-            self.meet(set().union(*[runs for runs in short if runs]))
-            for text, runs in zip(texts[part], short):
-                yield self.of_slices(text) if runs is None else iter([self.of_runs(runs)])
-
-    def of_slices(self, text: str) -> Iterator[list[tuple[int, str, str]]]:
-        for runs in self.slices(text):
-            self.meet(set(runs))
-            yield self.of_runs(runs)
-
-    def of_runs(self, runs: list[str]) -> list[tuple[int, str, str]]:
-        """Entries of known runs, without those that have no tokens."""
-        found = list(map(self.known.__getitem__, runs))
-        return [x for x in found if x[0]] if NOTHING in found else found
+            own = [(t or "").encode() for t in texts[part]]
+            long = own.pop() if len(own[-1]) > SLICE else None
+            found = self.code(own)
+            for i in range(len(own)):
+                yield iter([found.of(i)])
+            if long is not None:
+                yield (self.code([piece]).of(0) for piece in pieces_of(long))
 
     def ids(self, texts: list[str | None]) -> Iterator[list[int]]:
-        for parts in self.entries(texts):
-            yield [int(i) for part in parts for own in part for i in own[1].split()]
+        for parts in self.parts(texts):
+            yield [int(i) for _, numbers, _ in parts for i in bytes(numbers).split()]
 
     def digests(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
         """(tokens, SHA-256 of the ids as text, SHA-256 of the decoded text)."""
-        for parts in self.entries(texts):
-            n, ids, decoded, between = 0, hashlib.sha256(), hashlib.sha256(), ""
-            for part in parts:
-                if part:
-                    counts, numbers, names = zip(*part)
-                    n += sum(counts)
-                    ids.update((between + " ".join(numbers)).encode())
-                    decoded.update((between + " ".join(names)).encode())
-                    between = " "
+        for parts in self.parts(texts):
+            n, ids, decoded = 0, hashlib.sha256(), hashlib.sha256()
+            for tokens, numbers, names in parts:
+                if tokens:
+                    if n:
+                        ids.update(b" "), decoded.update(b" ")
+                    n += tokens
+                    ids.update(numbers[:-1]), decoded.update(names[:-1])
             yield n, ids.hexdigest(), decoded.hexdigest()
 
 
