@@ -43,6 +43,48 @@ def test_profiles_against_plain_sums():
         assert b == cosine.argmax() and s == pytest.approx(max(0, cosine.max()), abs=1e-5)
 
 
+def test_many_distinct_letters_take_slices(monkeypatch):
+    rng = np.random.default_rng(1)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9000, n))) for n in (4000, 30)] + ["plain words", ""]
+    prototypes = rng.normal(size=(3, 256))
+    prototypes /= np.linalg.norm(prototypes, axis=1, keepdims=True)
+    whole = li.predict(texts, prototypes)
+    monkeypatch.setattr(li, "SLICE_GRAMS", 100)
+    monkeypatch.setattr(li, "KEPT_LETTERS", 50)
+    li._letters.clear()
+    sliced = li.predict(texts, prototypes)
+    assert (whole[0] == sliced[0]).all() and np.allclose(whole[1], sliced[1], atol=1e-5)
+
+
+def test_memory_of_a_long_diverse_text():
+    """400 000 mixed letters, measured in a process of its own."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, numpy as np
+from tickwright.llm import language_id as li
+text = "".join(map(chr, np.random.default_rng(0).integers(0x4E00, 0x9FFF, 400_000)))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+li.predict([text], np.ones((4, li.DIM)))
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+    import tickwright
+
+    root = str(__import__("pathlib").Path(tickwright.__file__).parents[1])
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True, timeout=300)
+    assert int(out.stdout) < 300_000  # KB; vectors of all grams at once would take 2 GB
+
+
+def test_prototypes_are_the_sums_of_their_grams(spark):
+    texts = [("de", "Straße und Weg"), ("de", "und so"), ("en", "the way and the road"), ("en", None)]
+    langs, got = li.learn_prototypes(spark.createDataFrame(texts, "lang string, text string"), 128)
+    assert langs == ["de", "en"]
+    for lang, row in zip(langs, got):
+        want = sum(li.gram_vectors(np.array([g]), 128)[0].astype(float) for own, t in texts if own == lang for g in li.grams(t))
+        assert row == pytest.approx(want / np.linalg.norm(want))
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = li.identify(docs, li.learn(docs)).where(li.held_out(F.col("doc_id")))

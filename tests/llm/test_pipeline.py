@@ -1,6 +1,8 @@
 """The pipeline's stages against plain Python, each on its own input."""
 
 import pytest
+from pyspark.sql import functions as F
+
 from tickwright.llm.text import stored
 
 import corpus_pipeline as pipeline
@@ -68,6 +70,29 @@ def test_run_gives_the_same_pieces(spark, small, steps):
     assert sorted(pipeline.run(spark, small).select(*pick).distinct().collect()) == sorted(steps[5].select(*pick).distinct().collect())
 
 
+@pytest.fixture(scope="module")
+def odd(spark, odd_docs):
+    """Columns named like those that the operators add, nulls, repeated rows, unlearned languages."""
+    rows = odd_docs.drop("score").withColumns({"score": F.lit("own score"), "items": F.col("source"), "n_lines": F.lit("many"), "row": F.col("doc_id"), "contaminated": F.lit(7), "lang_pred": F.lit("xx")})
+    more = spark.createDataFrame([(40, "漢字かな交じり文 " * 5, None, "s", 1), (41, "Кириллица здесь", None, "s", 1)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    return rows.unionByName(more, allowMissingColumns=True)
+
+
+def test_stages_leave_other_columns_alone(spark, small, odd):
+    docs = odd
+    for name, stage in pipeline.STAGES[:-1]:
+        before = {}
+        for r in docs.collect():
+            before.setdefault(r["doc_id"], []).append({c: r[c] for c in odd.columns if c not in ("text", "n_chars")})
+        docs = stored(stage(spark, docs, small), name)
+        assert docs.columns == odd.columns and dict(docs.dtypes) == dict(odd.dtypes)
+        for r in docs.collect():
+            assert {c: r[c] for c in odd.columns if c not in ("text", "n_chars")} in before[r["doc_id"]]
+    kept = [r["doc_id"] for r in docs.collect()]
+    assert len(kept) == len(set(kept)) and 3 not in kept and 6 not in kept
+    assert pipeline.STAGES[-1][1](spark, docs, small).count() >= len(kept)
+
+
 def test_empty_table(spark, small, steps):
     docs = steps[0].limit(0)
     for name, stage in pipeline.STAGES:

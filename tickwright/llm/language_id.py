@@ -25,6 +25,9 @@ SEED = 7
 UNKNOWN = "und"
 FLUSH_GRAMS = 500_000
 BATCH_CHARS = 1 << 20
+# vectors held at once, whatever the number of distinct n-grams in a batch
+SLICE_GRAMS = 8192
+KEPT_LETTERS = 1 << 14
 BITS = 21  # of a code point
 
 _letters: dict[int, np.ndarray] = {}
@@ -38,6 +41,8 @@ def held_out(doc_id: Column, folds: int = 5, fold: int = 0) -> Column:
 def letter(code: int, dim: int) -> np.ndarray:
     key = code * 65_536 + dim
     if key not in _letters:
+        if len(_letters) >= KEPT_LETTERS:
+            _letters.clear()
         _letters[key] = (np.random.default_rng([SEED, code]).integers(0, 2, dim, dtype=np.int8) * 2 - 1).astype(np.int8)
     return _letters[key]
 
@@ -153,13 +158,15 @@ def predict(texts: list[str | None], prototypes: np.ndarray) -> tuple[np.ndarray
     if not rows or not len(prototypes):
         return best, score
     distinct, place = np.unique(np.concatenate([counted[i][0] for i in rows]), return_inverse=True)
-    vectors = gram_vectors(distinct, prototypes.shape[1]).astype(np.float32)
-    profiles = np.empty((len(rows), prototypes.shape[1]), np.float32)
-    at = 0
-    for k, i in enumerate(rows):
-        n = counted[i][1]
-        profiles[k] = n.astype(np.float32) @ vectors[place[at : at + len(n)]]
-        at += len(n)
+    profiles = np.zeros((len(rows), prototypes.shape[1]), np.float32)
+    counts = [counted[i][1].astype(np.float32) for i in rows]
+    places = np.split(place, np.cumsum([len(n) for n in counts])[:-1])
+    for begin in range(0, len(distinct), SLICE_GRAMS):
+        vectors = gram_vectors(distinct[begin : begin + SLICE_GRAMS], prototypes.shape[1]).astype(np.float32)
+        for k, (n, own) in enumerate(zip(counts, places)):
+            a, b = np.searchsorted(own, [begin, begin + SLICE_GRAMS])
+            if a < b:
+                profiles[k] += n[a:b] @ vectors[own[a:b] - begin]
     length = np.maximum(np.linalg.norm(profiles, axis=1, keepdims=True), 1e-12)
     cosine = (profiles / length) @ prototypes.T.astype(np.float32)
     best[rows] = cosine.argmax(1)
