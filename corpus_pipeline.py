@@ -6,7 +6,7 @@ reads it. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickwright.llm.decontaminate import mark_contaminated
@@ -20,17 +20,27 @@ from tickwright.llm.text import stored
 LEAST_COSINE = 0.03
 
 
+def narrowed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, row): all other columns in a struct, so that no operator's column can clash."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]).alias("row"))
+
+
+def widened(found: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns of ``documents`` again, some with new values."""
+    own = {c: F.col(c) if c in ("doc_id", "text") else F.col("row").getField(c) for c in columns}
+    return found.select(*[(own | new)[c].alias(c) for c in columns])
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; letterless and null texts go."""
-    found = identify(docs, learn(docs))
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_COSINE)).select(*docs.columns)
+    found = identify(narrowed(docs), learn(docs))
+    return widened(found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_COSINE)), docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without the lines that an earlier one holds."""
     kept = F.when(F.col("text").isNotNull(), F.col("kept_text"))
-    out = dedup_lines(docs).withColumn("text", kept).withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.select(*docs.columns)
+    return widened(dedup_lines(narrowed(docs)), docs.columns, text=kept, n_chars=F.char_length(kept).cast("long"))
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +50,8 @@ def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no benchmark item contaminates."""
-    marked = mark_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return marked.where(~F.col("contaminated")).select(*docs.columns)
+    marked = mark_contaminated(narrowed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return widened(marked.where(~F.col("contaminated")), docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
