@@ -71,8 +71,21 @@ def test_table_round_trip(odd_docs, no_docs):
     assert m.decode_media(m.encode_media(no_docs)).count() == 0
 
 
+def test_packing_loses_nothing():
+    rng = np.random.default_rng(0)
+    cases = [rng.integers(-32768, 32768, n) for n in (0, 1, 2, 7, 600)] + [rng.choice([-32768, 0, 5, 32767], 900), np.zeros(512), np.arange(256).repeat(9), np.arange(257).repeat(9)]
+    for x in cases:
+        x = x.astype("<i2")
+        for pcm in (x, m.resample(x, 8000, 16000)):
+            assert m.unpack_pcm(m.pack_pcm(pcm)).tolist() == pcm.tolist()
+    doubled = m.resample(rng.choice([-5, 9, 300], 4000).astype("<i2"), 8000, 16000)
+    assert len(m.pack_pcm(doubled)) < 4100
+    doubled[7] += 1
+    assert m.unpack_pcm(m.pack_pcm(doubled)).tolist() == doubled.tolist()
+
+
 def test_pcm_is_kept_on_request(odd_docs):
-    rows = m.decode_media(m.encode_media(odd_docs)).collect()
+    rows = m.read_pcm(m.decode_media(m.encode_media(odd_docs))).collect()
     for r in rows:
         n = int(r["feature"].split("n=")[1].split()[0])
         assert len(r["pcm"]) == 4 * n and f"{zlib.crc32(r['pcm']):08x}" == r["feature"][-8:]
@@ -88,6 +101,6 @@ def test_query_stores_pcm(spark, small):
     out = {r["doc_id"]: r["feature"] for r in QUERIES["op7_telephony"](spark, small).collect()}
     new = set(Path(run_folder(spark).removeprefix("file://")).glob("pcm-*")) - before
     assert len(new) == 1
-    rows = spark.read.parquet(str(new.pop())).collect()
+    rows = m.read_pcm(spark.read.parquet(str(new.pop()))).collect()
     assert {r["id"] for r in rows} == set(out)
     assert all(out[r["id"]].endswith(f"pcm={zlib.crc32(r['pcm']):08x}") for r in rows)

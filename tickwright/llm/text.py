@@ -43,8 +43,9 @@ def same_document(left: DataFrame, right: DataFrame) -> Column:
     return left["id"].eqNullSafe(right["id"]) & (left["mark"] == right["mark"])
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, level: int = 3, page_bytes: int = 1 << 20) -> DataFrame:
     """Like ``materialize``, with the dense compression that tables of whole texts need."""
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    options = {"compression": "zstd", "parquet.compression.codec.zstd.level": str(level), "parquet.page.size": str(page_bytes)}
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
