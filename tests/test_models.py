@@ -155,7 +155,7 @@ def test_svr_learns_a_line(spark, kernel):
     rng = np.random.default_rng(5)
     x = rng.uniform(-2, 2, 500)
     df = spark.createDataFrame([(float(v), float(2 * v)) for v in x], "x double, label double")
-    model = rg.fit_svr(df, ["x"], epochs=60, kernel=kernel)
+    model = rg.fit_svr(df, ["x"], kernel=kernel)
     r2 = rg.linear_metrics(model.predict(df)).first()["r2"]
     assert r2 > 0.8
 
@@ -178,8 +178,8 @@ def test_gram_far_from_zero(spark):
 
 def test_svr_cost_scales_the_loss(spark):
     df = spark.createDataFrame([(float(i), float(i)) for i in range(50)], "x double, label double")
-    weak = rg.fit_svr(df, ["x"], c=0.001, epochs=10, kernel="linear")
-    strong = rg.fit_svr(df, ["x"], c=10.0, epochs=10, kernel="linear")
+    weak = rg.fit_svr(df, ["x"], c=0.001, kernel="linear")
+    strong = rg.fit_svr(df, ["x"], c=10.0, kernel="linear")
     assert abs(weak.w[0]) < abs(strong.w[0])
 
 
@@ -399,3 +399,51 @@ def test_unit_root_p_values():
     assert ts.unit_root_p(-30.0) == 0 and ts.unit_root_p(5.0) == 1
     border = ts.TAU_BORDER
     assert ts.unit_root_p(border) == pytest.approx(ts.unit_root_p(border + 1e-9), abs=2e-3)
+
+
+# ---- support vectors -------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("kernel, c", [("rbf", 1.0), ("rbf", 20.0), ("linear", 1.0)])
+def test_svr_is_within_a_percent_of_the_exact_dual(spark, kernel, c):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(500, 3)) * [1, 10, 0.1] + [5, 0, 0]
+    y = np.sin(x[:, 0]) * 2 + 0.05 * x[:, 1] + rng.normal(size=500) * 0.2
+    y[::50] += 8
+    df = spark.createDataFrame([(*map(float, r), float(t)) for r, t in zip(x, y)], "a double, b double, c double, label double")
+    model = rg.fit_svr(df, ["a", "b", "c"], c=c, kernel=kernel, components=500)
+    z = (x - x.mean(0)) / x.std(0)
+    k = z @ z.T if kernel == "linear" else np.exp(-((z[:, None] - z[None]) ** 2).sum(2) / 3)
+    p = np.array([r["p"] for r in model.predict(df, "p").collect()])
+    rows = df.collect()
+    order = np.array([[r["a"], r["b"], r["c"]] for r in rows])
+    assert (order == x).all()
+    # the exact problem by projected dual ascent on pairs, from a start of zero
+    a, grad = np.zeros(500), y.copy()
+    for _ in range(200_000):
+        up, down = grad - 0.1 * np.where(a >= 0, 1, -1), grad + 0.1 * np.where(a > 0, -1, 1)
+        i = np.where(a < c, up, -np.inf).argmax()
+        j = np.where(a > -c, down, np.inf).argmin()
+        if up[i] - down[j] < 1e-4:
+            break
+        curve = max(k[i, i] + k[j, j] - 2 * k[i, j], 1e-9)
+        t = (up[i] - down[j]) / curve
+        t = min(t, c - a[i], c + a[j], -a[i] if a[i] < 0 else np.inf, a[j] if a[j] > 0 else np.inf)
+        a[i] += t
+        a[j] -= t
+        grad -= t * (k[:, i] - k[:, j])
+    dual = -0.5 * a @ k @ a + a @ y - 0.1 * np.abs(a).sum()
+    w2 = model.w @ model.w if kernel == "linear" else model.w @ np.exp(-((model.landmarks[:, None] - model.landmarks[None]) ** 2).sum(2) / 3) @ model.w
+    primal = 0.5 * w2 + c * np.maximum(np.abs(p - y) - 0.1, 0).sum()
+    assert dual * 0.999 <= primal <= dual * 1.012 and model.gap <= 0.01 and model.passes < 60, (model.gap, model.passes)
+
+
+def test_svr_without_rows_and_with_few_landmarks(spark):
+    none = spark.createDataFrame([], "x double, label double")
+    assert rg.fit_svr(none, ["x"]).predict(none).count() == 0
+    same = spark.createDataFrame([(1.0, 4.0)] * 5, "x double, label double")
+    assert rg.fit_svr(same, ["x"]).predict(same).first()["prediction"] == pytest.approx(4.0, abs=0.11)
+    z = np.random.default_rng(0).normal(size=(60, 2))
+    rows, factor = rg.choose_landmarks(z, 0.5, 60)
+    kernel = np.exp(-0.5 * rg.squared_distances(z[rows], z[rows]))
+    assert np.allclose(factor @ factor.T, kernel, atol=1e-8) and len(set(rows)) == len(rows)

@@ -207,27 +207,33 @@ def _moments(df: DataFrame, cols):
 
 @dataclass
 class SvrModel:
-    """Weights over scaled columns, or over random cosine features when ``omega`` is set."""
+    """Weights over scaled columns, or over the kernel's values at ``landmarks`` (scaled) if there are any.
+
+    ``gap`` is the duality gap as a share of the objective, ``passes`` the passes over the rows.
+    """
 
     cols: list[str]
     mean: object
     std: object
     w: object
     b: float
-    omega: object = None
-    phase: object = None
+    landmarks: object = None
+    gamma: float = 0.0
+    gap: float = 1.0
+    passes: int = 0
 
-    def design(self, x):
+    def inputs(self, x):
+        """The columns that the weights belong to."""
         import numpy as np
 
         z = (x - self.mean) / self.std
-        if self.omega is None:
+        if self.landmarks is None:
             return z
-        return np.sqrt(2.0 / len(self.phase)) * np.cos(z @ self.omega + self.phase)
+        return np.exp(-self.gamma * squared_distances(z, self.landmarks))
 
     def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
         """Linear models stay a column expression; the kernel form scores Arrow batches."""
-        if self.omega is None:
+        if self.landmarks is None:
             scaled = [c / s for c, s in zip(self.w, self.std)]
             shift = self.b - sum(c * m for c, m in zip(scaled, self.mean))
             return df.withColumn(out, linear_expr(self.cols, shift, scaled))
@@ -237,66 +243,142 @@ class SvrModel:
         def score(row):
             import pandas as pd
 
-            return pd.Series(model.design(row.to_numpy(float)) @ model.w + model.b)
+            return pd.Series(model.inputs(row.to_numpy(float)) @ model.w + model.b)
 
         return df.withColumn(out, score(F.struct(*[F.col(c).cast("double") for c in self.cols])))
 
 
+def squared_distances(a, b):
+    import numpy as np
+
+    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2.0 * (a @ b.T), 0.0)
+
+
+def choose_landmarks(z, gamma: float, most: int, rest: float = 1e-7):
+    """(rows, triangular factor) of a pivoted Cholesky factor of the kernel matrix of ``z``.
+
+    The next landmark is always the row that the earlier ones explain worst; it ends when none is
+    left above ``rest``, and the factor then is the whole kernel.
+    """
+    import numpy as np
+
+    left, factor, rows = np.ones(len(z)), np.zeros((len(z), min(most, len(z)))), []
+    for j in range(factor.shape[1]):
+        i = int(left.argmax())
+        if left[i] < rest:
+            break
+        kernel = np.exp(-gamma * squared_distances(z, z[i : i + 1])[:, 0])
+        factor[:, j] = (kernel - factor[:, :j] @ factor[i, :j]) / np.sqrt(left[i])
+        left = np.maximum(left - factor[:, j] ** 2, 0.0)
+        rows.append(i)
+    return rows, factor[rows, : len(rows)]
+
+
+def svr_sums(rows: DataFrame, model: SvrModel, back, state, epsilon: float, width: float):
+    """One pass: (Hessian, gradient, [loss, smooth loss, sum of g y, sum of |g|]) over all rows.
+
+    The two hinges beyond ``epsilon`` are soft ones, width log(1 + exp(over / width)); g is the
+    derivative. Tasks send one row for each row of the Hessian, which are added where they meet.
+    """
+    import numpy as np
+
+    sent = rows.sparkSession.sparkContext.broadcast((model, back, state))
+    size = len(state)
+
+    def partial(batches):
+        import pyarrow as pa
+
+        m, to_features, now = sent.value
+        hessian, gradient, sums = np.zeros((size, size)), np.zeros(size), np.zeros(4)
+        for batch in batches:
+            data = np.column_stack([col.to_numpy(zero_copy_only=False) for col in batch.columns])
+            phi = m.inputs(data[:, :-1])
+            phi = np.column_stack([phi if to_features is None else phi @ to_features, np.ones(len(data))])
+            e = phi @ now - data[:, -1]
+            above, below = (e - epsilon) / width, (-e - epsilon) / width
+            up, down = (1.0 / (1.0 + np.exp(-np.clip(u, -500.0, 500.0))) for u in (above, below))
+            g = up - down
+            hessian += phi.T @ (phi * ((up * (1.0 - up) + down * (1.0 - down)) / width)[:, None])
+            gradient += g @ phi
+            soft = width * (np.logaddexp(0.0, above) + np.logaddexp(0.0, below))
+            sums += [np.maximum(np.abs(e) - epsilon, 0.0).sum(), soft.sum(), g @ data[:, -1], np.abs(g).sum()]
+        values = [*hessian, gradient, sums]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(values)), pa.int32()), pa.array([v.tolist() for v in values])], ["i", "v"])
+
+    def add(batches):
+        import pyarrow as pa
+
+        total: dict = {}
+        for batch in batches:
+            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                total[i] = total.get(i, 0.0) + np.array(v)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], ["i", "v"])
+
+    schema = "i int, v array<double>"
+    found = {r["i"]: np.array(r["v"]) for r in rows.mapInArrow(partial, schema).repartition("i").mapInArrow(add, schema).collect()}
+    sent.unpersist()
+    return np.stack([found[i] for i in range(size)]), found[size], found[size + 1]
+
+
 def fit_svr(
-    df: DataFrame, cols: list[str], label: str = "label", c: float = 1.0, epsilon: float = 0.1, epochs: int = 25,
-    lr: float = 0.5, kernel: str = "rbf", components: int = 256, seed: int = 42,
+    df: DataFrame, cols: list[str], label: str = "label", c: float = 1.0, epsilon: float = 0.1, kernel: str = "rbf",
+    components: int = 256, gamma: float | None = None, tol: float = 0.01, max_passes: int = 100, sample_rows: int = 4096,
 ) -> SvrModel:
-    """Epsilon-insensitive regression by full-batch subgradient steps.
-
-    Each step is one pass that returns a vector of the model's size. The kernel is ``rbf``
-    (columns mapped to random cosine features) or ``linear``, whatever the number of rows. The
-    input is read once per step, so pass a stored frame.
+    """Epsilon-insensitive regression by Newton steps on a loss that is smoothed less and less.
+
+    It ends when the duality gap is below ``tol`` of the objective. Each step is one pass whose
+    sums have the model's size; a step that does not lower the objective is halved. The ``rbf``
+    kernel is spanned by at most ``components`` landmarks, chosen among ``sample_rows`` rows by a
+    pivoted Cholesky factor (all rows, and so the exact kernel, if there are few); every row is a
+    training row. ``gamma`` is one over the number of columns unless given. Without rows the model
+    is constant 0. The input is read once per pass, so pass a stored frame.
     """
     import numpy as np
 
     mean, std = _moments(df, cols)
-    n = df.count()
+    rows = df.select(*[F.col(x).cast("double") for x in [*cols, label]])
+    spread = rows.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(F.col(label)).alias("s")).first()
+    if not spread["n"]:
+        return SvrModel(list(cols), np.zeros(len(cols)), np.ones(len(cols)), np.zeros(len(cols)), 0.0, gap=0.0)
     model = SvrModel(list(cols), np.array(mean), np.array(std), None, 0.0)
-    width = len(cols)
+    back, size = None, len(cols)
     if kernel == "rbf":
-        rng = np.random.default_rng(seed)
-        gamma = 1.0 / len(cols)
-        model.omega = rng.normal(0.0, np.sqrt(2.0 * gamma), (len(cols), components))
-        model.phase = rng.uniform(0.0, 2.0 * np.pi, components)
-        width = components
-    model.w = np.zeros(width)
-    model.b = float(next((r["_m"] for r in exact_medians(df, [label]).collect()), 0.0))
-    sc = df.sparkSession.sparkContext
-    rows = df.select(*[F.col(x).cast("double") for x in [*cols, label]])
-    total = np.zeros(width + 1)
-    for step in range(epochs):
-        state = sc.broadcast(model)
-
-        def partial(batches):
-            import pyarrow as pa
-
-            acc = np.zeros(width + 1)
-            for batch in batches:
-                data = np.column_stack([col.to_numpy(zero_copy_only=False) for col in batch.columns])
-                z = state.value.design(data[:, :-1])
-                e = z @ state.value.w + state.value.b - data[:, -1]
-                g = np.where(e > epsilon, 1.0, np.where(e < -epsilon, -1.0, 0.0))
-                acc += np.r_[g @ z, g.sum()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(width + 1, dtype="int32")), pa.array(acc)], names=["pos", "v"])
-
-        grad = np.zeros(width + 1)
-        for r in rows.mapInArrow(partial, "pos int, v double").groupBy("pos").agg(F.sum("v").alias("v")).collect():
-            grad[r["pos"]] = r["v"]
-        grad = grad * (c / n)
-        grad[:-1] += model.w / n
-        # Cosine features have unit length, so their weights need longer steps.
-        rate = lr * (4.0 if model.omega is not None else 1.0) / np.sqrt(step + 1.0)
-        model = SvrModel(model.cols, model.mean, model.std, model.w - rate * grad[:-1], model.b - rate * grad[-1], model.omega, model.phase)
-        if step >= epochs // 2:  # the average of the later half converges faster than any iterate
-            total += np.r_[model.w, model.b]
-        state.unpersist()
-    kept = epochs - epochs // 2
-    model.w, model.b = total[:-1] / kept, float(total[-1] / kept)
+        order = F.xxhash64(*rows.columns)
+        picked = rows.orderBy(order, *rows.columns).limit(sample_rows).toPandas()[list(cols)].to_numpy(float)  # a bounded sample
+        model.gamma = gamma or 1.0 / len(cols)
+        z = (picked - model.mean) / model.std
+        chosen, factor = choose_landmarks(z, model.gamma, components)
+        model.landmarks, back, size = z[chosen], np.linalg.inv(factor).T, len(chosen)
+    state = np.zeros(size + 1)
+    state[-1] = float(next((r["_m"] for r in exact_medians(df, [label]).collect()), 0.0))
+    width = max(0.5 * (spread["s"] or 0.0), 1e-9)
+    keep = np.append(np.ones(size), 0.0)  # the intercept is free
+
+    def measured(at):
+        model.passes += 1
+        hessian, gradient, (loss, smooth, gy, g1) = svr_sums(rows, model, back, at, epsilon, width)
+        half = 0.5 * float(at[:-1] @ at[:-1])
+        dual = -0.5 * c * c * float(gradient[:-1] @ gradient[:-1]) - c * (gy - at[-1] * gradient[-1]) - c * epsilon * g1
+        primal = half + c * loss
+        return half + c * smooth, keep * at + c * gradient, np.diag(keep) + c * hessian, (primal - dual) / max(abs(primal), 1e-12)
+
+    value, slope, curve, gap = measured(state)
+    while gap > tol and model.passes < max_passes:
+        step = -np.linalg.lstsq(curve + 1e-10 * np.eye(len(state)), slope, rcond=None)[0]
+        fall = -float(slope @ step)
+        if fall <= 1e-3 * tol * max(value, 1e-12):  # as good as this smoothing allows
+            width /= 3.0
+            value, slope, curve, gap = measured(state)
+            continue
+        share = 1.0
+        while model.passes < max_passes:
+            found = measured(state + share * step)
+            if found[0] <= value - 1e-4 * share * fall:
+                break
+            share /= 2.0
+        state = state + share * step
+        value, slope, curve, gap = found
+    model.w, model.b, model.gap = state[:-1] if back is None else back @ state[:-1], float(state[-1]), float(gap)
     return model
 
 
