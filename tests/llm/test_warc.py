@@ -76,3 +76,13 @@ def test_damage_is_noticed():
     assert m.parse(good)["payload"] == b"payload"
     with pytest.raises(ValueError):
         m.parse(good.replace(b"\r\n\r\npayload", b"\r\n\r\npayloaf"))
+
+
+def test_dictionary_counts_whole_pages(spark):
+    """A banner behind 40 000 characters of every page is in the dictionary, a unique tag is not."""
+    banner = "<div class='the same banner on every page of this site'>"
+    rows = [(i, f"u{i}", "".join(f"<p id='{i}-{k}'>" for k in range(4000)) + banner + f"<b>{i}</b>" * 3) for i in range(40)]
+    typed = m.record_type(spark.createDataFrame(rows, "page_id bigint, url string, html string"), "page_id", "url", "html", 1000)
+    found = m.dictionary_of(typed)
+    assert banner.encode() in found and b"<p id='3-77'>" not in found and len(found) <= m.DICTIONARY_BYTES
+    assert m.dictionary_of(typed.limit(0)).startswith(b"WARC/1.1")

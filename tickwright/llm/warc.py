@@ -15,15 +15,16 @@ import re
 import struct
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickwright.session import materialize, scratch_path
 
 SKIPPABLE = 0x184D2A5D
 DICTIONARY_BYTES = 64 << 10
-SAMPLE_RECORDS = 400
-SAMPLE_CHARS = 32_768
+SHORTEST = 8  # bytes of a segment worth a place in the dictionary
+MATERIAL_BYTES = 1 << 19
+RECORDS_MADE = 256
 ARCHIVE_BYTES = 64 << 20
 READ_BYTES = 1 << 20
 DATE = "2000-01-01T00:00:00Z"
@@ -82,16 +83,45 @@ def parse(raw: bytes) -> dict:
     return {"fields": fields, "payload": payload, "n_bytes": size, "digest": digest}
 
 
-def train(samples: list[bytes]) -> bytes:
-    """A Zstandard dictionary; with too few samples for training, their own bytes."""
+def segments(html: Column) -> Column:
+    """A page cut behind every tag and line."""
+    return F.explode(F.split(html, "(?<=>)|(?<=\n)"))
+
+
+def dictionary_of(rows: DataFrame) -> bytes:
+    """A Zstandard dictionary of the segments that save most, counted over all responses.
+
+    A segment saves its bytes each time it occurs again; equal savings are in order of their hash.
+    Hashes and counts of the best and then at most ``MATERIAL_BYTES`` of segments reach the driver.
+    The library trains on made-up records that hold a segment the oftener the more it occurs; where
+    there is too little to train on, the segments themselves are the dictionary.
+    """
     import zstandard
 
-    if not samples:
-        return b""
+    pages = rows.where(F.col("target").isNull() & (F.col("n_bytes") > 0)).select(segments(F.col("html")).alias("s"))
+    pages = pages.select("s", F.xxhash64("s").alias("h"), F.octet_length("s").alias("n_bytes")).where(F.col("n_bytes").between(SHORTEST, DICTIONARY_BYTES // 4))
+    counted = pages.groupBy("h", "n_bytes").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("saved", (F.col("n") - 1) * F.col("n_bytes"))
+    room, chosen = MATERIAL_BYTES, []
+    for r in counted.orderBy(F.desc("saved"), "h", "n_bytes").limit(MATERIAL_BYTES // SHORTEST).select("h", "n_bytes", "n").collect():
+        if r["n_bytes"] > room:
+            break
+        room -= r["n_bytes"]
+        chosen.append((len(chosen), r["h"], r["n_bytes"], r["n"]))
+    head = record(None, "", b"", hashlib.sha1(b"").hexdigest(), None, "")
+    if not chosen:
+        return head
+    wanted = F.broadcast(rows.sparkSession.createDataFrame(chosen, "rank int, h bigint, n_bytes int, n bigint"))
+    found = pages.join(wanted, ["h", "n_bytes"]).groupBy("rank").agg(F.min("s").alias("s"), F.min("n").alias("n")).orderBy("rank").collect()
+    parts: list[list[bytes]] = [[head] for _ in range(RECORDS_MADE)]
+    most = max(r["n"] for r in found)
+    for r in found:
+        times = max(1, round(RECORDS_MADE * r["n"] / most))
+        for k in range(times):
+            parts[(r["rank"] + k * RECORDS_MADE // times) % RECORDS_MADE].append(r["s"].encode())
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, [b"".join(p) for p in parts]).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(samples)[:DICTIONARY_BYTES]
+        return b"".join([head, *[r["s"].encode() for r in found]])[:DICTIONARY_BYTES]
 
 
 def compressor(dictionary: bytes):
@@ -110,15 +140,9 @@ def open_shared(path: str):
 def write_archives(rows: DataFrame, folder: str) -> DataFrame:
     """Writes the typed rows of ``record_type``; returns the manifest (path, records, bytes).
 
-    The dictionary is built from at most ``SAMPLE_RECORDS`` responses, the ones with the smallest
-    digests, and at most ``SAMPLE_CHARS`` of each; the records themselves are written whole.
+    Every archive begins with the same dictionary, see ``dictionary_of``.
     """
-    large = rows.where(F.col("target").isNull() & (F.col("n_bytes") > 0))
-    # the digests first, so that payloads only move for the records that are taken
-    digests = F.broadcast(materialize(large.select("digest").distinct().orderBy("digest").limit(SAMPLE_RECORDS), "sampled-digests"))
-    sample = large.join(digests, "digest", "left_semi").select("id", "url", F.substring("html", 1, SAMPLE_CHARS).alias("html"), "digest")
-    sample = sample.dropDuplicates(["digest"]).orderBy("digest").collect()
-    dictionary = train([record(r["id"], r["url"], r["html"].encode(), r["digest"], None, "") for r in sample])
+    dictionary = dictionary_of(rows)
 
     def write(batches):
         import pyarrow as pa
