@@ -338,3 +338,14 @@ def test_used_rows_count_for_the_shares_only():
     guess, long = np.zeros(4, int), np.zeros(4, bool)
     tx.calibrate(model, guess, np.array([0, 0, 1, 1]), long, np.array([True, False, False, False]), np.array([-900, 100, 100, 300]), np.array([90, 10, 4, 4]))
     assert model.threshold == pytest.approx([2.0, 2.0])
+
+
+def test_training_words_have_a_bound(spark, monkeypatch):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    seen = []
+    fit = tx.fit
+    monkeypatch.setattr(tx, "fit", lambda ids, y, langs: seen.append(sum(map(len, ids))) or fit(ids, y, langs))
+    tx.sample_and_fit(docs, labels)
+    tx.sample_and_fit(docs, labels, train_words=seen[0] // 3)
+    assert 0 < seen[1] < 0.5 * seen[0]

@@ -22,7 +22,7 @@ import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickwright.llm.language_id import held_out
@@ -35,6 +35,7 @@ WIDTHS = (1, 2, 3)
 POSITIVES = 4000
 NEGATIVES = 8000
 LONGEST = 20_000  # words of a training text; longer ones are not sampled
+TRAIN_WORDS = 8_000_000  # of all training texts together, which the driver holds as 32-bit numbers
 EPOCHS = 6
 BATCH = 32
 RATE = 0.05
@@ -276,9 +277,9 @@ def calibrate(model: Model, guess: np.ndarray, y: np.ndarray, long: np.ndarray,
     model.threshold = model.threshold[-1] + steps / (STEPS * model.scale)
 
 
-def sample_and_fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", positives: int = POSITIVES, negatives: int = NEGATIVES) -> Model:
-    """Fits on at most so many labelled rows of each class that are not held out (fold 1 of 3) and
-    sets the thresholds on all others outside that fold.
+def sample_and_fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", positives: int = POSITIVES, negatives: int = NEGATIVES, train_words: int = TRAIN_WORDS) -> Model:
+    """Fits on at most so many labelled rows of each class, and words together, that are not held out
+    (fold 1 of 3) and sets the thresholds on all others outside that fold.
 
     Documents are taken by a hash of the id, and kept from training by one of the text. If a class
     is missing on either side, which happens in tiny tables only, one side has all rows. Rows
@@ -290,15 +291,18 @@ def sample_and_fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     marks = marks.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y")).where("y IN (0, 1)")
     texts = docs.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col), 3, 1))
     texts = texts.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
-    long = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\s+")) >= LONGEST
+    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\s+")) + 1
+    long = F.col("words") > LONGEST
     spared = F.pmod(F.xxhash64("mark"), F.lit(SPARED)) == SPARED - 1
-    known = texts.select("id", "mark", long.alias("long")).join(marks, "id").distinct()
+    known = texts.select("id", "mark", words.alias("words")).withColumn("long", long).join(marks, "id").distinct()
     known = materialize(known.withColumn("spared", spared), "labelled-rows")
     sides = {(r["y"], r["spared"] or r["long"]) for r in known.select("y", "long", "spared").distinct().collect()}
     apart = len(sides) == 4
     pool = known.where(~F.col("long") & ~F.col("spared")) if apart else known.where(~F.col("long"))
     take = [pool.where(F.col("y") == k).orderBy(F.xxhash64("id"), "id", "mark").limit(n) for k, n in ((1, positives), (0, negatives))]
-    take = F.broadcast(materialize(take[0].unionByName(take[1]).select("id", "mark", "y"), "sampled-rows"))  # bounded by the two limits
+    sofar = F.sum("words").over(Window.orderBy(F.xxhash64("id"), "id", "mark").rowsBetween(Window.unboundedPreceding, 0))
+    take = take[0].unionByName(take[1]).withColumn("sofar", sofar).where(F.col("sofar") <= train_words)  # a window over both limits' rows at most
+    take = F.broadcast(materialize(take.select("id", "mark", "y"), "sampled-rows"))
     rows = texts.join(take, ["id", "mark"]).select("id", "mark", "text", "y", "lang")
 
     def hashed(batches):
