@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import re
 import struct
 import uuid
@@ -91,8 +92,8 @@ def segments(html: Column) -> Column:
 def dictionary_of(rows: DataFrame) -> bytes:
     """A Zstandard dictionary of the segments that save most, counted over all responses.
 
-    A segment saves its bytes each time it occurs again; equal savings are in order of their hash.
-    Hashes and counts of the best and then at most ``MATERIAL_BYTES`` of segments reach the driver.
+    A segment saves its bytes each time it occurs again. A histogram of the savings finds the best
+    that have about ``MATERIAL_BYTES`` together; only these reach the driver.
     The library trains on made-up records that hold a segment the oftener the more it occurs; where
     there is too little to train on, the segments themselves are the dictionary.
     """
@@ -100,13 +101,19 @@ def dictionary_of(rows: DataFrame) -> bytes:
 
     pages = rows.where(F.col("target").isNull() & (F.col("n_bytes") > 0)).select(segments(F.col("html")).alias("s"))
     pages = pages.select("s", F.xxhash64("s").alias("h"), F.octet_length("s").alias("n_bytes")).where(F.col("n_bytes").between(SHORTEST, DICTIONARY_BYTES // 4))
-    counted = pages.groupBy("h", "n_bytes").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("saved", (F.col("n") - 1) * F.col("n_bytes"))
-    room, chosen = MATERIAL_BYTES, []
-    for r in counted.orderBy(F.desc("saved"), "h", "n_bytes").limit(MATERIAL_BYTES // SHORTEST).select("h", "n_bytes", "n").collect():
-        if r["n_bytes"] > room:
+    counted = pages.groupBy("h", "n_bytes").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # classes of nearly equal savings; of the class that does not fit whole, a share by hash
+    step = F.floor(F.log2((F.col("n") - 1) * F.col("n_bytes")) * 8)
+    counted = materialize(counted.withColumn("step", step), "segment-counts")
+    room, least, share = MATERIAL_BYTES, math.inf, 0.0
+    for r in counted.groupBy("step").agg(F.sum("n_bytes").alias("size")).orderBy(F.desc("step")).collect():
+        if r["size"] > room:
+            least, share = r["step"], room / r["size"]
             break
-        room -= r["n_bytes"]
-        chosen.append((len(chosen), r["h"], r["n_bytes"], r["n"]))
+        room, least, share = room - r["size"], r["step"], 1.0
+    taken = (F.col("step") > F.lit(float(least))) | ((F.col("step") == F.lit(float(least))) & (F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20))))
+    rows_taken = counted.where(taken).orderBy(F.desc("step"), "h", "n_bytes").collect()
+    chosen = [(i, r["h"], r["n_bytes"], r["n"]) for i, r in enumerate(rows_taken)]
     head = record(None, "", b"", hashlib.sha1(b"").hexdigest(), None, "")
     if not chosen:
         return head
