@@ -135,7 +135,7 @@ def best_split(spark, d):
 
 
 def vector_rows(spark, d):
-    """Embeddings as ML vectors with a hash-ordered split (70/15/15)."""
+    """Embeddings as ML vectors with a hash-ordered split: seven tenths to train, the rest to test."""
     v = ft.shuffled_split(vectors(spark, d), "id", 0.3)
     return materialize(v.withColumn("features", array_to_vector("features")), "vectors")
 

@@ -115,15 +115,13 @@ LAGS = [1, 2, 3, 5, 10]
 ROLLING = [5, 10, 20]
 
 # The model feature contract, in order.
-FEATURES_38 = (
-    ["open", "high", "low"]
-    + ["price_change", "price_change_abs", "volatility", "rsi"]
-    + ["hl_ratio", "oc_ratio", "price_position"]
-    + ["day_of_week", "month", "quarter", "market_type"]
-    + [name for n in MOVING_AVERAGES for name in (f"ma_{n}", f"ma_{n}_ratio")]
-    + [f"close_lag_{k}" for k in LAGS]
-    + [f"close_{stat}_{n}" for n in ROLLING for stat in ("std", "min", "max")]
-)
+FEATURES_38 = [
+    "open", "high", "low", "price_change", "price_change_abs", "volatility", "rsi",
+    "hl_ratio", "oc_ratio", "price_position", "day_of_week", "month", "quarter", "market_type",
+    "ma_5", "ma_5_ratio", "ma_10", "ma_10_ratio", "ma_20", "ma_20_ratio", "ma_50", "ma_50_ratio", "ma_200", "ma_200_ratio",
+    "close_lag_1", "close_lag_2", "close_lag_3", "close_lag_5", "close_lag_10",
+    "close_std_5", "close_min_5", "close_max_5", "close_std_10", "close_min_10", "close_max_10", "close_std_20", "close_min_20", "close_max_20",
+]
 
 # Name parts that mark an Indian listing when the dimension knows no better.
 IND_NAME_PARTS = [
