@@ -45,6 +45,12 @@ def bag_weights(keys: np.ndarray, tree: int, seed: int) -> np.ndarray:
     return np.searchsorted(POISSON, u, "right").astype(float)
 
 
+def train_weights(keys: np.ndarray, folds: np.ndarray, tree: int, cfg: dict) -> np.ndarray:
+    """Bag weights without the fold that the tree must not see."""
+    w = bag_weights(keys, tree, cfg["seed"])
+    return np.where(folds == tree % cfg["folds"], 0.0, w) if cfg["folds"] else w
+
+
 def subsets(tree, nodes: np.ndarray, features: int, take: int, seed: int) -> np.ndarray:
     """The sorted features that each node may split on, by hash of (tree, node)."""
     if take >= features:
@@ -160,12 +166,14 @@ class Forest:
         out = out / np.maximum(out.sum(1, keepdims=True), 1e-300)
         return out.sum(0) / max(out.sum(), 1e-300)
 
-    def tree_values(self, x: np.ndarray) -> np.ndarray:
-        """Each tree's value (column) for binned rows."""
+    def tree_values(self, x: np.ndarray, depth: int | None = None) -> np.ndarray:
+        """Each tree's value (column) for binned rows, from its first ``depth`` levels of splits only
+        if that is given: a tree grown to a smaller depth is the top of a deeper one."""
         out = np.empty((len(x), self.cfg["trees"]))
         for k, root in enumerate(self.roots):
-            place, todo = np.full(len(x), root), np.arange(len(x))
-            while len(todo := todo[self.feature[place[todo]] >= 0]):
+            place, todo, level = np.full(len(x), root), np.arange(len(x)), 0
+            while level != depth and len(todo := todo[self.feature[place[todo]] >= 0]):
+                level += 1
                 p = place[todo]
                 place[todo] = self.left[p] + (x[todo, self.feature[p]] > self.bin[p])
             out[:, k] = self.value[place]
@@ -202,6 +210,34 @@ class Forest:
         return named.withColumns({c: F.col(f"_a.{c}") for c in ("prediction", "uncertainty", "votes")}).drop("_a")
 
 
+def out_of_fold(model: Forest, df: DataFrame, fold: str, depths: list[int], counts: list[int], label: str = "label") -> DataFrame:
+    """(depth, trees, mse) over all rows, each predicted by trees that have not seen its fold.
+
+    The trees of a model grown with ``folds`` stand for forests of every smaller depth and number
+    of trees a fold, so the whole grid is scored in one pass.
+    """
+    sent = df.sparkSession.sparkContext.broadcast(model)
+
+    def errors(batches):
+        m = sent.value
+        total, n = np.zeros((len(depths), len(counts))), 0
+        for b in batches:
+            if not len(b):
+                continue
+            x, y, own = binned(b["x"], m.cuts), b["y"].to_numpy(), b["f"].to_numpy()
+            n += len(b)
+            for i, depth in enumerate(depths):
+                values = m.tree_values(x, depth).reshape(len(x), -1, m.cfg["folds"])
+                mine = values[np.arange(len(x)), :, own]
+                for j, count in enumerate(counts):
+                    total[i, j] += ((mine[:, :count].mean(1) - y) ** 2).sum()
+        yield pd.DataFrame([(d, c, total[i, j], n) for i, d in enumerate(depths) for j, c in enumerate(counts)], columns=["depth", "trees", "sse", "n"])
+
+    rows = df.where(F.col(label).isNotNull()).select(as_array(df, model.features).alias("x"), F.col(label).cast("double").alias("y"), F.col(fold).cast("int").alias("f"))
+    sums = rows.mapInPandas(errors, "depth int, trees int, sse double, n bigint").groupBy("depth", "trees").agg(F.sum("sse").alias("sse"), F.sum("n").alias("n"))
+    return sums.select("depth", "trees", F.try_divide("sse", "n").alias("mse"))
+
+
 def row_key(key: str | tuple[str, ...]):
     return F.xxhash64(*[key] if isinstance(key, str) else key)
 
@@ -239,27 +275,31 @@ def fit_forest(
     label: str = "label",
     key: str | tuple[str, ...] = "id",
     local_rows: int = LOCAL_ROWS,
+    fold: str | None = None,
+    folds: int = 0,
 ) -> Forest:
     """A forest of ``trees`` trees; ``take`` features a split (the root of their number unless given).
 
     ``classes`` > 0 grows classifiers of labels 0 to classes - 1, else regression trees. Rows with a
     NULL label or feature vector do not train. ``key`` decides a row's bags: rows of equal key share
-    them. The model, at most trees x 2^depth nodes, comes to the driver.
+    them. The model, at most trees x 2^depth nodes, comes to the driver. With ``fold``, a column of
+    numbers below ``folds``, tree t trains without fold t % ``folds`` (see ``out_of_fold``).
     """
     array = as_array(df, features)
     rows = df.where(F.col(label).isNotNull() & F.col(features).isNotNull())
     head = rows.select(F.size(array).alias("d")).first()
     width = head["d"] if head else 1
     cuts = quantile_cuts(rows, array, width)
-    cfg = {"trees": trees, "depth": depth, "min_leaf": min_leaf, "take": min(width, take or max(1, int(math.sqrt(width)))), "classes": classes, "criterion": criterion, "seed": seed, "width": width}
+    cfg = {"trees": trees, "depth": depth, "min_leaf": min_leaf, "take": min(width, take or max(1, int(math.sqrt(width)))), "classes": classes, "criterion": criterion, "seed": seed, "width": width, "folds": folds}
 
     def to_bins(batches):
         for b in batches:
             if len(b):
-                yield pd.DataFrame({"h": b["h"], "x": [r.tobytes() for r in binned(b["x"], cuts)], "y": b["y"]})
+                yield pd.DataFrame({"h": b["h"], "x": [r.tobytes() for r in binned(b["x"], cuts)], "y": b["y"], "f": b["f"]})
 
-    plain = rows.select(row_key(key).alias("h"), array.alias("x"), F.col(label).cast("double").alias("y"))
-    data = materialize(plain.mapInPandas(to_bins, "h bigint, x binary, y double"), "binned")
+    own_fold = F.col(fold).cast("int") if fold else F.lit(-1)
+    plain = rows.select(row_key(key).alias("h"), array.alias("x"), F.col(label).cast("double").alias("y"), own_fold.alias("f"))
+    data = materialize(plain.mapInPandas(to_bins, "h bigint, x binary, y double, f int"), "binned")
     n = data.count()
     frontier = {t: np.array([1], np.int64) for t in range(trees)} if n else {}
     done: list[tuple] = []  # inner nodes found by the passes over all rows
@@ -344,10 +384,10 @@ def split_pass(data: DataFrame, big: list[tuple[int, int]], done: list[tuple], c
         for b in batches:
             if not len(b):
                 continue
-            x, keys, y = matrix_of(b["x"]), b["h"].to_numpy(), b["y"].to_numpy()
+            x, keys, y, own = matrix_of(b["x"]), b["h"].to_numpy(), b["y"].to_numpy(), b["f"].to_numpy()
             for t, nodes in f.opened.items():
                 rows, slot = f.places(x, t)
-                w = bag_weights(keys[rows], t, cfg["seed"])
+                w = train_weights(keys[rows], own[rows], t, cfg)
                 rows, slot, w = rows[w > 0], slot[w > 0], w[w > 0]
                 allowed = subsets(t, nodes, cfg["width"], cfg["take"], cfg["seed"])
                 found = histograms(x[rows], slot, stats_of(y[rows], w, cfg["classes"]), allowed)
@@ -389,10 +429,10 @@ def grow_branches(data: DataFrame, inner: pd.DataFrame, opened: dict[int, list[i
         for b in batches:
             if not len(b):
                 continue
-            x, keys = matrix_of(b["x"]), b["h"].to_numpy()
+            x, keys, own = matrix_of(b["x"]), b["h"].to_numpy(), b["f"].to_numpy()
             for t, nodes in f.opened.items():
                 rows, at = f.places(x, t)
-                w = bag_weights(keys[rows], t, cfg["seed"])
+                w = train_weights(keys[rows], own[rows], t, cfg)
                 rows, at, w = rows[w > 0], at[w > 0], w[w > 0]
                 yield pd.DataFrame({"tree": np.int32(t), "node": nodes[at], "x": b["x"].to_numpy()[rows], "y": b["y"].to_numpy()[rows], "w": w})
 

@@ -403,20 +403,25 @@ def tune(estimator, grid, df: DataFrame, folds: int = 5, label: str = "label", p
     return fitted, table
 
 
-def train_run(matrix: DataFrame, features: list[str], name: str, fit, path: str, registry: str) -> DataFrame:
-    """Fit on the stacked matrix, save, validate on each symbol's last rows, register the run.
+def train_run(matrix: DataFrame, features: list[str], name: str, fit, path: str, registry: str, held_out: list[str] | None = None) -> DataFrame:
+    """Fit on the stacked matrix, save, validate, register the run.
 
-    Returns the summary row that was appended to the registry table.
+    Without ``held_out`` each symbol's last rows validate; with it, all rows of the listed symbols
+    do, and no row of theirs trains. Models without a writer of their own are not saved, their
+    path only names the run. Returns the summary row that was appended to the registry table.
     """
     from tickwright.operators.features import chronological_split
     from tickwright.operators.metrics import validation_summary
 
     data = assemble(matrix, features)
-    split = chronological_split(data)
-    model = fit(split.where(F.col("split") == "train"))
-    model.write().overwrite().save(path)
-    scored = model.transform(data).select("symbol", "date", F.col("label").alias("y"), F.col("prediction").alias("p"))
-    row = validation_summary(scored).select(
+    listed = F.col("symbol").cast("string").isin([str(x) for x in held_out or []])
+    train = data.where(~listed) if held_out else chronological_split(data).where(F.col("split") == "train")
+    model = fit(train)
+    if hasattr(model, "write"):
+        model.write().overwrite().save(path)
+    scored = (model.transform if hasattr(model, "transform") else model.predict)(data.where(listed) if held_out else data)
+    scored = scored.select("symbol", "date", F.col("label").alias("y"), F.col("prediction").alias("p"))
+    row = validation_summary(scored, *[1.0] if held_out else []).select(
         F.lit(name).alias("model"),
         "symbols", "avg_r2", "avg_rmse", "avg_mae",
         F.lit(len(features)).alias("features"),

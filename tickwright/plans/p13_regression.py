@@ -10,6 +10,7 @@ from tickwright.operators import forecast as fc
 from tickwright.operators import neighbors as nn
 from tickwright.operators import query as reads
 from tickwright.operators import regression as rg
+from tickwright.operators import tuning
 from tickwright.schema import FEATURES_38
 from tickwright.session import materialize, scratch_path
 from tickwright.sources import tables as t
@@ -163,6 +164,46 @@ def tune(spark, d):
     return table
 
 
+def folded(df, *key):
+    """Five folds by a hash of the key."""
+    return df.withColumn("fold", F.pmod(F.xxhash64(*key), F.lit(5)).cast("int"))
+
+
+@query("tune_linear")
+def tune_linear(spark, d):
+    rows = folded(matrix(spark, d), "symbol", "date")
+    return out(tuning.tune_linear(rows, FEATURES_38, (0.0, 1.0, 100.0)), ["score"], ["model", "params"])
+
+
+@query("tune_knn")
+def tune_knn(spark, d):
+    rows = materialize(folded(vectors(spark, d), "id"), "folds")
+    return out(tuning.tune_knn(rows), ["score"], ["model", "params"])
+
+
+@query("tune_forest")
+def tune_forest(spark, d):
+    """Depths, tree numbers and leaf sizes; every candidate predicts each row without its fold."""
+    rows = materialize(folded(ft.assemble(matrix(spark, d), FEATURES_38), "symbol", "date"), "folds")
+    return out(tuning.tune_forest(rows, (5, 10), (10, 20), (1, 5), key=("symbol", "date")), ["score"], ["model", "params"])
+
+
+@query("tune_svr")
+def tune_svr(spark, d):
+    rows = materialize(folded(matrix(spark, d), "symbol", "date"), "folds")
+    return out(tuning.tune_svr(rows, FEATURES_38, (0.1, 1.0), kernels=("linear",)), ["score"], ["model", "params"])
+
+
+@query("train_run_held_out")
+def train_run_held_out(spark, d):
+    """A forest that never sees the rows of the listed symbols, validated on all of them."""
+    def fit(rows):
+        return rg.fit_forest(rows, 20, 10)
+
+    row = rg.train_run(matrix(spark, d), FEATURES_38, "random_forest", fit, scratch_path(spark, "model"), scratch_path(spark, "registry"), ["3", "7", "11"])
+    return out(row, ["avg_r2", "avg_rmse", "avg_mae"], ["model", "symbols", "features"])
+
+
 def registered(spark, d):
     """A training run of the linear model, saved and registered in the shared folder."""
     registry = scratch_path(spark, "registry")

@@ -56,3 +56,10 @@ def read_instruments(spark: SparkSession, path: str) -> DataFrame:
         .groupBy("symbol")
         .agg(F.max_by("isin", "at").alias("isin"))
     )
+
+
+def read_validation_symbols(spark: SparkSession, path: str) -> DataFrame:
+    """(category, symbol) of a JSON object that lists the held-out symbols of each category."""
+    listed = T.MapType(T.StringType(), T.ArrayType(T.StringType()))
+    text = spark.read.text(path, wholetext=True).select(F.from_json("value", listed).alias("m"))
+    return text.select(F.explode("m").alias("category", "symbols")).select("category", F.explode("symbols").alias("symbol")).distinct()
