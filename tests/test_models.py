@@ -199,18 +199,13 @@ def test_svd_and_pca_match_numpy(spark):
     assert cl.relative_error(cl.svd_reconstruct(df, axes)).first()[0] < 1e-9
 
 
-def test_poisson_bag_weights(spark):
-    w = spark.range(20000).select(cf.poisson_weight("id", 3, 42).alias("w")).agg(F.avg("w"), F.var_pop("w"), F.avg((F.col("w") == 0).cast("double"))).first()
-    assert abs(w[0] - 1) < 0.03 and abs(w[1] - 1) < 0.05 and abs(w[2] - np.exp(-1)) < 0.02
-
-
 def test_oob_error_on_separable_rows(spark):
     from pyspark.ml.functions import array_to_vector
 
     rng = np.random.default_rng(1)
     rows = [(i, [float(i % 2) * 10 + float(rng.normal()), float(rng.normal()), 0.0], float(i % 2)) for i in range(120)]
     df = spark.createDataFrame(rows, "id bigint, f array<double>, label double").select("id", array_to_vector("f").alias("features"), "label")
-    assert cf.oob_error(df, trees=6, subset="all").first()["oob_error"] < 0.05
+    assert cf.oob_error(df, trees=6, take=3).first()["oob_error"] < 0.05
 
 
 def test_ar_weights_and_forecast(spark):
