@@ -1,10 +1,12 @@
 """Exact nearest neighbours and distances to given partners.
 
-Small training sides (checked against a byte limit) are broadcast and scanned in the query
-tasks without any shuffle. Larger ones are cut into cells around pivot rows, and a query visits
-only the cells that the triangle inequality cannot rule out; cells and query groups are cut
-into bounded blocks, so a cell that holds a third of all rows is spread over many tasks. Pairs
-never leave a task: only the k best of each block do.
+Small training sides (checked against a byte limit) are broadcast and scanned by as many query tasks
+as the number of pairs asks for. Larger ones are cut into cells around pivot rows, and a query visits
+only the cells that the triangle inequality cannot rule out. Where it rules out little (many dimensions
+without clusters), every bounded block of queries meets every bounded block of training rows instead,
+so that a block travels once for each block of the other side, not once for each row. Pairs never
+leave a task: only the k best of each block do. Inside a task a rounded matrix product (or rounded sums
+for the Manhattan metric) with a bound of its error names the candidates; only they are measured exactly.
 """
 
 from __future__ import annotations
@@ -19,6 +21,12 @@ from tickwright.session import materialize
 BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_ROWS = 4096
 MAX_CELLS = 1024
+GRID_BYTES = 32 * 1024 * 1024
+GRID_QUERIES = 16384
+TASK_PAIRS = 1 << 28
+BROADCAST_PAIRS = 1 << 36
+GRID_SHARE = 8
+FEW_DIMS = 8
 RESULT = "query_id {0}, train_id {1}, distance double, label double"
 
 
@@ -27,6 +35,14 @@ def pair_distances(a, b, metric: str):
     import numpy as np
 
     out = np.empty((len(a), len(b)))
+    if a.shape[1] < FEW_DIMS:  # same sums in the same order, without a third axis
+        for i in range(0, len(a), step := max(1, 250_000 // max(1, len(b)))):
+            total = np.zeros((len(a[i : i + step]), len(b)))
+            for x, y in zip(a[i : i + step].T, b.T):
+                diff = x[:, None] - y[None, :]
+                total += np.abs(diff) if metric == "manhattan" else diff * diff
+            out[i : i + step] = total if metric == "manhattan" else np.sqrt(total)
+        return out
     step = max(1, 4_000_000 // max(1, b.size))
     for i in range(0, len(a), step):
         diff = a[i : i + step, None, :] - b[None, :, :]
@@ -34,6 +50,185 @@ def pair_distances(a, b, metric: str):
     return out
 
 
+def listed_distances(a, b, i, j, metric: str):
+    """Distances of the pairs (a[i], b[j]), equal to the entries of ``pair_distances``."""
+    import numpy as np
+
+    out = np.empty(len(i))
+    step = max(1, 2_000_000 // max(1, a.shape[1]))
+    for at in range(0, len(i), step):
+        diff = a[i[at : at + step]] - b[j[at : at + step]]
+        out[at : at + step] = np.abs(diff).sum(1) if metric == "manhattan" else np.sqrt((diff * diff).sum(1))
+    return out
+
+
+class Rounded:
+    """Cheap stand-ins for the distances of two blocks of finite rows.
+
+    ``tile`` gives numbers that grow with the distance: off by at most ``slack`` (one value a row of the
+    first block) from ``of(distance)``. Few dimensions are measured as they are. Otherwise squared
+    Euclidean distances come from a float32 product of vectors that are centred and scaled to length 1 at
+    most, Manhattan distances from sums of 16-bit integers.
+    """
+
+    def __init__(self, a, b, metric: str):
+        import numpy as np
+
+        self.a, self.b, self.metric = a, b, metric
+        self.dims = d = a.shape[1]
+        self.kind, self.slack, self.rows, self.cols, self.held = "plain", np.zeros(len(a)), 256, 1024, {}
+        if d < FEW_DIMS or not len(a) or not len(b):
+            return
+        with np.errstate(all="ignore"):
+            if metric == "manhattan":
+                low = np.minimum(a.min(0), b.min(0))
+                span = (np.maximum(a.max(0), b.max(0)) - low).max()
+                levels = 32000 // d
+                if levels < 8 or not 1e-150 < span < 1e150:
+                    return
+                self.scale = levels / span
+                self.x = np.rint((a - low) * self.scale).astype("int16")
+                self.y = np.ascontiguousarray(np.rint((b - low) * self.scale).astype("int16").T)
+                self.kind, self.rows, self.cols = "sums", 16, 4096
+                self.slack = np.full(len(a), d * 1.01)  # each component is off by half a level on both sides
+                return
+            centre = b.mean(0)
+            x, y = a - centre, b - centre
+            scale = max(np.sqrt((x * x).sum(1)).max(), np.sqrt((y * y).sum(1)).max())
+            if not 1e-150 < scale < 1e150:
+                return
+            x, y, self.scale = x / scale, y / scale, 1.0 / scale
+            nx, ny = (x * x).sum(1), (y * y).sum(1)
+            self.x = np.column_stack([x, nx, np.ones(len(x))]).astype("float32")
+            self.y = np.ascontiguousarray(np.column_stack([-2.0 * y, np.ones(len(y)), ny]).astype("float32").T)
+            self.kind, self.rows, self.cols = "product", 512, 2048
+            self.slack = (d + 16) * 2.0**-23 * (np.sqrt(nx) + np.sqrt(ny.max())) ** 2 + 1e-30
+
+    def of(self, distance):
+        """The number that stands for a distance."""
+        if self.kind == "plain":
+            return distance
+        return distance * self.scale if self.kind == "sums" else (distance * self.scale) ** 2
+
+    def tile(self, i: int, j: int):
+        """Rows i to i + rows against rows j to j + cols; valid until the next call."""
+        import numpy as np
+
+        i_, j_ = slice(i, i + self.rows), slice(j, j + self.cols)
+        if self.kind == "plain":
+            return pair_distances(self.a[i_], self.b[j_], self.metric)
+        x, y = self.x[i_], self.y[:, j_]
+        shape = (len(x), y.shape[1])
+        if shape not in self.held:  # memory that is used again for every tile of a shape
+            self.held[shape] = np.empty(shape, x.dtype), np.empty(shape, x.dtype)
+        total, diff = self.held[shape]
+        if self.kind == "product":
+            return np.matmul(x, y, out=total)
+        total[:] = 0
+        for k in range(self.dims):
+            np.subtract(x[:, k, None], y[None, k], out=diff)
+            np.abs(diff, out=diff)
+            total += diff
+        return total
+
+
+def nearest(a, b, ex_a, ex_b, k: int, metric: str):
+    """(i, j, distance) of the k nearest rows b[j] of each a[i] whose ``ex`` differs; of equal distances
+    the smaller j, in order of i and rank. Rows with a component that is not finite have no neighbours."""
+    import numpy as np
+
+    own_a, own_b = np.flatnonzero(np.isfinite(a).all(1)), np.flatnonzero(np.isfinite(b).all(1))
+    a, b, ex_a, ex_b = a[own_a], b[own_b], ex_a[own_a], ex_b[own_b]
+    near, parts = Rounded(a, b, metric), []
+    for i in range(0, len(a), near.rows):
+        q = len(a[i : i + near.rows])
+        slack = 2.0 * near.slack[i : i + q]
+        limit, found, held = np.full(q, np.inf), [], 0
+        for step, j in enumerate(range(0, len(b), near.cols)):
+            tile = near.tile(i, j)
+            mask = None
+            if step == 0 and tile.shape[1] > k:
+                # the k-th number of the first rows that are allowed bounds all that follow
+                mask = ex_a[i : i + q, None] != ex_b[None, j : j + near.cols]
+                first = np.where(mask, tile, np.inf if tile.dtype.kind == "f" else np.iinfo(tile.dtype).max)
+                kth = np.partition(first, k - 1, axis=1)[:, k - 1].astype(float)
+                limit = np.where(mask.sum(1) >= k, kth + slack, np.inf)
+            # rounded up, so that a limit in less digits leaves nothing out
+            top = np.nextafter(limit.astype("float32"), np.float32(np.inf)) if tile.dtype == np.float32 else limit
+            r, c = np.divmod(np.flatnonzero(tile <= top[:, None]), tile.shape[1])
+            ok = ex_a[i + r] != ex_b[j + c]
+            r, c = r[ok], c[ok]
+            found.append((r, c + j, tile[r, c].astype(float)))
+            held += len(r)
+            if held > 4 * k * q + 65_536:
+                found = [kept(found, limit, slack, k, a[i : i + q], b, metric)]
+                held = len(found[0][0])
+            elif step & (step + 1) == 0:
+                found = [tightened(found, limit, slack, k)]
+                held = len(found[0][0])
+        if not found:
+            continue
+        r, c, v = (np.concatenate(x) for x in zip(*found))
+        ok = v <= limit[r]
+        r, c = r[ok], c[ok]
+        d = listed_distances(a[i : i + q], b, r, c, metric)
+        r, c, d = first_of(r, c, d, k)
+        parts.append((own_a[r + i], own_b[c], d))
+    if not parts:
+        return np.empty(0, int), np.empty(0, int), np.empty(0)
+    r, c, d = (np.concatenate(x) for x in zip(*parts))
+    ok = np.isfinite(d)
+    return r[ok], c[ok], d[ok]
+
+
+def first_of(r, c, v, k: int):
+    """The k entries of each row r with the smallest v (then c), in that order."""
+    import numpy as np
+
+    order = np.lexsort((c, v, r))
+    r, c, v = r[order], c[order], v[order]
+    begin = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.empty(0, int)
+    rank = np.arange(len(r)) - np.repeat(begin, np.diff(np.r_[begin, len(r)]))
+    return r[rank < k], c[rank < k], v[rank < k]
+
+
+def tightened(found, limit, slack, k: int):
+    """Candidates within the limits, after the k-th of each row has lowered them (in place)."""
+    import numpy as np
+
+    r, c, v = (np.concatenate(x) for x in zip(*found))
+    top_r, _, top_v = first_of(r, c, v, k)
+    full = np.bincount(top_r, minlength=len(limit)) >= k
+    kth = np.full(len(limit), -np.inf)
+    np.maximum.at(kth, top_r, top_v)
+    np.minimum(limit, np.where(full, kth + slack, np.inf), out=limit)
+    ok = v <= limit[r]
+    return r[ok], c[ok], v[ok]
+
+
+def kept(found, limit, slack, k: int, a, b, metric: str):
+    """The same, and of many candidates near the limit (copies) only the k that are exactly nearest."""
+    r, c, v = tightened(found, limit, slack, k)
+    if len(r) <= 2 * k * len(limit):
+        return r, c, v
+    import numpy as np
+
+    order = np.lexsort((c, r))
+    r, c, v = r[order], c[order], v[order]
+    r2, c2, _ = first_of(r, c, listed_distances(a, b, r, c, metric), k)
+    width = len(b)
+    ok = np.isin(r * width + c, r2 * width + c2)
+    return r[ok], c[ok], v[ok]
+
+
+def codes(q, t):
+    """Integers that are equal where the values of two columns are."""
+    import pandas as pd
+
+    both, _ = pd.factorize(pd.concat([pd.Series(q), pd.Series(t)], ignore_index=True))
+    return both[: len(q)], both[len(q) :]
+
+
 def best_of_block(q, t, k: int, metric: str):
     """The k nearest rows of a training block for each query row (ties by training id)."""
     import numpy as np
@@ -42,29 +237,16 @@ def best_of_block(q, t, k: int, metric: str):
     if len(q) == 0 or len(t) == 0:
         return pd.DataFrame({"query_id": [], "train_id": [], "distance": [], "label": []})
     t = t.sort_values("train_id", kind="stable")
-    tv, tid, lab = np.vstack(t["vec"].to_numpy()), t["train_id"].to_numpy(), t["label"].to_numpy(float)
-    ex_t, ex_q = t["ex"].to_numpy(), q["ex"].to_numpy()
-    out = []
-    qv, qid = np.vstack(q["vec"].to_numpy()), q["query_id"].to_numpy()
-    step = max(1, 2_000_000 // len(tv))
-    for i in range(0, len(qv), step):
-        d = pair_distances(qv[i : i + step], tv, metric)
-        d[ex_q[i : i + step, None] == ex_t[None, :]] = np.inf
-        idx = np.argsort(d, axis=1, kind="stable")[:, :k]
-        near = np.take_along_axis(d, idx, 1)
-        row = np.repeat(qid[i : i + step], idx.shape[1])
-        keep = np.isfinite(near).ravel()
-        out.append(
-            pd.DataFrame(
-                {
-                    "query_id": row[keep],
-                    "train_id": tid[idx].ravel()[keep],
-                    "distance": near.ravel()[keep],
-                    "label": lab[idx].ravel()[keep],
-                }
-            )
-        )
-    return pd.concat(out, ignore_index=True)
+    ex_q, ex_t = codes(q["ex"].to_numpy(), t["ex"].to_numpy())
+    i, j, d = nearest(np.vstack(q["vec"].to_numpy()), np.vstack(t["vec"].to_numpy()), ex_q, ex_t, k, metric)
+    return pd.DataFrame(
+        {
+            "query_id": q["query_id"].to_numpy()[i],
+            "train_id": t["train_id"].to_numpy()[j],
+            "distance": d,
+            "label": t["label"].to_numpy(float)[j],
+        }
+    )
 
 
 def knn_join(
@@ -78,6 +260,8 @@ def knn_join(
     metric: str = "euclidean",
     broadcast_bytes: int = BROADCAST_BYTES,
     block_rows: int = BLOCK_ROWS,
+    grid_bytes: int = GRID_BYTES,
+    grid_queries: int = GRID_QUERIES,
 ) -> DataFrame:
     """(query_id, rank, train_id, distance, label) of the k nearest training rows.
 
@@ -97,26 +281,52 @@ def knn_join(
     schema = RESULT.format(q.schema["query_id"].dataType.simpleString(), t.schema["train_id"].dataType.simpleString())
     size = t.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
     n, dims = size["n"], size["d"] or 1
-    if n * dims * 8 <= broadcast_bytes:
-        best = _knn_broadcast(t, q, k, metric, schema)
+    asked = q.count()
+    if n * dims * 8 <= broadcast_bytes and n * asked <= BROADCAST_PAIRS:
+        best = _knn_broadcast(t, q, k, metric, schema, math.ceil(n * asked / TASK_PAIRS))
     else:
-        best = _knn_cells(t, q, k, metric, schema, n, block_rows)
+        best = _knn_cells(t, q, k, metric, schema, n, asked, block_rows, max(1, grid_bytes // (8 * dims)), grid_queries)
     w = Window.partitionBy("query_id").orderBy("distance", "train_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _knn_broadcast(t: DataFrame, q: DataFrame, k: int, metric: str, schema: str) -> DataFrame:
-    side = t.sparkSession.sparkContext.broadcast(t.toPandas())  # size checked by the caller
+def _knn_broadcast(t: DataFrame, q: DataFrame, k: int, metric: str, schema: str, tasks: int) -> DataFrame:
+    import numpy as np
+
+    side = t.toArrow()  # size checked by the caller
+    vec = side["vec"].combine_chunks() if side.num_rows else None
+    if vec is not None and vec.null_count:
+        raise ValueError("training rows without a vector")
+    stored = (side.drop(["vec"]), np.vstack(vec.to_numpy(zero_copy_only=False)) if side.num_rows else None)
+    sent = t.sparkSession.sparkContext.broadcast(stored)
 
     def scan(batches):
+        rest, vectors = sent.value
+        rest = rest.to_pandas()
+        rest["vec"] = list(vectors) if vectors is not None else []
         for b in batches:
-            yield best_of_block(b, side.value, k, metric)
+            yield best_of_block(b, rest, k, metric)
 
+    if tasks > 1:
+        q = q.repartition(tasks)
     return q.mapInPandas(scan, schema)
 
 
-def _knn_cells(t: DataFrame, q: DataFrame, k: int, metric: str, schema: str, n: int, block_rows: int) -> DataFrame:
+def grid(queries: DataFrame, members: DataFrame, by_query, by_member, chunks: int, blocks: int, fn, schema: str) -> DataFrame:
+    """Runs ``fn(queries, members)`` on every bounded chunk of queries and every bounded block of members.
+
+    ``by_query`` and ``by_member`` are the columns whose hash deals the rows out."""
+    keys, n = ["chunk", "block"], min(4096, 2 * chunks * blocks)
+    left = queries.withColumn("chunk", F.pmod(F.xxhash64(*by_query), F.lit(chunks)).cast("int"))
+    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(n, *keys)
+    right = members.withColumn("block", F.pmod(F.xxhash64(*by_member), F.lit(blocks)).cast("int"))
+    right = right.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).repartition(n, *keys)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(fn, schema)
+
+
+def _knn_cells(t: DataFrame, q: DataFrame, k: int, metric: str, schema: str, n: int, asked: int, block_rows: int, grid_rows: int, grid_queries: int) -> DataFrame:
     import numpy as np
+    import pandas as pd
 
     spark = t.sparkSession
     cells = min(MAX_CELLS, max(1, math.ceil(n / block_rows)))
@@ -148,11 +358,16 @@ def _knn_cells(t: DataFrame, q: DataFrame, k: int, metric: str, schema: str, n:
     blocks = np.maximum(1, np.ceil(rows / block_rows)).astype(int)
     info = spark.sparkContext.broadcast((sure, radius, rows > 0, blocks))
     q_type = q.schema["query_id"].dataType.simpleString()
-    chunks = max(1, math.ceil(q.count() / (2 * block_rows)))
+    chunks = max(1, math.ceil(asked / (2 * block_rows)))
 
-    def visits(batches):
+    def meet(qb, tb):
+        return best_of_block(qb, tb, k, metric)
+
+    def reached(batches):
         sure_, radius_, used, blocks_ = info.value
         for b in batches:
+            if not len(b):
+                continue
             d = pair_distances(np.vstack(b["vec"].to_numpy()), pivots.value, metric)
             far = np.where(used, d + radius_, np.inf)
             order = np.argsort(far, axis=1)
@@ -161,11 +376,25 @@ def _knn_cells(t: DataFrame, q: DataFrame, k: int, metric: str, schema: str, n:
             limit = np.take_along_axis(far, order, 1)[np.arange(len(d)), first]
             limit = np.where(enough.any(1), limit, np.inf)
             near = used & (d - radius_ <= limit[:, None] * (1 + 1e-9) + 1e-12)
+            yield b, near, blocks_
+
+    def visited(batches):
+        for _, near, blocks_ in reached(batches):
+            yield pd.DataFrame({"visits": [int((near @ blocks_).sum())]})
+
+    met = q.mapInPandas(visited, "visits bigint").agg(F.sum("visits")).first()[0] or 0
+    if met * block_rows * GRID_SHARE > asked * n:
+        return grid(q, t, ["query_id", "vec"], ["train_id", "vec"], math.ceil(asked / grid_queries), math.ceil(n / grid_rows), meet, schema)
+
+    def visits(batches):
+        for b, near, blocks_ in reached(batches):
             i, c = np.nonzero(near)
             reps = blocks_[c]
             i, c = np.repeat(i, reps), np.repeat(c, reps)
             sub = np.concatenate([np.arange(r) for r in reps]) if len(reps) else np.array([], int)
-            yield b.iloc[i].assign(cell=c.astype("int32"), sub=sub.astype("int32"))
+            for at in range(0, len(i), block_rows):
+                s = slice(at, at + block_rows)
+                yield b.iloc[i[s]].assign(cell=c[s].astype("int32"), sub=sub[s].astype("int32"))
 
     routed = q.mapInPandas(visits, f"query_id {q_type}, vec array<double>, ex string, cell int, sub int")
     routed = routed.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int"))
@@ -176,10 +405,6 @@ def _knn_cells(t: DataFrame, q: DataFrame, k: int, metric: str, schema: str, n:
         .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     )
     keys = ["cell", "sub", "chunk"]
-
-    def meet(qb, tb):
-        return best_of_block(qb, tb, k, metric)
-
     return routed.groupBy(*keys).cogroup(cut.groupBy(*keys)).applyInPandas(meet, schema)
 
 
