@@ -64,3 +64,34 @@ def test_rounded_products_name_every_candidate(shift):
         order = np.argsort(full, axis=1, kind="stable")[:, :4]
         want = [(a, b, full[a, b]) for a, row in enumerate(order) for b in row if np.isfinite(full[a, b])]
         assert list(zip(i, j, d)) == want
+
+
+# ---- silhouettes ----------------------------------------------------------------------------------------
+
+
+def test_distance_sums_by_tiles(spark):
+    """A batch against all rows never holds their whole distance matrix, and copies keep distance 0."""
+    import tracemalloc
+
+    from tickwright.operators import cluster as cl
+
+    x = sphere(6000, 16)
+    x[:1500] = x[0] + 3.0
+    x[1500:1600] = x[0] + np.random.default_rng(2).normal(size=(100, 16)) * 1e-9
+    member = np.eye(3)[np.arange(6000) % 3]
+    tracemalloc.start()
+    got = cl.distance_sums(x, x, member)
+    assert tracemalloc.get_traced_memory()[1] < 6000 * 6000 * 8 / 2
+    tracemalloc.stop()
+    want = nn.pair_distances(x, x, "euclidean") @ member
+    assert np.allclose(got, want, rtol=1e-9, atol=1e-12)
+    assert (cl.distance_sums(x[:1500], x[:1500], np.ones((1500, 1))) == 0).all()
+
+
+def test_silhouette_grid_matches_scan(spark):
+    from tickwright.operators import cluster as cl
+
+    df = frame(spark, sphere(200, 12))
+    a = {r["id"]: r["silhouette"] for r in cl.silhouette(df, label="label").collect()}
+    b = {r["id"]: r["silhouette"] for r in cl.silhouette(df, label="label", broadcast_bytes=0, rows=30).collect()}
+    assert len(a) == 200 and all(abs(a[i] - b[i]) < 1e-9 for i in a)

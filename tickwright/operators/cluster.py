@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 
 from tickwright.functions.position import with_global_rank
 from tickwright.operators import metric
-from tickwright.operators.neighbors import BLOCK_ROWS, BROADCAST_BYTES, knn_join, pair_distances
+from tickwright.operators.neighbors import BROADCAST_BYTES, BROADCAST_PAIRS, GRID_QUERIES, TASK_PAIRS, grid, knn_join, listed_distances
 from tickwright.session import materialize
 
 LOCAL_EDGES = 1 << 17
+SUM_TILE = 1024
 
 
 # ---- density ---------------------------------------------------------------------------------------
@@ -220,27 +221,49 @@ def elbow(costs: DataFrame) -> DataFrame:
     return one.select(F.when(F.size("w") < 3, F.lit(1)).otherwise(best).cast("int").alias("best_k"))
 
 
+def distance_sums(a, b, member):
+    """``pair_distances(a, b) @ member``, by tiles of bounded size.
+
+    Squared distances come from products around a common centre; pairs so close that this costs digits
+    (and rows that are not finite) are measured by their difference.
+    """
+    centre = np.nan_to_num(b[:1].mean(0), posinf=0.0, neginf=0.0)
+    x, y = a - centre, b - centre
+    nx, ny = (x * x).sum(1), (y * y).sum(1)
+    total = np.zeros((len(a), member.shape[1]))
+    left, right = np.column_stack([x, nx, np.ones(len(x))]), np.column_stack([-2.0 * y, np.ones(len(y)), ny]).T.copy()
+    held = np.empty((SUM_TILE, SUM_TILE))
+    for i in range(0, len(a), SUM_TILE):
+        for j in range(0, len(b), SUM_TILE):
+            p, q = left[i : i + SUM_TILE], right[:, j : j + SUM_TILE]
+            with np.errstate(invalid="ignore", over="ignore"):
+                d = np.matmul(p, q, out=held[: len(p), : q.shape[1]]) if q.shape[1] == SUM_TILE else p @ q
+                near = 1e-5 * (nx[i : i + SUM_TILE, None].max() + ny[j : j + SUM_TILE].max())
+                r, c = np.nonzero(~(d > near))
+                d[r, c] = 0.0
+                np.sqrt(d, out=d)
+                d[r, c] = listed_distances(a[i : i + SUM_TILE], b[j : j + SUM_TILE], r, c, "euclidean")
+                total[i : i + SUM_TILE] += d @ member[j : j + SUM_TILE]
+    return total
+
+
 def cluster_distance_sums(
-    points: DataFrame, key: str, vec: str, label: str, broadcast_bytes: int = BROADCAST_BYTES, rows: int = BLOCK_ROWS
+    points: DataFrame, key: str, vec: str, label: str, broadcast_bytes: int = BROADCAST_BYTES, rows: int = GRID_QUERIES
 ) -> DataFrame:
     """Sum of distances from every row to each cluster: (id, label, other, total).
 
     The work is quadratic by definition, but only one sum per row, block and cluster leaves a
-    task. A checked small point set is broadcast; otherwise blocks of bounded size meet.
+    task, and a task meets blocks of bounded size tile by tile. A checked small point set is broadcast.
     """
     p = points.select(
         F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("v"), F.col(label).cast("int").alias("label")
     )
     size = p.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
+    n, dims = size["n"], size["d"] or 1
     schema = f"id {p.schema['id'].dataType.simpleString()}, label int, other int, total double"
 
-    def sums(a, b):
-        if len(a) == 0 or len(b) == 0:
-            return pd.DataFrame({"id": [], "label": [], "other": [], "total": []})
-        groups, inverse = np.unique(b["label"].to_numpy(), return_inverse=True)
-        member = np.eye(len(groups))[inverse]
-        d = pair_distances(np.vstack(a["v"].to_numpy()), np.vstack(b["v"].to_numpy()), "euclidean")
-        total = d @ member
+    def frame(a, vectors, groups, member):
+        total = distance_sums(np.vstack(a["v"].to_numpy()), vectors, member)
         k = len(groups)
         return pd.DataFrame(
             {
@@ -251,20 +274,30 @@ def cluster_distance_sums(
             }
         )
 
-    if size["n"] * (size["d"] or 1) * 8 <= broadcast_bytes:
-        side = points.sparkSession.sparkContext.broadcast(p.toPandas())  # size checked above
+    def members(label):
+        groups, inverse = np.unique(label, return_inverse=True)
+        return groups, np.eye(len(groups))[inverse]
+
+    def sums(a, b):
+        if len(a) == 0 or len(b) == 0:
+            return pd.DataFrame({"id": [], "label": [], "other": [], "total": []})
+        return frame(a, np.vstack(b["v"].to_numpy()), *members(b["label"].to_numpy()))
+
+    if 0 < n * dims * 8 <= broadcast_bytes and n * n <= BROADCAST_PAIRS:
+        side = p.toArrow()  # size checked above
+        stored = np.vstack(side["v"].combine_chunks().to_numpy(zero_copy_only=False)), side["label"].to_pandas().to_numpy()
+        sent = points.sparkSession.sparkContext.broadcast(stored)
 
         def scan(batches):
+            vectors, label = sent.value
             for b in batches:
-                yield sums(b, side.value)
-
-        return p.mapInPandas(scan, schema)
-    blocks = math.ceil(size["n"] / rows)
-    placed = p.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = placed.withColumn("rb", every).withColumnRenamed("b", "lb")
-    right = placed.withColumn("lb", every).withColumnRenamed("b", "rb")
-    met = left.groupBy("lb", "rb").cogroup(right.groupBy("lb", "rb")).applyInPandas(sums, schema)
+                if len(b):
+                    yield frame(b, vectors, *members(label))
+
+        tasks = math.ceil(n * n / TASK_PAIRS)
+        return (p.repartition(tasks) if tasks > 1 else p).mapInPandas(scan, schema)
+    chunks, blocks = max(1, math.ceil(n / rows)), max(1, math.ceil(n / (4 * rows)))
+    met = grid(p, p, ["id", "v"], ["id", "v"], chunks, blocks, sums, schema)
     return met.groupBy("id", "label", "other").agg(F.sum("total").alias("total"))
 
 
