@@ -95,3 +95,48 @@ def test_silhouette_grid_matches_scan(spark):
     a = {r["id"]: r["silhouette"] for r in cl.silhouette(df, label="label").collect()}
     b = {r["id"]: r["silhouette"] for r in cl.silhouette(df, label="label", broadcast_bytes=0, rows=30).collect()}
     assert len(a) == 200 and all(abs(a[i] - b[i]) < 1e-9 for i in a)
+
+
+# ---- points within a distance ---------------------------------------------------------------------------
+
+
+def test_counts_and_clusters_where_every_ring_is_mixed(spark, monkeypatch):
+    """No query is copied for each ring; counts and clusters stay those of brute force."""
+    from tickwright.operators import cluster as cl
+    from tickwright.operators import metric
+
+    x = sphere(400, 16)
+    x[300:340] = x[1]
+    eps, d = 0.95, nn.pair_distances(x, x, "euclidean")
+    for name, value in {"BLOCK_ROWS": 16, "BALL_ROWS": 16, "GRID_QUERIES": 150, "GRID_BYTES": 16 * 8 * 120}.items():
+        monkeypatch.setattr(metric, name, value)
+    met = []
+    monkeypatch.setattr(metric, "grid", lambda *a, real=nn.grid: met.append(a[4:6]) or real(*a))
+    got = {r["id"]: r["neighbors"] for r in cl.neighborhood_counts(frame(spark, x), eps).collect()}
+    assert got == dict(enumerate((d <= eps).sum(1).tolist())) and met == [(3, 3)]
+    found = {r["id"]: r["cluster"] for r in cl.dbscan(frame(spark, x), eps, 4).collect()}
+    core = (d <= eps).sum(1) >= 4
+    label = np.where(core, np.arange(400), 400)
+    while True:
+        new = np.where(core, np.where((d <= eps) & core[None, :], label[None, :], 400).min(1), 400)
+        if (new == label).all():
+            break
+        label = new
+    order = {c: i for i, c in enumerate(sorted(set(label[core])), 1)}
+    of = np.array([order.get(c, 0) for c in label])
+    reach = np.where((d <= eps) & core[None, :], of[None, :], 10**6).min(1)
+    assert found == {i: int(of[i]) if core[i] else int(reach[i]) if reach[i] < 10**6 else 0 for i in range(400)}
+    assert len(met) > 1 and 1 < len(order)
+
+
+@pytest.mark.parametrize("dims", [2, 16])
+def test_tiles_within_agree_with_distances(dims):
+    from tickwright.operators import metric
+
+    x = np.round(np.random.default_rng(4).normal(size=(700, dims)), 1)
+    eps = float(np.partition(nn.pair_distances(x, x, "euclidean").ravel(), 5000)[5000])  # many pairs lie exactly there
+    want = nn.pair_distances(x, x, "euclidean") <= eps
+    got = np.zeros_like(want)
+    for i, j, hit in metric.tiles_within(x, x, eps):
+        got[i : i + hit.shape[0], j : j + hit.shape[1]] = hit
+    assert (got == want).all()

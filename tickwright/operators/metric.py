@@ -6,7 +6,9 @@ and, inside a ball, in rings of similar distance to its pivot; both are few (``M
 rings of a query into three kinds: too far, wholly within the distance, and mixed. Whole ones count
 by their stored weight and stand for all their members, so two dense balls never meet row by row;
 only for mixed rings does a query travel, to blocks of bounded size. A block sends counts, minima or
-a spanning forest, never its pairs (``eps_pairs`` is the one that lists them, by request).
+a spanning forest, never its pairs (``eps_pairs`` is the one that lists them, by request). Where most
+rings are mixed for most queries (many dimensions without clusters), bounded blocks of queries meet
+bounded blocks of members instead, so that no query is copied for each ring.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickwright.operators.neighbors import pair_distances
+from tickwright.operators.neighbors import GRID_BYTES, GRID_QUERIES, GRID_SHARE, Rounded, grid, listed_distances, pair_distances
 from tickwright.session import materialize
 
 BLOCK_ROWS = 1024
@@ -27,6 +29,8 @@ BALL_ROWS = 256
 MAX_BALLS = 1024
 MAX_RINGS = 64
 SLACK = 1e-9
+ROUTE_VALUES = 1 << 20
+MIN_BLOCKS = 16
 
 
 def stack(vectors):
@@ -157,6 +161,50 @@ def meet(queries: DataFrame, members: DataFrame, fn, schema: str) -> DataFrame:
     return asked.drop("chunks").groupBy(*keys).cogroup(there.drop("chunks").groupBy(*keys)).applyInPandas(fn, schema)
 
 
+def crowded(queries: DataFrame, rings: Rings, eps: float) -> bool:
+    """Do the mixed rings of all queries hold a large share of all pairs?"""
+    sent = queries.sparkSession.sparkContext.broadcast(rings)
+
+    def visits(batches):
+        r = sent.value
+        step = max(1, 4_000_000 // max(1, len(r.ball)))
+        for b in batches:
+            for at in range(0, len(b), step):
+                _, _, (_, slot) = r.sort_out(stack(b["vec"].iloc[at : at + step]), eps)
+                yield pd.DataFrame({"asked": [len(b.iloc[at : at + step])], "blocks": [int(r.blocks[slot].sum())]})
+
+    met = queries.select("vec").mapInPandas(visits, "asked bigint, blocks bigint").agg(F.sum("asked"), F.sum("blocks")).first()
+    blocks = int(rings.blocks.sum())
+    return blocks > MIN_BLOCKS and (met[1] or 0) * GRID_SHARE > (met[0] or 0) * blocks
+
+
+def in_grid(queries: DataFrame, members: DataFrame, columns: list[str], rings: Rings, fn, schema: str) -> DataFrame:
+    """``fn`` on all bounded blocks of queries (pos, vec) and members (pos, vec and ``columns``)."""
+    asked, n, dims = queries.count(), members.count(), rings.pivots.shape[1]
+    chunks, blocks = max(1, math.ceil(asked / GRID_QUERIES)), max(1, math.ceil(n * dims * 8 / GRID_BYTES))
+    asking, there = (df.select(*[F.col(c).alias(c) for c in ["pos", "vec", *more]]) for df, more in ((queries, []), (members, columns)))
+    return grid(asking, there, ["pos"], ["pos"], chunks, blocks, fn, schema)
+
+
+def tiles_within(a, b, eps: float):
+    """(i, j, whether a[i + r] and b[j + c] lie within ``eps``) for tiles of all pairs, as ``pair_distances`` has it."""
+    own_a, own_b = np.isfinite(a).all(1), np.isfinite(b).all(1)
+    near = Rounded(np.where(own_a[:, None], a, 0.0), np.where(own_b[:, None], b, 0.0), "euclidean")
+    at = near.of(eps)
+    for i in range(0, len(a), near.rows):
+        ia = slice(i, i + near.rows)
+        for j in range(0, len(b), near.cols):
+            jb = slice(j, j + near.cols)
+            tile, slack = near.tile(i, j), near.slack[ia, None] + 1e-6 * at
+            if near.kind == "plain":
+                hit = tile <= eps
+            else:
+                hit = tile <= (at + slack).astype("float32")
+                r, c = np.divmod(np.flatnonzero(hit & (tile >= (at - slack).astype("float32"))), hit.shape[1])
+                hit[r, c] = listed_distances(a[ia], b[jb], r, c, "euclidean") <= eps
+            yield i, j, hit & own_a[ia, None] & own_b[None, jb]
+
+
 def routes(queries: DataFrame, rings: Rings, eps: float, local, columns: str) -> DataFrame:
     """Runs ``local(batch, whole balls, whole rings)`` on queries (pos, vec) and sends them on.
 
@@ -168,14 +216,17 @@ def routes(queries: DataFrame, rings: Rings, eps: float, local, columns: str) ->
     def run(batches):
         r = sent.value
         for b in batches:
-            step = max(1, 4_000_000 // max(1, len(r.pivots)))
+            step = max(1, 4_000_000 // max(1, len(r.pivots), len(r.ball)))
             for at in range(0, len(b), step):
                 part = b.iloc[at : at + step]
                 whole, inside, (q, slot) = r.sort_out(stack(part["vec"]), eps)
                 yield local(part, r, whole, inside)
                 size = r.blocks[slot]
-                q, sub = np.repeat(q, size), spread(np.zeros(len(size), int), size)
-                yield pd.DataFrame({"pos": part["pos"].to_numpy()[q], "vec": part["vec"].to_numpy()[q], "slot": np.repeat(slot, size), "sub": sub})
+                q, slot, sub = np.repeat(q, size), np.repeat(slot, size), spread(np.zeros(len(size), int), size)
+                rows = max(1, ROUTE_VALUES // r.pivots.shape[1])
+                for first in range(0, len(q), rows):
+                    s = slice(first, first + rows)
+                    yield pd.DataFrame({"pos": part["pos"].to_numpy()[q[s]], "vec": part["vec"].to_numpy()[q[s]], "slot": slot[s], "sub": sub[s]})
 
     names = [c.split()[0] for c in columns.split(", ")]
 
@@ -190,6 +241,15 @@ def routes(queries: DataFrame, rings: Rings, eps: float, local, columns: str) ->
 
 def counts_within(places: DataFrame, rings: Rings, members: DataFrame, eps: float) -> DataFrame:
     """(pos, c): weight of all members within ``eps`` of each place."""
+    if crowded(places, rings, eps):
+        def total(q, m):
+            c, w = np.zeros(len(q), np.int64), m["w"].to_numpy() if len(m) else None
+            for i, j, hit in tiles_within(stack(q["vec"]), stack(m["vec"]), eps) if len(q) and len(m) else ():
+                c[i : i + len(hit)] += hit @ w[j : j + hit.shape[1]]
+            return pd.DataFrame({"pos": q["pos"].to_numpy(), "c": c})
+
+        return in_grid(places, members, ["w"], rings, total, "pos bigint, c bigint").groupBy("pos").agg(F.sum("c").alias("c"))
+
     def local(part, r, whole, inside):
         c = whole @ r.ball_weight
         np.add.at(c, inside[0], r.weight[inside[1]])
@@ -221,6 +281,13 @@ def components(a, b, n: int):
             label = label[label]
 
 
+def rooted(a, b, n: int):
+    """Edges from each node to the smallest one of its component, that connect what the given edges do."""
+    label = components(a, b, n)
+    own = np.flatnonzero(label != np.arange(n))
+    return label[own], own
+
+
 def stars(nodes, a, b):
     """(src, dst) that connect what edges between nodes a and b connect; at most one for each node."""
     nodes, place = np.unique(np.concatenate([nodes[a], nodes[b]]), return_inverse=True)
@@ -235,6 +302,23 @@ def links_within(cores: DataFrame, rings: Rings, members: DataFrame, eps: float)
     A ball or ring that lies whole within ``eps`` of some member is one node (a negative number) to
     which all its members are linked.
     """
+    if crowded(cores, rings, eps):
+        def forest(q, m):
+            if not len(q) or not len(m):
+                return pd.DataFrame({"src": [], "dst": []})
+            nodes = np.concatenate([q["pos"].to_numpy(), m["pos"].to_numpy()])
+            src, dst, held = [], [], 0
+            for i, j, hit in tiles_within(stack(q["vec"]), stack(m["vec"]), eps):
+                r, c = np.divmod(np.flatnonzero(hit), hit.shape[1])
+                src, dst, held = [*src, r + i], [*dst, c + j + len(q)], held + len(r)
+                if held > 4 * len(nodes):  # what the links found so far connect
+                    src, dst = ([x] for x in rooted(np.concatenate(src), np.concatenate(dst), len(nodes)))
+                    held = 0
+            a, b = stars(nodes, np.concatenate(src), np.concatenate(dst))
+            return pd.DataFrame({"src": a, "dst": b})
+
+        return in_grid(cores, members, [], rings, forest, "src bigint, dst bigint")
+
     balls = len(rings.pivots)
 
     def local(part, r, whole, inside):
@@ -268,6 +352,16 @@ def links_within(cores: DataFrame, rings: Rings, members: DataFrame, eps: float)
 def least_within(places: DataFrame, rings: Rings, members: DataFrame, eps: float) -> DataFrame:
     """(pos, c): the smallest ``c`` of the members within ``eps`` of each place; places without one are absent."""
     none = np.iinfo(np.int64).max
+    if crowded(places, rings, eps):
+        def smallest(q, m):
+            c, of = np.full(len(q), none), m["c"].to_numpy() if len(m) else None
+            for i, j, hit in tiles_within(stack(q["vec"]), stack(m["vec"]), eps) if len(q) and len(m) else ():
+                r, k = np.divmod(np.flatnonzero(hit), hit.shape[1])
+                np.minimum.at(c, r + i, of[k + j])
+            return pd.DataFrame({"pos": q["pos"].to_numpy()[c < none], "c": c[c < none]})
+
+        return in_grid(places, members, ["c"], rings, smallest, "pos bigint, c bigint").groupBy("pos").agg(F.min("c").alias("c"))
+
     by_slot = np.full(len(rings.ball), none)
     for r in members.groupBy("slot").agg(F.min("c").alias("c")).collect():  # one row a ring
         by_slot[r["slot"]] = r["c"]
