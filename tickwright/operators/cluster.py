@@ -1,8 +1,8 @@
 """Clustering and decomposition.
 
-Density clustering and single linkage work on balls around pivots in any number of dimensions (see
-``metric``): a ball or ring that lies whole within the distance counts by its weight and is one
-node of the graph, so crowded places cost no pairs.
+Density clustering and single linkage work on bounded units of a k-d tree in few dimensions (see
+``units``) and on balls around pivots in many (see ``metric``): a unit, ball or ring that lies whole
+within the distance counts by its weight and is one node of the graph, so crowded places cost no pairs.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickwright.functions.position import with_global_rank
-from tickwright.operators import metric
-from tickwright.operators.neighbors import BROADCAST_BYTES, BROADCAST_PAIRS, GRID_QUERIES, TASK_PAIRS, grid, knn_join, listed_distances
+from tickwright.operators import metric, units
+from tickwright.operators.neighbors import BROADCAST_BYTES, BROADCAST_PAIRS, FEW_DIMS, GRID_QUERIES, TASK_PAIRS, grid, knn_join, listed_distances
 from tickwright.session import materialize
 
 LOCAL_EDGES = 1 << 17
@@ -36,10 +36,18 @@ def eps_join(points: DataFrame, eps: float, key: str = "id", vec: str = "feature
     return metric.eps_pairs(at.places, at.rings, at.members, eps)
 
 
+def laid_out(points: DataFrame, key: str, vec: str) -> metric.Layout | units.Layout:
+    """Units of a k-d tree for few dimensions, balls and rings for many."""
+    rows, places = metric.folded(points, key, vec)
+    if (places.agg(F.max(F.size("vec"))).first()[0] or 1) < FEW_DIMS:
+        return units.Layout(rows, places)
+    return metric.Layout(points, key, vec, (rows, places))
+
+
 def neighborhood_counts(points: DataFrame, eps: float, key: str = "id", vec: str = "features") -> DataFrame:
     """Rows within ``eps`` of every row, itself included."""
-    at = metric.Layout(points, key, vec)
-    counts = metric.counts_within(at.places, at.rings, at.members, eps)
+    at = laid_out(points, key, vec)
+    counts = at.counts_within(eps)
     return at.rows.join(counts, "pos").select("id", F.col("c").alias("neighbors"))
 
 
@@ -94,28 +102,26 @@ def dbscan(points: DataFrame, eps: float, min_pts: int, key: str = "id", vec: st
 
     A border point joins the lowest-numbered cluster that reaches it.
     """
-    at = metric.Layout(points, key, vec)
+    at = laid_out(points, key, vec)
     marked = at.places
     if min_pts > 1:
-        counts = metric.counts_within(at.places, at.rings, at.members, eps)
+        counts = at.counts_within(eps, min_pts)
         marked = marked.join(counts.withColumnRenamed("c", "near"), "pos").withColumn("core", F.col("near") >= min_pts).drop("near")
         marked = materialize(marked, "marked")
     else:
         marked = marked.withColumn("core", F.lit(True))
     cores = marked.where("core").drop("core")
-    rings, members = at.of(cores)
-    links = materialize(metric.links_within(cores, rings, members, eps), "links")
-    groups = links.select(F.col("src").alias("node")).where("node < 0").distinct()
-    labels = connected_components(cores.select(F.col("pos").alias("node")).unionByName(groups), links)
-    named = cores.select("pos", "first").join(labels.withColumnRenamed("node", "pos"), "pos")
+    named, links = at.links_within(cores, eps)
+    named, links = materialize(named, "nodes"), materialize(links, "links")
+    nodes = named.select("node").union(links.select("src")).union(links.select("dst")).distinct()
+    named = named.join(connected_components(nodes, links), "node")
     roots = materialize(named.groupBy("label").agg(F.min("first").alias("root")), "roots")
     ranked, _ = with_global_rank(roots, F.col("root"), [])
     ranked = ranked.select("label", F.col("_rank").cast("bigint").alias("c"))
     cluster_of = materialize(named.join(ranked, "label").select("pos", "c"), "clusters")
     found = cluster_of
     if min_pts > 1:
-        rest = marked.where(~F.col("core"))
-        found = found.unionByName(metric.least_within(rest, rings, members.join(cluster_of, "pos"), eps))
+        found = found.unionByName(at.least_within(marked.where(~F.col("core")), cluster_of, eps))
     return at.rows.join(found, "pos", "left").select("id", F.coalesce("c", F.lit(0)).cast("bigint").alias("cluster"))
 
 

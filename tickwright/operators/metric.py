@@ -123,8 +123,8 @@ def with_ring(placed: DataFrame, cuts: list) -> DataFrame:
 class Layout:
     """Rows, distinct positions, their balls and rings, stored once for several questions."""
 
-    def __init__(self, points: DataFrame, key: str = "id", vec: str = "features"):
-        self.rows, places = folded(points, key, vec)
+    def __init__(self, points: DataFrame, key: str = "id", vec: str = "features", known: tuple[DataFrame, DataFrame] | None = None):
+        self.rows, places = known or folded(points, key, vec)
         placed, self.pivots, self.cuts = into_rings(places)
         self.places = with_ring(placed, self.cuts)
         self.rings, self.members = self.of(self.places)
@@ -134,6 +134,19 @@ class Layout:
         rings = rings_of(places, self.pivots, self.cuts)
         return rings, with_block(places, rings)
 
+    def counts_within(self, eps: float, enough: int | None = None) -> DataFrame:
+        return counts_within(self.places, self.rings, self.members, eps)
+
+    def links_within(self, cores: DataFrame, eps: float) -> tuple[DataFrame, DataFrame]:
+        """((pos, first, node) of the cores, their links)."""
+        self.cores = self.of(cores)
+        return cores.select("pos", "first", F.col("pos").alias("node")), links_within(cores, *self.cores, eps)
+
+    def least_within(self, asking: DataFrame, found: DataFrame, eps: float) -> DataFrame:
+        """The smallest ``c`` found (pos, c) for a core within ``eps``."""
+        rings, members = self.cores
+        return least_within(asking, rings, members.join(found, "pos"), eps)
+
 
 def rings_of(members: DataFrame, pivots, cuts) -> Rings:
     """Bounds of the rings of (ball, ring, reach, w); at most MAX_BALLS x MAX_RINGS rows come back."""
