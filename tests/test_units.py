@@ -27,3 +27,30 @@ def test_crowded_rows_within_the_distance_do_not_meet(spark, monkeypatch):
     assert sum(asked) < 10 * len(x)  # rows of units that are met, though hundreds of rows lie near each row
     odd = spark.createDataFrame([(0, [0.0, None]), (1, [0.0, 0.0]), (2, [0.5, 0.0]), (3, [float("nan"), 0.0])], "id bigint, features array<double>")
     assert {r["id"]: r["cluster"] for r in cl.dbscan(odd, 1.0, 2).collect()} == {0: 0, 1: 1, 2: 1, 3: 0}
+
+
+@pytest.mark.parametrize("local", [0, 1 << 20])
+def test_spanning_tree_of_many_units(spark, local):
+    rng = np.random.default_rng(2)
+    x = np.vstack([rng.integers(0, 30, (500, 2)).astype(float), rng.normal(60, 1, (400, 2)), [[500.0, 0.0]]])
+    x = rng.permutation(np.unique(x, axis=0))
+    _, tree = cl.spanning_tree(frame(spark, x), broadcast_bytes=local, block_rows=32)
+    up, length = units.prim(pair_distances(x, x, "euclidean"))
+    want = {(min(i, j), max(i, j), d) for i, (j, d) in enumerate(zip(up.tolist(), length.tolist())) if j >= 0}
+    assert {tuple(r) for r in tree.collect()} == want
+
+
+def test_units_far_apart_are_not_compared():
+    x = np.random.default_rng(1).uniform(0, 100, (8192, 2))
+    leaf = units.Tree(x, 7).leaf(x)
+    boxes = units.Boxes.__new__(units.Boxes)
+    rows = [x[leaf == i] for i in range(128)]
+    boxes.unit = np.arange(128)
+    boxes.low, boxes.high = np.array([r.min(0) for r in rows]), np.array([r.max(0) for r in rows])
+    ends = np.stack([np.array([r[pick(r[:, k])] for r in rows]) for k in (0, 1) for pick in (np.argmin, np.argmax)], axis=1)
+    longest = np.array([units.prim(pair_distances(r, r, "euclidean"))[1].max() for r in rows])
+    a, b = units.unit_pairs(boxes, longest, ends)
+    assert len(a) < 128 * 12  # of 8128 pairs
+    up, _ = units.prim(pair_distances(x, x, "euclidean"))
+    pairs = set(zip(a.tolist(), b.tolist()))
+    assert all(leaf[i] == leaf[j] or (min(leaf[i], leaf[j]), max(leaf[i], leaf[j])) in pairs for i, j in enumerate(up) if j >= 0)

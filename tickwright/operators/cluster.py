@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 
 from tickwright.functions.position import with_global_rank
 from tickwright.operators import metric, units
-from tickwright.operators.neighbors import BROADCAST_BYTES, BROADCAST_PAIRS, FEW_DIMS, GRID_QUERIES, TASK_PAIRS, grid, knn_join, listed_distances
+from tickwright.operators.neighbors import BROADCAST_BYTES, BROADCAST_PAIRS, FEW_DIMS, GRID_QUERIES, TASK_PAIRS, grid, listed_distances
 from tickwright.session import materialize
 
 LOCAL_EDGES = 1 << 17
 SUM_TILE = 1024
+TREE_BYTES = 32 * 1024 * 1024
+LINK_BYTES = 40
 
 
 # ---- density ---------------------------------------------------------------------------------------
@@ -134,30 +136,21 @@ def single_linkage(points: DataFrame, cut: float, key: str = "id", vec: str = "f
     return dbscan(points, cut, 1, key, vec)
 
 
-def spanning_tree(points: DataFrame, key: str = "id", vec: str = "features", **limits) -> tuple[DataFrame, DataFrame]:
+def spanning_tree(
+    points: DataFrame, key: str = "id", vec: str = "features", broadcast_bytes: int = TREE_BYTES, block_rows: int = units.SMALL_ROWS
+) -> tuple[DataFrame, DataFrame]:
     """((id, node) of all rows, (src, dst, distance) of a minimum spanning tree of the nodes).
 
-    A node is the smallest id of a position. Boruvka rounds: every node asks for its nearest one
-    in another component, each component keeps its shortest link, and components join along them;
-    equal distances are in order of the two ids, so no round closes a circle. Components at least
-    halve in each round. ``limits`` go to ``knn_join``, which finds the links.
+    A node is the smallest id of a position; equal distances are in order of the two ids. Trees of units
+    of about ``block_rows`` rows and the links between near units make the tree (see ``units``); the links that
+    stay open then are sorted in one task up to ``broadcast_bytes``, else in rounds. Positions with a
+    component that is not finite have no links.
     """
     rows = points.select(F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("vec"))
     nodes = materialize(rows.groupBy("vec").agg(F.min("id").alias("node")), "nodes")
     of = materialize(rows.join(nodes, "vec").select("id", "node"), "node-of")
-    placed = nodes.withColumn("component", F.col("node"))
-    kind = nodes.schema["node"].dataType.simpleString()
-    tree = nodes.sparkSession.createDataFrame([], f"src {kind}, dst {kind}, distance double")
-    while placed.select("component").distinct().limit(2).count() > 1:
-        near = knn_join(placed, placed, 1, "vec", key="node", exclude="component", **limits)
-        pair = [F.least("query_id", "train_id").alias("src"), F.greatest("query_id", "train_id").alias("dst")]
-        near = near.select(F.col("query_id").alias("node"), "distance", *pair).join(placed.select("node", "component"), "node")
-        link = near.groupBy("component").agg(F.min(F.struct("distance", "src", "dst")).alias("l")).select("l.*").distinct()
-        link = materialize(link.select("src", "dst", "distance"), "tree-links")
-        tree = materialize(tree.unionByName(link), "tree")
-        labels = connected_components(nodes.select("node"), tree)
-        placed = materialize(nodes.join(labels.withColumnRenamed("label", "component"), "node"), "placed")
-    return of, tree
+    placed = nodes.where(units.FINITE).where("node IS NOT NULL")
+    return of, materialize(units.shortest_tree(placed, broadcast_bytes // LINK_BYTES, block_rows), "tree")
 
 
 def cut_tree(of: DataFrame, tree: DataFrame, k: int) -> DataFrame:
