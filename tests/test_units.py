@@ -54,3 +54,18 @@ def test_units_far_apart_are_not_compared():
     up, _ = units.prim(pair_distances(x, x, "euclidean"))
     pairs = set(zip(a.tolist(), b.tolist()))
     assert all(leaf[i] == leaf[j] or (min(leaf[i], leaf[j]), max(leaf[i], leaf[j])) in pairs for i, j in enumerate(up) if j >= 0)
+
+
+def test_neighbour_search_holds_bounded_blocks_in_a_worker(spark, monkeypatch):
+    """No worker gets all training rows of more than 4 MB; blocks are of 8 MB at most."""
+    from tickwright.operators import neighbors as nn
+
+    x = np.random.default_rng(3).normal(size=(9000, 64))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id bigint, features array<double>")
+    sizes, asked = [], []
+    monkeypatch.setattr(nn, "_knn_broadcast", lambda *a: sizes.append(a) or a[0].sparkSession.createDataFrame([], a[4]))
+    monkeypatch.setattr(nn, "grid", lambda *a, real=nn.grid: asked.append(a[4:6]) or real(*a))
+    nn.knn_join(df, df.limit(5), 3, exclude="id")
+    assert not sizes and asked == [(1, 1)]
+    nn.knn_join(df, df.limit(5), 3, exclude="id", grid_bytes=1 << 20)
+    assert asked[1:] == [(1, 5)]

@@ -23,6 +23,8 @@ BLOCK_ROWS = 4096
 MAX_CELLS = 1024
 GRID_BYTES = 32 * 1024 * 1024
 GRID_QUERIES = 16384
+KNN_BYTES = 4 * 1024 * 1024
+KNN_BLOCK = 8 * 1024 * 1024
 TASK_PAIRS = 1 << 28
 BROADCAST_PAIRS = 1 << 36
 GRID_SHARE = 8
@@ -258,15 +260,16 @@ def knn_join(
     key: str = "id",
     exclude: str | None = None,
     metric: str = "euclidean",
-    broadcast_bytes: int = BROADCAST_BYTES,
+    broadcast_bytes: int = KNN_BYTES,
     block_rows: int = BLOCK_ROWS,
-    grid_bytes: int = GRID_BYTES,
+    grid_bytes: int = KNN_BLOCK,
     grid_queries: int = GRID_QUERIES,
 ) -> DataFrame:
     """(query_id, rank, train_id, distance, label) of the k nearest training rows.
 
     ``exclude`` names a column; training rows with the query's value are not considered
     (the key for leave-one-out, the fold for cross-validation). A NULL value excludes nothing.
+    A Python worker holds about ten times ``broadcast_bytes`` or ``grid_bytes``, whatever the number of rows.
     """
     def shaped(df, name, spare):
         ex = F.col(exclude).cast("string") if exclude else F.lit(None).cast("string")
