@@ -442,3 +442,35 @@ def test_svr_without_rows_and_with_few_landmarks(spark):
     rows, factor = rg.choose_landmarks(z, 0.5, 60)
     kernel = np.exp(-0.5 * rg.squared_distances(z[rows], z[rows]))
     assert np.allclose(factor @ factor.T, kernel, atol=1e-8) and len(set(rows)) == len(rows)
+
+
+# ---- the number of clusters --------------------------------------------------------------------------
+
+
+def test_choose_k_fits_on_train_judges_on_valid_and_chooses(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(4)
+    centres = np.array([[0.0, 0.0], [20.0, 0.0], [0.0, 20.0]])
+    train, valid = (np.vstack([rng.normal(c, 1, (n, 2)) for c in centres]) for n in (40, 12))
+    train, held = (frame(spark, x).withColumn("features", array_to_vector("features")) for x in (train, valid))
+    rows = {r["k"]: r for r in cl.choose_k(train, held, [2, 3, 4]).collect()}
+    assert list(cl.choose_k.__defaults__[0]) == list(range(2, 11))
+    best = min(rows, key=lambda k: (rows[k]["wcss"], k))
+    assert [k for k in rows if rows[k]["best_by_wcss"]] == [best]
+    assert [k for k in rows if rows[k]["recommended"]] == [3]
+    x = np.array([r["features"].toArray() for r in train.collect()])
+    means = np.array([x[i : i + 40].mean(0) for i in (0, 40, 80)])
+    for name, y in (("train_wcss", x), ("wcss", valid)):
+        assert rows[3][name] == pytest.approx(((y[:, None] - means[None]) ** 2).sum(2).min(1).sum())
+
+
+def test_choose_k_query_holds_vectors_out(spark, small, monkeypatch):
+    from tickwright.plans import p16_clustering as plans
+
+    sides = []
+    monkeypatch.setattr(cl, "choose_k", lambda a, b, real=cl.choose_k: sides.extend((a, b)) or real(a, b, [2, 3], passes=5))
+    rows = plans.choose_k(spark, small).collect()
+    train, valid = ({r["id"] for r in s.select("id").collect()} for s in sides)
+    assert not train & valid and len(train) == 400 and len(valid) == 100
+    assert [r["k"] for r in rows] == [2, 3] and sum(r["recommended"] for r in rows) == 1

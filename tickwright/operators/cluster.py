@@ -23,6 +23,7 @@ LOCAL_EDGES = 1 << 17
 SUM_TILE = 1024
 TREE_BYTES = 32 * 1024 * 1024
 LINK_BYTES = 40
+CENTRE_STEP = 1e-6
 
 
 # ---- density ---------------------------------------------------------------------------------------
@@ -173,11 +174,11 @@ def single_linkage_k(points: DataFrame, k: int, key: str = "id", vec: str = "fea
 # ---- k-means and scores ---------------------------------------------------------------------------------
 
 
-def kmeans(df: DataFrame, k: int, seed: int = 42, init: str = "k-means||", features: str = "features"):
+def kmeans(df: DataFrame, k: int, seed: int = 42, init: str = "k-means||", features: str = "features", **more):
     """Lloyd iterations from random or k-means|| centres (``init``)."""
     from pyspark.ml.clustering import KMeans
 
-    return KMeans(k=k, seed=seed, initMode=init, featuresCol=features, predictionCol="cluster").fit(df)
+    return KMeans(k=k, seed=seed, initMode=init, featuresCol=features, predictionCol="cluster", **more).fit(df)
 
 
 def kmeans_assign(points: DataFrame, centroids: list[list[float]], vec: str = "features") -> DataFrame:
@@ -312,20 +313,30 @@ def silhouette(points: DataFrame, key: str = "id", vec: str = "features", label:
     return per.withColumn("silhouette", F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
 
 
-def choose_k(train: DataFrame, valid: DataFrame, ks, seed: int = 42, key: str = "id") -> DataFrame:
-    """Validation WCSS and silhouette for every k (fits differ only in k)."""
+def choose_k(train: DataFrame, valid: DataFrame, ks=range(2, 11), seed: int = 42, key: str = "id", passes: int = 100) -> DataFrame:
+    """WCSS of both sets and silhouette of ``valid`` for every k, fitted on ``train`` alone, and the two choices.
+
+    ``best_by_wcss`` marks the k with the smallest validation WCSS, ``recommended`` the one with the largest
+    silhouette; of equal ones the first. Fits start from random rows and end once no centre moves
+    or after ``passes``; they differ only in k.
+    """
     from pyspark.ml.functions import vector_to_array
 
+    fitted, held = (df.select(F.col(key), vector_to_array("features").alias("features")) for df in (train, valid))
     rows = []
     for k in ks:
-        model = kmeans(train, k, seed)
+        model = kmeans(train, k, seed, "random", maxIter=passes, tol=CENTRE_STEP)
         centres = [list(map(float, c)) for c in model.clusterCenters()]
-        arr = valid.select(F.col(key), vector_to_array("features").alias("features"))
-        assigned = kmeans_assign(arr, centres)
+        own = wcss(kmeans_assign(fitted, centres)).first()["wcss"]
+        assigned = kmeans_assign(held, centres)
         cost = wcss(assigned).first()["wcss"]
         score = silhouette(assigned, key, "features", "cluster").agg(F.avg("silhouette")).first()[0]
-        rows.append((int(k), float(cost), float(score or 0.0)))
-    return train.sparkSession.createDataFrame(rows, "k int, wcss double, silhouette double")
+        rows.append((int(k), own, cost, float(score or 0.0)))
+    least = min((r for r in rows if r[2] is not None), key=lambda r: r[2], default=(None,))[0]
+    best = max(rows, key=lambda r: r[3], default=(None,))[0]
+    marked = [(*r, r[0] == least, r[0] == best) for r in rows]
+    schema = "k int, train_wcss double, wcss double, silhouette double, best_by_wcss boolean, recommended boolean"
+    return train.sparkSession.createDataFrame(marked, schema)
 
 
 def gmm(df: DataFrame, k: int, max_iter: int = 100, tol: float = 0.01, seed: int = 42, features: str = "features"):
