@@ -69,3 +69,27 @@ def test_neighbour_search_holds_bounded_blocks_in_a_worker(spark, monkeypatch):
     assert not sizes and asked == [(1, 1)]
     nn.knn_join(df, df.limit(5), 3, exclude="id", grid_bytes=1 << 20)
     assert asked[1:] == [(1, 5)]
+
+
+def test_links_of_a_large_tree_are_drawn_together_in_tasks(spark, monkeypatch):
+    """Most links never leave a task, many units share one, and large keys keep their digits."""
+    rng = np.random.default_rng(7)
+    x = np.column_stack([rng.uniform(0, 50, 1500), rng.integers(0, 3, 1500) * 4.0])
+    ids = 2**60 + np.arange(len(x))
+    links, tasks = [], []
+    monkeypatch.setattr(cl, "connected_components", lambda n, e, real=cl.connected_components: links.append(e.count()) or real(n, e))
+    monkeypatch.setattr(units, "tasks_of", lambda n, real=units.tasks_of: tasks.append((n, real(n))) or real(n))
+    df = spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in zip(ids, x)], "id bigint, features array<double>")
+    got = {r["id"]: r["cluster"] for r in cl.single_linkage_k(df, 3, block_rows=64).collect()}
+    label = 1 + np.unique(x[:, 1], return_index=True)[1].argsort().argsort()[(x[:, 1] / 4).astype(int)]
+    assert got == dict(zip(ids.tolist(), label.tolist()))
+    assert sum(links) < len(x) // 3
+    assert units.tasks_of(4096) == 64 and max(n for n, _ in tasks) >= 64
+
+
+def test_trees_by_parts_and_by_rows_agree():
+    rng = np.random.default_rng(8)
+    for x in (rng.integers(0, 9, (150, 2)).astype(float), rng.normal(size=(90, 3)), np.zeros((1, 2)), rng.normal(size=(2, 2))):
+        d = pair_distances(*[rng.permutation(np.unique(x, axis=0))] * 2, "euclidean")
+        for a, b in zip(units.prim(d), units.boruvka(d)):
+            assert (a == b).all()

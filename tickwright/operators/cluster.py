@@ -23,6 +23,7 @@ LOCAL_EDGES = 1 << 17
 SUM_TILE = 1024
 TREE_BYTES = 32 * 1024 * 1024
 LINK_BYTES = 40
+STAR_LINKS = 1 << 20
 CENTRE_STEP = 1e-6
 
 
@@ -154,12 +155,52 @@ def spanning_tree(
     return of, materialize(units.shortest_tree(placed, broadcast_bytes // LINK_BYTES, block_rows), "tree")
 
 
+def tree_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``connected_components`` of links that are stored so that those of a place lie together.
+
+    Every task first draws together the nodes that its own links connect, at most ``STAR_LINKS`` at a time. A node
+    that only one such group holds takes the label of the group; the rest, few, are connected.
+    """
+    kind = nodes.schema["node"].dataType.simpleString()
+
+    def star(parts):
+        f = pd.concat(parts)
+        names = np.concatenate([f["src"].to_numpy(), f["dst"].to_numpy()])
+        root, node = metric.stars(names, np.arange(len(f)), np.arange(len(f)) + len(f))
+        return pd.DataFrame({"src": root, "dst": node})
+
+    def join(frames):
+        parts = []
+        for f in frames:
+            parts.append(f)
+            if sum(map(len, parts)) >= STAR_LINKS:
+                yield star(parts)
+                parts = []
+        if parts:
+            yield star(parts)
+
+    stars = materialize(links.select("src", "dst").mapInPandas(join, f"src {kind}, dst {kind}"), "stars")
+    roots = stars.select(F.col("src").alias("node"), F.lit(None).cast(kind).alias("root")).distinct()
+    held = roots.unionByName(stars.select(F.col("dst").alias("node"), F.col("src").alias("root")))
+    # more than one entry, or that of a root: the node connects groups
+    held = held.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("root"))
+    held = materialize(held.withColumn("inner", F.col("root").isNull() | (F.col("n") > 1)), "held")
+    inner = held.where("inner").select("node")
+    found = connected_components(inner, stars.join(inner.withColumnRenamed("node", "dst"), "dst", "left_semi"))
+    outer = held.where("NOT inner").select("node", "root").join(found.toDF("root", "label"), "root").select("node", "label")
+    named = nodes.select("node").join(found.unionByName(outer), "node", "left")
+    return materialize(named.select("node", F.coalesce("label", "node").alias("label")), "labels")
+
+
 def cut_tree(of: DataFrame, tree: DataFrame, k: int) -> DataFrame:
     """(id, cluster) after the k - 1 longest links of a spanning tree go, clusters numbered by
     their smallest id. Of equal links those with the larger ids go first."""
-    cut = tree.orderBy(F.desc("distance"), F.desc("src"), F.desc("dst")).limit(max(0, k - 1)).select("src", "dst")
-    kept = tree.join(cut, ["src", "dst"], "left_anti")
-    labels = connected_components(of.select("node").distinct(), kept)
+    order = ["distance", "src", "dst"]
+    cut = tree.orderBy(*[F.desc(c) for c in order]).limit(max(0, k - 1)).agg(F.min(F.struct(*order)).alias("l")).select("l.*").first()
+    kept = tree
+    if cut["src"] is not None:  # no join, which would deal the links out anew
+        kept = tree.where(F.struct(*order) < F.struct(*[F.lit(cut[c]).cast(tree.schema[c].dataType).alias(c) for c in order]))
+    labels = tree_components(of.select("node").distinct(), kept)
     ranked, _ = with_global_rank(labels.where("node = label").select("label"), F.col("label"), [])
     named = labels.join(ranked.select("label", F.col("_rank").cast("bigint").alias("cluster")), "label")
     return of.join(named, "node").select("id", "cluster")
