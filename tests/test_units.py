@@ -93,3 +93,17 @@ def test_trees_by_parts_and_by_rows_agree():
         d = pair_distances(*[rng.permutation(np.unique(x, axis=0))] * 2, "euclidean")
         for a, b in zip(units.prim(d), units.boruvka(d)):
             assert (a == b).all()
+
+
+def test_manhattan_sums_choose_among_many_rows_at_once():
+    """Rows are summed a few at a time and chosen by whole limits for 256 at a time, exactly as measured."""
+    from tickwright.operators import neighbors as nn
+
+    x = np.random.default_rng(9).integers(0, 6, (5300, 16)).astype(float)  # many equal distances
+    a, b, fold = x[:300], x[300:], np.arange(5300) % 3
+    near = nn.Rounded(a, b, "manhattan")
+    assert near.rows == 8 * nn.SUM_ROWS and near.top(np.array([7.9, np.inf])).tolist() == [7, 32767]
+    d = np.where(fold[:300, None] == fold[None, 300:], np.inf, pair_distances(a, b, "manhattan"))
+    want = np.argsort(d, axis=1, kind="stable")[:, :7]
+    i, j, got = nn.nearest(a, b, fold[:300], fold[300:], 7, "manhattan")
+    assert (i == np.repeat(np.arange(300), 7)).all() and (j == want.ravel()).all() and (got == np.take_along_axis(d, want, 1).ravel()).all()

@@ -26,6 +26,7 @@ GRID_QUERIES = 16384
 KNN_BYTES = 4 * 1024 * 1024
 KNN_BLOCK = 8 * 1024 * 1024
 TASK_PAIRS = 1 << 28
+SUM_ROWS = 32
 BROADCAST_PAIRS = 1 << 36
 GRID_SHARE = 8
 FEW_DIMS = 8
@@ -91,7 +92,7 @@ class Rounded:
                 self.scale = levels / span
                 self.x = np.rint((a - low) * self.scale).astype("int16")
                 self.y = np.ascontiguousarray(np.rint((b - low) * self.scale).astype("int16").T)
-                self.kind, self.rows, self.cols = "sums", 16, 4096
+                self.kind, self.rows, self.cols = "sums", 8 * SUM_ROWS, 4096
                 self.slack = np.full(len(a), d * 1.01)  # each component is off by half a level on both sides
                 return
             centre = b.mean(0)
@@ -122,17 +123,30 @@ class Rounded:
         x, y = self.x[i_], self.y[:, j_]
         shape = (len(x), y.shape[1])
         if shape not in self.held:  # memory that is used again for every tile of a shape
-            self.held[shape] = np.empty(shape, x.dtype), np.empty(shape, x.dtype)
+            self.held[shape] = np.empty(shape, x.dtype), np.empty((min(len(x), SUM_ROWS), shape[1]), x.dtype)
         total, diff = self.held[shape]
         if self.kind == "product":
             return np.matmul(x, y, out=total)
         total[:] = 0
-        for k in range(self.dims):
-            np.subtract(x[:, k, None], y[None, k], out=diff)
-            np.abs(diff, out=diff)
-            total += diff
+        for i in range(0, len(x), SUM_ROWS):  # few rows at a time, whose sums stay near the core
+            rows = total[i : i + SUM_ROWS]
+            part = diff[: len(rows)]
+            for k in range(self.dims):
+                np.subtract(x[i : i + SUM_ROWS, k, None], y[None, k], out=part)
+                np.abs(part, out=part)
+                rows += part
         return total
 
+    def top(self, limit):
+        """The largest value of a tile's type that is within each limit, or a little more."""
+        import numpy as np
+
+        if self.kind == "product":  # rounded up, so that a limit in less digits leaves nothing out
+            return np.nextafter(limit.astype("float32"), np.float32(np.inf))
+        if self.kind == "sums":
+            return np.floor(np.minimum(limit, np.iinfo("int16").max)).astype("int16")
+        return limit
+
 
 def nearest(a, b, ex_a, ex_b, k: int, metric: str):
     """(i, j, distance) of the k nearest rows b[j] of each a[i] whose ``ex`` differs; of equal distances
@@ -155,9 +169,7 @@ def nearest(a, b, ex_a, ex_b, k: int, metric: str):
                 first = np.where(mask, tile, np.inf if tile.dtype.kind == "f" else np.iinfo(tile.dtype).max)
                 kth = np.partition(first, k - 1, axis=1)[:, k - 1].astype(float)
                 limit = np.where(mask.sum(1) >= k, kth + slack, np.inf)
-            # rounded up, so that a limit in less digits leaves nothing out
-            top = np.nextafter(limit.astype("float32"), np.float32(np.inf)) if tile.dtype == np.float32 else limit
-            r, c = np.divmod(np.flatnonzero(tile <= top[:, None]), tile.shape[1])
+            r, c = np.divmod(np.flatnonzero(tile <= near.top(limit)[:, None]), tile.shape[1])
             ok = ex_a[i + r] != ex_b[j + c]
             r, c = r[ok], c[ok]
             found.append((r, c + j, tile[r, c].astype(float)))
